@@ -186,6 +186,23 @@ def training_tokens(
     )
 
 
+def training_delays(gated: DataFrame, trip_codes: DataFrame, offset_s: int = sch.LOCAL_TO_UTC_S) -> DataFrame:
+    """Per stop of the gated runs: the delay, its change against the last known delay, and the token of that."""
+    ready = gated.join(trip_codes.filter("usable"), "trip_id")
+    plan = sch.resolve(F.col("seconds"), sch.event_day(F.col("timestamp")), F.col("rollover"), offset_s)
+    known = ready.withColumn("late", delays(F.col("times"), plan))
+    steps = F.arrays_zip(F.col("late"), delay_steps(F.col("late")).alias("step"))
+    return known.select("trip_id", "id", "run", F.posexplode(steps).alias("stop_index", "x")).select(
+        "trip_id",
+        "id",
+        "run",
+        "stop_index",
+        F.col("x.late").alias("delay"),
+        "x.step",
+        delta_token(F.col("x.step")).alias("token"),
+    )
+
+
 def training_sequences(runs: DataFrame, trip_codes: DataFrame, layout: Layout, **options) -> DataFrame:
     """Training features end to end: gate, once per trip, plain-day trips, tokens."""
     gated = once_per_trip(training_gate(reached_by_run(first_arrivals(runs))))

@@ -142,7 +142,7 @@ def fill_sequences(model: list[DataFrame], sequences: DataFrame, layout: Layout)
     The token to fill follows a stop, and only the last delta among its context is itself a prediction. So the
     choices are fetched per place for all last deltas at once (three joins, no loop over places), and the
     left-to-right dependence is folded inside the row. Filling ends at the padding. ``key`` columns of
-    ``sequences`` are kept; ``tokens`` stays and ``filled`` is added.
+    ``sequences`` are kept; ``tokens`` stays and ``answer`` is added.
     """
     keyed = sequences.withColumn("_key", F.struct("id", "seq"))
     skip = F.lit(layout.skip)
@@ -192,7 +192,7 @@ def fill_sequences(model: list[DataFrame], sequences: DataFrame, layout: Layout)
     return (
         keyed.join(answers, "_key", "left")
         .withColumn("_stop", stop)
-        .withColumn("filled", F.coalesce(F.aggregate(order, start, step), start))
+        .withColumn("answer", F.coalesce(F.aggregate(order, start, step), start))
         .drop("_key", "by", "_stop")
     )
 

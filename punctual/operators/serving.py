@@ -55,9 +55,13 @@ def route_class(route_type: Column) -> Column:
     )
 
 
+def live_message() -> Column:
+    """Live position message as JSON text; an unknown route type is left out."""
+    return F.to_json(F.struct("id", "lat", "lng", "trip_id", "route_type"))
+
+
 def live_json(enriched: DataFrame) -> DataFrame:
-    """Live position messages; null fields are left out, except that an absent trip cannot occur here."""
-    return enriched.select(F.to_json(F.struct("id", "lat", "lng", "trip_id", "route_type")).alias("value"))
+    return enriched.select(live_message().alias("value"))
 
 
 # ---- latest state ---------------------------------------------------------------------------------------------------
@@ -191,7 +195,8 @@ def nearest_vehicle(points: DataFrame, vehicles: DataFrame, cutoff_m: float, max
     """For every point ``(point_id, lat, lng)`` the closest vehicle nearer than the cut-off, if any.
 
     An equi-join on grid cells at least as wide as the cut-off. Stacked vehicles and repeated points are folded
-    first, so the join meets distinct coordinates only; the lowest id wins ties. Beyond ``max_abs_lat`` the
+    first, so the join meets distinct coordinates only. Distances count in millimetres and the lowest id wins
+    ties. Beyond ``max_abs_lat`` the
     cells are one row of latitude bands, since degrees of longitude shrink there.
     """
     metres_per_degree = math.pi / 180 * EARTH_RADIUS_KM * 1000
@@ -235,8 +240,9 @@ def nearest_vehicle(points: DataFrame, vehicles: DataFrame, cutoff_m: float, max
     )
     hits = (
         probes.join(spots, ["cell_row", "cell_col"])
-        .withColumn("dist", distance_m(F.col("lat"), F.col("lng"), F.col("v_lat"), F.col("v_lng")))
-        .filter(F.col("dist") < cutoff_m)
+        .withColumn("exact", distance_m(F.col("lat"), F.col("lng"), F.col("v_lat"), F.col("v_lng")))
+        .filter(F.col("exact") < cutoff_m)
+        .withColumn("dist", F.round("exact", 3))
         .groupBy("lat", "lng")
         .agg(F.min(F.struct("dist", "id")).alias("best"))
     )
