@@ -83,6 +83,10 @@ def to_pipe_lists(trips_nested: DataFrame) -> DataFrame:
     )
 
 
+def _all_parse(values: Column, kind: str) -> Column:
+    return F.forall(values, lambda x: x.try_cast(kind).isNotNull())
+
+
 def from_pipe_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Back to ``trips_nested``; the second frame holds the rows whose lists differ in length or do not parse."""
     numeric = {
@@ -99,8 +103,7 @@ def from_pipe_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
         both_empty = F.col(field).isNull() & F.col("stop_id").isNull()
         aligned = aligned & F.coalesce(same & F.col(field).isNotNull(), F.lit(False)) | (aligned & both_empty)
         if field in numeric:
-            parsed = F.forall(F.col(f"_{field}"), lambda x, t=numeric[field]: x.try_cast(t).isNotNull())
-            aligned = aligned & F.coalesce(parsed, F.lit(True))
+            aligned = aligned & F.coalesce(_all_parse(F.col(f"_{field}"), numeric[field]), F.lit(True))
     split = split.withColumn("_aligned", aligned)
 
     def stop_at(i: Column) -> Column:

@@ -265,7 +265,7 @@ def latest_vehicle_state(spark: SparkSession, d: str) -> DataFrame:
 @query
 def viewport_vehicles(spark: SparkSession, d: str) -> DataFrame:
     moves = serving.last_moves(fx.stage(spark, d).positions)
-    shown = serving.viewport_vehicles(moves, south=59.015, west=18.005, north=59.055, east=18.405)
+    shown = serving.viewport_vehicles(moves, south=59.015, west=18.015, north=59.055, east=18.455)
     return shown.select("id", "seq", *degrees("lat", "lng"))
 
 
@@ -425,7 +425,7 @@ def stream_train_sequences(spark: SparkSession, d: str) -> DataFrame:
         available_now=True,
     )
     jobs.run_to_end(job)
-    return spark.read.parquet(f"{folder}/out").select("trip_id", "id", "seq", text("tokens").alias("tokens"))
+    return spark.read.parquet(f"{folder}/out/train").select("trip_id", "id", "seq", text("tokens").alias("tokens"))
 
 
 @query

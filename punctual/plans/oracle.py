@@ -358,7 +358,7 @@ FROM state s LEFT JOIN trips t USING (trip) WHERE entered IS NOT NULL
         "viewport_vehicles": _with("moves", """
 SELECT id, seq, round(lat, 6) AS lat, round(lng, 6) AS lng FROM moves
 WHERE ((lat < 59.055 AND lat > 59.015) OR (prev_lat < 59.055 AND prev_lat > 59.015))
-  AND ((lng < 18.405 AND lng > 18.005) OR (prev_lng < 18.405 AND prev_lng > 18.005))
+  AND ((lng < 18.455 AND lng > 18.015) OR (prev_lng < 18.455 AND prev_lng > 18.015))
 """),
         "nearest_vehicle": _with("moves", """
 SELECT point_id, id, dist FROM (

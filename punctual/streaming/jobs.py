@@ -7,9 +7,10 @@ batch that is repeated after a failure replaces itself and nothing is doubled.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +22,8 @@ from ..sources.writers import archive_rows
 from .steps import gate_open, once_per_trip_and_day, stream_arrivals, track_stream
 
 FEED_INTERVAL = "3 seconds"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 METADATA_MAX_AGE_S = 24 * 3600
 
 
@@ -42,15 +45,34 @@ def _trigger(available_now: bool) -> dict:
     return {"availableNow": True} if available_now else {"processingTime": FEED_INTERVAL}
 
 
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Keyed state with several columns needs the RocksDB store; a query takes the setting when it starts."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 def start_parquet(df: DataFrame, folder: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Append a stream to a Parquet folder, exactly once."""
-    return (
-        df.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(**_trigger(available_now))
-        .start(folder)
-    )
+    writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    with _state_on_disk(df.sparkSession):
+        return writer.trigger(**_trigger(available_now)).start(folder)
+
+
+def start_batches(
+    df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Hand every micro-batch of a stream to ``write``."""
+    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    with _state_on_disk(df.sparkSession):
+        return writer.trigger(**_trigger(available_now)).start()
 
 
 def start_publish(
@@ -73,12 +95,7 @@ def start_publish(
             .csv(f"{folder}/archive/batch={batch_id}")
         )
 
-    return (
-        positions.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**_trigger(available_now))
-        .start()
-    )
+    return start_batches(positions, write, checkpoint, available_now)
 
 
 def tracked_stream(positions: DataFrame, trips_nested: DataFrame, ttl_ms: int | None = None) -> DataFrame:
@@ -119,15 +136,40 @@ def start_features(
         finally:
             kept.unpersist()
 
-    return (
-        tracked.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**_trigger(available_now))
-        .start()
-    )
+    return start_batches(tracked, write, checkpoint, available_now)
 
 
 def start_training(
+    positions: DataFrame,
+    trips_nested: DataFrame,
+    trip_codes: DataFrame,
+    layout: Layout,
+    folder: str,
+    checkpoint: str,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Training sequences: tracked events, gate, once per trip for ever, tokens; to ``folder``/train.
+
+    The trips emitted so far are a table (``folder``/seen) and each batch leaves out those of the batches before
+    it. So no watermark is needed, nothing late is lost, and a repeated batch gives the same rows.
+    """
+    spark = positions.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        first = feat.once_per_trip(batch)
+        if batch_id > 0:
+            seen = spark.read.parquet(f"{folder}/seen").filter(F.col("batch") < batch_id).select("trip_id")
+            first = first.join(seen, "trip_id", "left_anti")
+        first.write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
+        new = spark.read.parquet(f"{folder}/seen/batch={batch_id}")
+        feat.training_tokens(new, trip_codes, layout).write.mode("overwrite").parquet(
+            f"{folder}/train/batch={batch_id}"
+        )
+
+    return start_batches(gate_open(tracked_stream(positions, trips_nested)), write, checkpoint, available_now)
+
+
+def start_training_within(
     positions: DataFrame,
     trips_nested: DataFrame,
     trip_codes: DataFrame,
@@ -137,7 +179,10 @@ def start_training(
     delay: str = "10 minutes",
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Training sequences: tracked events, gate, once per trip and day, tokens."""
+    """As ``start_training`` with bounded state: once per trip and service day inside a watermark.
+
+    For live data only: events later than the watermark are lost.
+    """
     gated = once_per_trip_and_day(gate_open(tracked_stream(positions, trips_nested)), delay)
     return start_parquet(feat.training_tokens(gated, trip_codes, layout), folder, checkpoint, available_now)
 
