@@ -46,11 +46,11 @@ def until_padding(tokens: Column) -> Column:
 def decode_delays(sequences: DataFrame, skip: int, filled: str = "tokens") -> DataFrame:
     """Adds ``delay`` (minutes per stop) and ``first_predicted_sequence``.
 
-    ``tokens`` tells what was asked, ``filled`` holds the answer. If something was asked the answer ends at the
-    padding, else the whole sequence is decoded.
+    ``tokens`` tells what was asked, ``filled`` holds the answer. If something was asked the answer is decoded up to
+    the padding, else the whole of ``tokens``.
     """
     asked = F.array_contains("tokens", skip)
-    answer = F.when(asked, until_padding(F.col(filled))).otherwise(F.col(filled))
+    answer = F.when(asked, until_padding(F.col(filled))).otherwise(F.col("tokens"))
     return (
         sequences.withColumn("_steps", delta_steps(answer))
         .withColumn("delay", running_total(F.col("_steps")))

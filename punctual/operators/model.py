@@ -88,31 +88,32 @@ def count_tokens(sequences: DataFrame) -> list[DataFrame]:
     return tables
 
 
-def cross_entropy(model: list[DataFrame], held_out: DataFrame, layout: Layout, weight: float = 1.0) -> DataFrame:
+def cross_entropy(model: list[DataFrame], held_out: DataFrame, layout: Layout) -> DataFrame:
     """Mean negative log probability over the non-padding targets, for the whole model and for token
     frequencies alone.
 
-    Every level is mixed with the level below: p(x|c) = (n(c,x) + w p(x|shorter c)) / (n(c) + w), and the lowest
-    is (n(x) + 1) / (n + vocabulary). Equal targets are folded before they meet the model, so a context that
-    occurs everywhere is looked up once per distinct target.
+    Every level is mixed with the level below: p(x|c) = (n(c,x) + k(c) p(x|shorter c)) / (n(c) + k(c)), where k(c)
+    is the number of distinct tokens seen after c; the lowest is (n(x) + 1) / (n + vocabulary). Equal targets are
+    folded before they meet the model, so a context that occurs everywhere is looked up once per distinct target.
     """
     finest = LEVELS[-1]
     scored = transitions(held_out).groupBy(*finest, "next").agg(F.count(F.lit(1)).alias("cases"))
     total = model[0].agg(F.sum("n")).scalar()
-    scored = scored.join(model[0], "next", "left").withColumn(
-        "p", (F.coalesce("n", F.lit(0)) + 1.0) / (F.coalesce(total, F.lit(0)) + float(layout.size))
+    zero = F.lit(0)
+    scored = (
+        scored.join(model[0], "next", "left")
+        .withColumn("p", (F.coalesce("n", zero) + 1.0) / (F.coalesce(total, zero) + float(layout.size)))
+        .withColumn("p0", F.col("p"))
+        .drop("n")
     )
-    scored = scored.withColumn("p0", F.col("p")).drop("n")
     for level, table in zip(LEVELS, model[1:]):
-        sums = table.groupBy(*level).agg(F.sum("n").alias("all"))
+        sums = table.groupBy(*level).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+        mixed = (F.coalesce("n", zero) + F.col("kinds") * F.col("p")) / (F.col("all") + F.col("kinds"))
         scored = (
             scored.join(table, [*level, "next"], "left")
             .join(sums, level, "left")
-            .withColumn(
-                "p",
-                (F.coalesce("n", F.lit(0)) + weight * F.col("p")) / (F.coalesce("all", F.lit(0)) + F.lit(weight)),
-            )
-            .drop("n", "all")
+            .withColumn("p", F.when(F.col("all").isNull(), F.col("p")).otherwise(mixed))
+            .drop("n", "all", "kinds")
         )
     cases = F.col("cases")
     return scored.agg(

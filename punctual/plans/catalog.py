@@ -33,8 +33,7 @@ def degrees(*names: str) -> list[Column]:
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    s = fx.stage(spark, d)
-    return runs.track_runs(runs.detect_hits(s.positions, s.trips_nested))
+    return fx.stage(spark, d).tracked()
 
 
 def _mixed_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -52,8 +51,14 @@ def _infer(spark: SparkSession, d: str) -> DataFrame:
     return features.inference_sequences(_runs(spark, d), s.trip_codes, s.layout)
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of the message table; messages that only ask to repeat a prediction are left out."""
+    return decode.parse_messages(fx.stage(spark, d).messages).filter("tokens is not null")
+
+
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
-    return decode.decode_delays(_infer(spark, d), fx.stage(spark, d).layout.skip)
+    """Decoded sequences; a skip token that nothing filled counts as no change."""
+    return decode.decode_delays(_asked(spark, d), fx.stage(spark, d).layout.skip)
 
 
 # ---- flagship -------------------------------------------------------------------------------------------------------
@@ -208,7 +213,9 @@ def infer_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def infer_messages(spark: SparkSession, d: str) -> DataFrame:
-    return features.inference_messages(_runs(spark, d), _infer(spark, d))
+    s, tracked = fx.stage(spark, d), _runs(spark, d)
+    sequences = features.inference_sequences(tracked, s.trip_codes, s.layout)
+    return features.inference_messages(tracked, sequences)
 
 
 @query
@@ -230,16 +237,12 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def decode_delays(spark: SparkSession, d: str) -> DataFrame:
-    """Messages parsed and decoded; a skip token that nothing filled counts as no change."""
-    parsed = decode.parse_messages(infer_messages(spark, d)).filter("tokens is not null")
-    return decode.decode_delays(parsed, fx.stage(spark, d).layout.skip).select(
-        "id", "seq", "first_predicted_sequence", text("delay").alias("delay")
-    )
+    return _predictions(spark, d).select("id", "seq", "first_predicted_sequence", text("delay").alias("delay"))
 
 
 @query
 def resend_predictions(spark: SparkSession, d: str) -> DataFrame:
-    repeats = _runs(spark, d).filter("kind = 'resend'")
+    repeats = decode.parse_messages(fx.stage(spark, d).messages).filter("tokens is null")
     return serving.resend_predictions(repeats, _predictions(spark, d)).select(
         "id", "seq", "first_predicted_sequence", text("delay").alias("delay")
     )
@@ -388,8 +391,7 @@ def fill_predictions(spark: SparkSession, d: str) -> DataFrame:
     """The prediction job: parse messages, fill the skip tokens, decode."""
     s = fx.stage(spark, d)
     train, _ = _fit_parts(spark, d)
-    asked = decode.parse_messages(infer_messages(spark, d)).filter("tokens is not null")
-    filled = model.fill_sequences(model.count_tokens(train), asked, s.layout)
+    filled = model.fill_sequences(model.count_tokens(train), _asked(spark, d), s.layout)
     return decode.decode_delays(filled, s.layout.skip, filled="answer").select(
         "id", "seq", "first_predicted_sequence", text("delay").alias("delay")
     )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import Layout
-from ..operators.features import encode_trips, training_sequences
+from ..operators.features import encode_trips, inference_messages, inference_sequences, training_sequences
 from ..operators.runs import METRO, detect_hits, track_runs
 from ..operators.timetable import nest_trips
 from ..session import fresh_folder
@@ -181,61 +181,92 @@ def mix(driven: DataFrame, orders: int) -> DataFrame:
 # ---- staged tables --------------------------------------------------------------------------------------------------
 
 
-@dataclass
 class Stage:
-    """The tables the daily job leaves behind, as Parquet in the shared folder."""
+    """The tables that the pipeline's jobs leave behind, as Parquet in the shared folder.
 
-    trips_nested: DataFrame
-    metro: DataFrame
-    positions: DataFrame
-    mixed: DataFrame
-    trip_codes: DataFrame
-    features: DataFrame
-    route_words: DataFrame
-    stop_words: DataFrame
-    layout: Layout
+    Each is written once per session and input folder, when first asked for; later queries scan just the columns
+    they need. They play the daily trip table, the position log, and the two feature topics.
+    """
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d, self.root = spark, d, fresh_folder(spark, "stage")
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    @cached_property
+    def trips_nested(self) -> DataFrame:
+        write_trip_table(trips_nested(self.spark, self.d), f"{self.root}/trips_nested")
+        return self.spark.read.parquet(f"{self.root}/trips_nested")
+
+    @cached_property
+    def route_words(self) -> DataFrame:
+        return self._kept(route_words(self.spark, self.d), "route_words")
+
+    @cached_property
+    def stop_words(self) -> DataFrame:
+        return self._kept(stop_words(self.spark, self.d), "stop_words")
+
+    @cached_property
+    def layout(self) -> Layout:
+        return Layout(routes=self.route_words.count(), stops=self.stop_words.count())
+
+    @cached_property
+    def metro(self) -> DataFrame:
+        return self._kept(metro_index(self.trips_nested), "metro")
+
+    @cached_property
+    def _driven(self) -> DataFrame:
+        return self._kept(drive(table(self.spark, self.d, "events"), self.metro), "positions")
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return self._driven.drop("event_type")
+
+    @cached_property
+    def mixed(self) -> DataFrame:
+        return mix(self._driven, table(self.spark, self.d, "orders").count()).drop("event_type")
+
+    @cached_property
+    def trip_codes(self) -> DataFrame:
+        codes = encode_trips(self.trips_nested, self.route_words, self.stop_words, self.layout)
+        return self._kept(codes, "trip_codes")
+
+    def tracked(self) -> DataFrame:
+        return track_runs(detect_hits(self.positions, self.trips_nested))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return self._kept(training_sequences(self.tracked(), self.trip_codes, self.layout), "features")
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        tracked = self.tracked()
+        asked = inference_sequences(tracked, self.trip_codes, self.layout)
+        return self._kept(inference_messages(tracked, asked), "messages")
 
 
 _stages: dict[tuple[str, str], Stage] = {}
 
 
-def vocabulary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Route and stop words: metro routes and stop names, numbered by key."""
+def stage(spark: SparkSession, d: str) -> Stage:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stages:
+        _stages[key] = Stage(spark, d)
+    return _stages[key]
+
+
+def route_words(spark: SparkSession, d: str) -> DataFrame:
+    """Metro routes, numbered by key."""
     metro = table(spark, d, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD"))
-    route_words = dense_index(metro.select("c_custkey"), "c_custkey", "route_ix").select(
+    return dense_index(metro.select("c_custkey"), "c_custkey", "route_ix").select(
         F.col("c_custkey").cast("string").alias("route_id"), F.col("route_ix").cast("int").alias("route_ix")
     )
-    stop_words = dense_index(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "stop_ix").select(
-        F.col("s_name").alias("stop_name"), F.col("stop_ix").cast("int").alias("stop_ix")
-    )
-    return route_words, stop_words
-
 
-def stage(spark: SparkSession, d: str) -> Stage:
-    """Write the derived tables once per session and input folder, and read them back.
 
-    This is the daily job: the nested trip table is made once and every later query scans the columns it needs.
-    """
-    key = (spark.sparkContext.applicationId, d)
-    if key in _stages:
-        return _stages[key]
-    root = fresh_folder(spark, "stage")
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
-
-    write_trip_table(trips_nested(spark, d), f"{root}/trips_nested")
-    nested = spark.read.parquet(f"{root}/trips_nested")
-    route_words, stop_words = (kept(w, n) for w, n in zip(vocabulary(spark, d), ("route_words", "stop_words")))
-    layout = Layout(routes=route_words.count(), stops=stop_words.count())
-    metro = kept(metro_index(nested), "metro")
-    driven = kept(drive(table(spark, d, "events"), metro), "positions")
-    positions = driven.drop("event_type")
-    mixed = mix(driven, table(spark, d, "orders").count()).drop("event_type")
-    trip_codes = kept(encode_trips(nested, route_words, stop_words, layout), "trip_codes")
-    features = kept(
-        training_sequences(track_runs(detect_hits(positions, nested)), trip_codes, layout), "features"
+def stop_words(spark: SparkSession, d: str) -> DataFrame:
+    """Stop names, numbered by key."""
+    return dense_index(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "stop_ix").select(
+        F.col("s_name").alias("stop_name"), F.col("stop_ix").cast("int").alias("stop_ix")
     )
-    _stages[key] = Stage(nested, metro, positions, mixed, trip_codes, features, route_words, stop_words, layout)
-    return _stages[key]

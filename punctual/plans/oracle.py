@@ -232,6 +232,38 @@ WHERE tk[p + 1] <> 33
 """.replace("{split}", """CASE WHEN ('0x' || substr(md5(CAST(trip AS VARCHAR) || '#0'), 1, 8))::BIGINT
   / 4294967296.0 < 0.85 THEN 'train' ELSE 'test' END"""))
 
+for level, columns in (("1", "prev"), ("2", "before, prev"), ("3", "route, hour, before, prev")):
+    _part(f"count{level}", "grams", f"""
+SELECT {columns}, next, count(*) AS n, sum(count(*)) OVER (PARTITION BY {columns}) AS total,
+  count(*) OVER (PARTITION BY {columns}) AS kinds,
+  row_number() OVER (PARTITION BY {columns} ORDER BY count(*) DESC, next) AS nth
+FROM grams WHERE split = 'train' GROUP BY {columns}, next
+""")
+_part("count0", "grams", """
+SELECT next, count(*) AS n, sum(count(*)) OVER () AS total, row_number() OVER (ORDER BY count(*) DESC, next) AS nth
+FROM grams WHERE split = 'train' GROUP BY next
+""")
+for level, columns in (("1", "prev"), ("2", "before, prev"), ("3", "route, hour, before, prev")):
+    _part(f"seen{level}", f"count{level}", f"SELECT DISTINCT {columns}, total, kinds FROM count{level}")
+    _part(f"best{level}", f"count{level}", f"SELECT {columns}, next AS best FROM count{level} WHERE nth = 1")
+# Most likely token for (route, hour, stop, last delta), place by place; the exact context needs every part equal.
+_part("filling", "infer_list layout best1 best2 best3 count0", """
+SELECT * FROM (
+  WITH RECURSIVE walk(id, seq, n, tk, asked, p) AS (
+    SELECT id, seq, n, tk[1:4 + 2 * n], list_contains(tk, skip), 5 FROM infer_list, layout
+    UNION ALL
+    SELECT w.id, w.seq, w.n, list_concat(list_concat(w.tk[1:p], [CASE WHEN w.tk[p + 1] = skip
+      THEN coalesce(b3.best, b2.best, b1.best, (SELECT next FROM count0 WHERE nth = 1)) ELSE w.tk[p + 1] END]),
+      w.tk[p + 2:4 + 2 * w.n]), asked, p + 2
+    FROM walk w JOIN layout ON w.p < 4 + 2 * w.n
+    LEFT JOIN best3 b3 ON b3.route = w.tk[2] AND b3.hour = w.tk[4] AND b3.before = w.tk[p - 1] AND b3.prev = w.tk[p]
+    LEFT JOIN best2 b2 ON b2.before = w.tk[p - 1] AND b2.prev = w.tk[p]
+    LEFT JOIN best1 b1 ON b1.prev = w.tk[p]
+  )
+  SELECT * FROM walk WHERE p >= 4 + 2 * n
+)
+""")
+
 
 def sql() -> dict[str, str]:
     out = {
@@ -430,6 +462,35 @@ SELECT round(avg((label - prediction) * (label - prediction)), 6) AS mse, round(
 SELECT route, hour, before, prev, next, count(*) AS n FROM grams WHERE split = 'train' GROUP BY ALL
 """),
     }
+    out["next_token_loss"] = _with("grams count0 count1 count2 count3 seen1 seen2 seen3 layout", """
+SELECT count(*) AS targets, round(avg(-ln(p3)), 6) AS loss, round(avg(-ln(p0)), 6) AS unigram_loss FROM (
+  SELECT *, CASE WHEN s3.total IS NULL THEN p2 ELSE (coalesce(c3.n, 0) + s3.kinds * p2) / (s3.total + s3.kinds) END
+    AS p3
+  FROM (
+    SELECT *, CASE WHEN s2.total IS NULL THEN p1 ELSE (coalesce(c2.n, 0) + s2.kinds * p1) / (s2.total + s2.kinds) END
+      AS p2
+    FROM (
+      SELECT *, CASE WHEN s1.total IS NULL THEN p0 ELSE (coalesce(c1.n, 0) + s1.kinds * p0) / (s1.total + s1.kinds)
+        END AS p1
+      FROM (
+        SELECT g.route, g.hour, g.before, g.prev, g.next, (coalesce(c0.n, 0) + 1.0::DOUBLE)
+          / ((SELECT max(total) FROM count0) + skip + 1) AS p0
+        FROM grams g JOIN layout ON g.split = 'test' LEFT JOIN count0 c0 ON c0.next = g.next
+      ) g LEFT JOIN count1 c1 USING (prev, next) LEFT JOIN seen1 s1 USING (prev)
+    ) g LEFT JOIN count2 c2 USING (before, prev, next) LEFT JOIN seen2 s2 USING (before, prev)
+  ) g LEFT JOIN count3 c3 USING (route, hour, before, prev, next) LEFT JOIN seen3 s3 USING (route, hour, before, prev)
+)
+""")
+    out["fill_predictions"] = _with("filling infer_list layout", """
+SELECT id, seq, first_predicted_sequence, string_agg(CAST(total AS INTEGER), ',' ORDER BY p) AS delay FROM (
+  SELECT id, seq, p, CASE WHEN f.asked THEN (list_position(i.tk, skip) - 1 - 3) // 2 - 1 ELSE 100 END
+    AS first_predicted_sequence,
+    sum(CASE WHEN x > 30 THEN 0 ELSE x - 15 END) OVER (PARTITION BY id, seq ORDER BY p) AS total
+  FROM (SELECT id, seq, f.asked, u.p, CASE WHEN u.p < len(f.tk) THEN f.tk[u.p + 1] ELSE 33 END AS x
+    FROM filling f, LATERAL (SELECT unnest(range(5, CASE WHEN f.asked THEN len(f.tk) ELSE 75 END, 2)) AS p) u) f
+  JOIN infer_list i USING (id, seq), layout
+) GROUP BY 1, 2, 3
+""")
     out["stream_stop_arrivals"] = _with("arr_p", """
 SELECT id, run, CAST(trip AS VARCHAR) AS trip_id, hit AS stop_index, seq, ts AS timestamp FROM arr_p
 """)
