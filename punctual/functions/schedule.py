@@ -9,24 +9,26 @@ DAY = 86_400
 LOCAL_TO_UTC_S = -3_600  # fixed value: the schedule is local winter time
 
 
-def day_seconds(text: Column) -> Column:
-    """``HH:MM:SS`` to seconds of the service day; null for malformed text."""
-    part = F.split(text, ":")
-    return (
-        F.get(part, F.lit(0)).try_cast("int") * 3600
-        + F.get(part, F.lit(1)).try_cast("int") * 60
-        + F.get(part, F.lit(2)).try_cast("int")
+def day_seconds(texts: Column) -> Column:
+    """Array of ``HH:MM:SS`` to seconds of the service day; null for malformed text."""
+    parts = F.transform(texts, lambda x: F.split(x, ":"))
+
+    def number(p: Column, i: int) -> Column:
+        return F.get(p, F.lit(i)).try_cast("int")
+
+    return F.transform(
+        parts, lambda p: F.when(F.size(p) == 3, number(p, 0) * 3600 + number(p, 1) * 60 + number(p, 2))
     )
 
 
-def is_plain_day(stops: Column) -> Column:
+def is_plain_day(seconds: Column) -> Column:
     """All arrivals are well-formed and before 24:00:00 of the service day."""
-    return F.forall(stops, lambda s: F.coalesce(day_seconds(s["arrival_time"]) < DAY, F.lit(False)))
+    return F.forall(seconds, lambda s: F.coalesce(s < DAY, F.lit(False)))
 
 
 def event_day(timestamp: Column) -> Column:
     """Days since the epoch of the event's UTC date."""
-    return F.floor(timestamp / DAY).cast("int")
+    return F.unix_date(F.to_date(F.timestamp_seconds(timestamp)))
 
 
 def rollover_index(seconds: Column) -> Column:

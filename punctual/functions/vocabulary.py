@@ -73,16 +73,10 @@ class Layout:
 
 def delta_token(seconds: Column) -> Column:
     """Delay change truncated to minutes, clamped to +-15 and moved to 0..30."""
-    minutes = int_div(seconds, 60)
+    minutes = F.call_function("div", seconds, F.lit(60))
     return (F.greatest(F.least(minutes, F.lit(MAX_DELTA)), F.lit(-MAX_DELTA)) + ZERO_DELTA).cast("int")
 
 
-def int_div(value: Column, by: int) -> Column:
-    """Integer division that truncates toward zero."""
-    quotient = value / F.lit(by)
-    return F.when(value < 0, F.ceil(quotient)).otherwise(F.floor(quotient))
-
-
 def token_minutes(token: Column) -> Column:
     """Delay change in minutes of a token; tokens that are no delta count as 0."""
     return F.when(token > 2 * MAX_DELTA, 0).otherwise(token - ZERO_DELTA)

@@ -14,16 +14,19 @@ from .runs import METRO, MIN_STOPS, first_arrivals, reached_by_run
 def _coded(trips_nested: DataFrame, routes: DataFrame, stops: DataFrame, route_type: int) -> DataFrame:
     """Trips of one type with route and stop positions in the vocabulary; null where a name is unknown."""
     trips = trips_nested.filter((F.col("route_type") == route_type) & F.col("stops").isNotNull()).select(
-        "trip_id", "route_id", "direction_id", "stops"
+        "trip_id",
+        "route_id",
+        "direction_id",
+        F.col("stops.stop_name").alias("names"),
+        sch.day_seconds(F.col("stops.arrival_time")).alias("seconds"),
     )
     named = (
-        trips.select("trip_id", F.posexplode("stops").alias("pos", "stop"))
-        .select("trip_id", "pos", F.col("stop.stop_name").alias("stop_name"))
+        trips.select("trip_id", F.posexplode("names").alias("pos", "stop_name"))
         .join(stops, "stop_name", "left")
         .groupBy("trip_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "stop_ix"))).alias("named"))
     )
-    return trips.join(routes, "route_id", "left").join(named, "trip_id")
+    return trips.drop("names").join(routes, "route_id", "left").join(named, "trip_id")
 
 
 def encode_trips(
@@ -35,15 +38,14 @@ def encode_trips(
     are marked by a false ``usable``; the gate and the change detection still count them.
     """
     coded = _coded(trips_nested, routes, stops, route_type)
-    seconds = F.transform("stops", lambda s: sch.day_seconds(s["arrival_time"]))
     routed = F.col("route_ix").isNotNull() & F.col("direction_id").isNotNull()
     known = routed & F.forall("named", lambda x: x["stop_ix"].isNotNull())
     return coded.select(
         "trip_id",
-        (known & sch.is_plain_day(F.col("stops"))).alias("usable"),
+        (known & sch.is_plain_day(F.col("seconds"))).alias("usable"),
         (layout.route0 + layout.routes * F.col("direction_id") + F.col("route_ix")).cast("int").alias("route_token"),
         F.transform("named", lambda x: (x["stop_ix"] + layout.stop0).cast("int")).alias("stop_tokens"),
-        seconds.alias("seconds"),
+        "seconds",
     ).withColumn("rollover", sch.rollover_index(F.col("seconds")))
 
 

@@ -130,7 +130,10 @@ def most_likely(table: DataFrame, context: list[str]) -> DataFrame:
 
 
 def _by_delta(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Most likely token per (keys, last delta), folded to one map per key; at most one entry per token."""
+    """Most likely token per (keys, token before the stop), folded to one map per key.
+
+    Before a stop stands a delta or, at the first stop, the hour, so a map has at most 31 + 24 entries.
+    """
     best = most_likely(table, [*keys, "before"])
     entry = F.struct("before", "best")
     folded = F.map_from_entries(F.collect_list(entry)).alias("choices")
@@ -157,8 +160,9 @@ def fill_sequences(model: list[DataFrame], sequences: DataFrame, layout: Layout)
         F.get("tokens", F.lit(1)).alias("route"),
         F.get("tokens", F.lit(3)).alias("hour"),
     )
-    exact = _by_delta(model[3], ["route", "hour", "prev"]).withColumnRenamed("choices", "exact")
-    local = _by_delta(model[2], ["prev"]).withColumnRenamed("choices", "local")
+    after_stop = F.col("prev").between(layout.stop0, layout.weekday0 - 1)
+    exact = _by_delta(model[3].filter(after_stop), ["route", "hour", "prev"]).withColumnRenamed("choices", "exact")
+    local = _by_delta(model[2].filter(after_stop), ["prev"]).withColumnRenamed("choices", "local")
     plain = most_likely(model[1], ["prev"]).withColumnRenamed("best", "plain")
     overall = model[0].agg(F.max_by("next", F.struct("n", -F.col("next")))).scalar()
     # Equal questions are folded first: the joins meet each distinct (route, hour, stop) once.

@@ -11,12 +11,18 @@ from .runs import METRO
 
 def day_plans(trips_nested: DataFrame, route_type: int | None = METRO) -> DataFrame:
     """Per trip with stops all before hour 24: seconds per stop and the rollover index."""
-    chosen = F.col("stops").isNotNull() & sch.is_plain_day(F.col("stops"))
+    chosen = F.col("stops").isNotNull()
     if route_type is not None:
         chosen = (F.col("route_type") == route_type) & chosen
     return (
         trips_nested.filter(chosen)
-        .select("trip_id", "stops", F.transform("stops", lambda s: sch.day_seconds(s["arrival_time"])).alias("seconds"))
+        .select(
+            "trip_id",
+            F.col("stops.stop_sequence").alias("sequences"),
+            F.col("stops.stop_name").alias("names"),
+            sch.day_seconds(F.col("stops.arrival_time")).alias("seconds"),
+        )
+        .filter(sch.is_plain_day(F.col("seconds")))
         .withColumn("rollover", sch.rollover_index(F.col("seconds")))
     )
 
@@ -33,7 +39,7 @@ def resolved_schedule(
     day = sch.event_day(F.col("timestamp"))
     args = (F.col("seconds"), day, F.col("rollover"))
     times = sch.resolve(*args, offset_s) if zone is None else sch.resolve_in_zone(*args, zone)
-    rows = F.explode(F.arrays_zip(times.alias("scheduled"), F.col("stops.stop_sequence").alias("stop_sequence")))
+    rows = F.explode(F.arrays_zip(times.alias("scheduled"), F.col("sequences").alias("stop_sequence")))
     return planned.select(*trip_days.columns, rows.alias("r")).select(
         *trip_days.columns, "r.stop_sequence", "r.scheduled"
     )
@@ -52,13 +58,12 @@ def arrival_delays(arrivals: DataFrame, trips_nested: DataFrame, offset_s: int =
     return (
         arrivals.join(plans, "trip_id")
         .withColumn("scheduled", scheduled)
-        .withColumn("stop", F.get("stops", at))
         .select(
             "id",
             "run",
             "trip_id",
-            "stop.stop_sequence",
-            "stop.stop_name",
+            F.get("sequences", at).alias("stop_sequence"),
+            F.get("names", at).alias("stop_name"),
             F.col("timestamp").alias("arrival"),
             "scheduled",
             (F.col("timestamp") - F.col("scheduled")).alias("delay_s"),

@@ -21,11 +21,12 @@ MIN_STOPS = 3
 BLOCK_ROWS = 1 << 20
 
 # A running maximum over (run number, value) packed in one long restarts by itself at every new run.
-_SLOT = 1 << 17
+_BITS = 17
+_SLOT = 1 << _BITS
 
 
 def block_of(seq: Column, block_rows: int) -> Column:
-    return F.floor(seq / F.lit(block_rows))
+    return F.call_function("div", seq, F.lit(block_rows))
 
 
 def enrich(positions: DataFrame, trips_nested: DataFrame, drop_stops: bool = False) -> DataFrame:
@@ -49,9 +50,7 @@ def detect_hits(
     sites = trips_nested.filter((F.col("route_type") == route_type) & F.col("stops").isNotNull()).select(
         "trip_id",
         F.size("stops").alias("n_stops"),
-        F.transform(
-            "stops", lambda s: F.struct(s["stop_lat"].alias("stop_lat"), s["stop_lon"].alias("stop_lon"))
-        ).alias("sites"),
+        F.arrays_zip("stops.stop_lat", "stops.stop_lon").alias("sites"),
     )
     near = nearest_site(F.col("sites"), F.col("lat"), F.col("lng"))
     distance = term_to_metres(F.col("near.term"))
@@ -80,6 +79,7 @@ def _local(hits: DataFrame, block_rows: int) -> DataFrame:
     judged = F.when(F.col("n_stops") >= MIN_STOPS, F.col("mark"))
     return (
         hits.withColumn("block", block_of(F.col("seq"), block_rows))
+        .filter(F.col("id").isNotNull() & F.col("block").isNotNull())
         .withColumn("changed", changed.cast("bigint"))
         .withColumn("local_run", F.sum("changed").over(so_far))
         .withColumn("mark", F.max(packed).over(so_far))
@@ -89,22 +89,26 @@ def _local(hits: DataFrame, block_rows: int) -> DataFrame:
 
 
 def _run_of(mark: Column) -> Column:
-    return F.floor(mark / F.lit(_SLOT))
+    return F.shiftright(mark, _BITS)
 
 
 def _top_of(mark: Column) -> Column:
     """Highest stop index in a packed mark, -1 for none."""
-    return F.pmod(mark, F.lit(_SLOT)) - 1
+    return mark.bitwiseAND(_SLOT - 1) - 1
 
 
 def _carries(local: DataFrame) -> DataFrame:
-    """State at the start of every (vehicle, block), from one summary row per block."""
+    """State at the start of every (vehicle, block), from one summary row per block.
+
+    The summary uses the same columns as the events themselves, so both sides of the join read one exchange.
+    """
     w = W.partitionBy("id").orderBy("block")
     so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = w.rowsBetween(W.unboundedPreceding, -1)
+    order, trip = F.struct("seq", "timestamp"), F.struct("trip_id", "n_stops")
     summary = local.groupBy("id", "block").agg(
-        F.min_by("trip_id", F.struct("seq", "timestamp")).alias("first_trip"),
-        F.max_by("trip_id", F.struct("seq", "timestamp")).alias("last_trip"),
+        F.min_by(trip, order).alias("first_trip"),
+        F.max_by(trip, order).alias("last_trip"),
         F.max("mark").alias("tail"),
         F.max(F.when(F.col("n_stops") >= MIN_STOPS, F.col("mark"))).alias("judged"),
     )
@@ -144,7 +148,7 @@ def track_runs(hits: DataFrame, block_rows: int = BLOCK_ROWS, reset_on_trip: boo
     if reset_on_trip:
         same = F.col("_now").eqNullSafe(F.col("_then"))
     else:
-        same = F.pmod("_now", F.lit(_SLOT)).eqNullSafe(F.pmod("_then", F.lit(_SLOT)))
+        same = _top_of(F.col("_now")).eqNullSafe(_top_of(F.col("_then")))
     return (
         rows.withColumn("_now", now)
         .withColumn("_then", then)
@@ -157,7 +161,7 @@ def track_runs(hits: DataFrame, block_rows: int = BLOCK_ROWS, reset_on_trip: boo
             "hit",
             "block",
             _run_of(F.col("_now")).alias("run"),
-            F.pmod("_now", F.lit(_SLOT)).cast("int").alias("highest"),
+            (_top_of(F.col("_now")) + 1).cast("int").alias("highest"),
             F.when(F.col("n_stops") >= MIN_STOPS, F.when(same, "resend").otherwise("new")).alias("kind"),
         )
     )
@@ -173,8 +177,7 @@ def first_arrivals(runs: DataFrame) -> DataFrame:
     return (
         runs.filter(F.col("hit").isNotNull())
         .groupBy("id", "run", "trip_id", "n_stops", "hit")
-        .agg(F.min(F.struct("seq", "timestamp")).alias("first"))
-        .select("id", "run", "trip_id", "n_stops", "hit", "first.seq", "first.timestamp")
+        .agg(F.min("seq").alias("seq"), F.min_by("timestamp", "seq").alias("timestamp"))
     )
 
 

@@ -97,23 +97,29 @@ def clock(seconds: Column) -> Column:
 
 
 def stop_times(spark: SparkSession, d: str) -> DataFrame:
-    """One row per (order, line number); repeated pairs are folded before the shuffle."""
+    """One row per (order, line number); repeated pairs are folded before the shuffle.
+
+    All steps after the fold, and the nesting of the stops, are keyed by ``trip_id`` and share its exchange.
+    """
+    trip_id = F.col("l_orderkey").cast("string").alias("trip_id")
     lines = (
-        table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("stop_key"))
+        table(spark, d, "lineitem")
+        .groupBy(trip_id, "l_orderkey", "l_linenumber")
+        .agg(F.min("l_suppkey").alias("stop_key"))
     )
-    q = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    q = F.row_number().over(W.partitionBy("trip_id").orderBy("l_linenumber"))
     trip = F.col("l_orderkey")
     raw = raw_seconds(trip, F.col("stop_sequence"))
     arrival = F.when(F.floor(trip / 20) % 2 == 1, raw % 86_400).otherwise(raw)
     heads = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("stop_headsign")
+        F.col("o_orderkey").cast("string").alias("trip_id"), F.col("o_orderpriority").alias("stop_headsign")
     )
     return (
         lines.withColumn("stop_sequence", q)
-        .join(heads, "l_orderkey", "left")
+        .join(heads, "trip_id", "left")
         .withColumn("arrival", arrival)
         .select(
-            trip.cast("string").alias("trip_id"),
+            "trip_id",
             F.col("stop_key").cast("string").alias("stop_id"),
             "stop_sequence",
             clock(F.col("arrival")).alias("arrival_time"),
@@ -135,9 +141,7 @@ def metro_index(nested: DataFrame) -> DataFrame:
     """Metro trips with stops, numbered by trip key."""
     metro = nested.filter((F.col("route_type") == METRO) & F.col("stops").isNotNull()).select(
         F.col("trip_id").cast("bigint").alias("trip_key"),
-        F.transform(
-            "stops", lambda s: F.struct(s["stop_lat"].alias("stop_lat"), s["stop_lon"].alias("stop_lon"))
-        ).alias("sites"),
+        F.arrays_zip("stops.stop_lat", "stops.stop_lon").alias("sites"),
     )
     return dense_index(metro, "trip_key", "ix")
 

@@ -18,11 +18,16 @@ def archive_rows(enriched: DataFrame) -> DataFrame:
 
 
 def write_archive(enriched: DataFrame, folder: str, mode: str = "append") -> None:
-    """Gzip CSV by event date, at most a million rows per file; events are sorted by order inside a file."""
+    """Gzip CSV by event date, at most a million rows per file, in event order over the files of a date.
+
+    Ranges of (date, seq) are balanced by Spark's sampling, so a busy date is spread over several tasks and a
+    quiet one does not leave a file per task.
+    """
     day = F.date_from_unix_date(F.floor(F.col("timestamp") / 86_400).cast("int"))
     rows = enriched.withColumn("date", day)
     (
-        rows.sortWithinPartitions("date", "seq")
+        rows.repartitionByRange("date", "seq")
+        .sortWithinPartitions("date", "seq")
         .select(*ARCHIVE.fieldNames(), "date")
         .write.mode(mode)
         .partitionBy("date")
