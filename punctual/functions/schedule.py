@@ -9,6 +9,11 @@ DAY = 86_400
 LOCAL_TO_UTC_S = -3_600  # fixed value: the schedule is local winter time
 
 
+def utc_seconds(naive: Column) -> Column:
+    """Epoch seconds of a timestamp without zone, read as UTC whatever the session's zone is."""
+    return F.unix_seconds(F.from_utc_timestamp(naive.cast("timestamp"), F.current_timezone()))
+
+
 def day_seconds(texts: Column) -> Column:
     """Array of ``HH:MM:SS`` to seconds of the service day; null for malformed text."""
     parts = F.transform(texts, lambda x: F.split(x, ":"))
@@ -28,7 +33,7 @@ def is_plain_day(seconds: Column) -> Column:
 
 def event_day(timestamp: Column) -> Column:
     """Days since the epoch of the event's UTC date."""
-    return F.unix_date(F.to_date(F.timestamp_seconds(timestamp)))
+    return F.floor(timestamp / DAY).cast("int")
 
 
 def rollover_index(seconds: Column) -> Column:

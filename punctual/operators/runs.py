@@ -49,7 +49,8 @@ def detect_hits(
     """
     sites = trips_nested.filter((F.col("route_type") == route_type) & F.col("stops").isNotNull()).select(
         "trip_id",
-        F.size("stops").alias("n_stops"),
+        # Sizes and coordinates of single fields keep the other stop fields out of the scan.
+        F.size("stops.stop_lat").alias("n_stops"),
         F.arrays_zip("stops.stop_lat", "stops.stop_lon").alias("sites"),
     )
     near = nearest_site(F.col("sites"), F.col("lat"), F.col("lng"))
@@ -168,8 +169,14 @@ def track_runs(hits: DataFrame, block_rows: int = BLOCK_ROWS, reset_on_trip: boo
 
 
 def number_runs(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every event with its run number per vehicle: a run ends when the trip changes (A, B, A gives 0, 1, 2)."""
-    return track_runs(hits, block_rows).select("id", "seq", "timestamp", "trip_id", "n_stops", "hit", "run")
+    """Every event with its run number per vehicle: a run ends when the trip changes (A, B, A gives 0, 1, 2).
+
+    Needs no stops, so none are measured: the distances are pruned from the plan.
+    """
+    bare = hits.select(
+        "id", "seq", "timestamp", "trip_id", F.lit(0).alias("n_stops"), F.lit(None).cast("int").alias("hit")
+    )
+    return track_runs(bare, block_rows).select("id", "seq", "timestamp", "trip_id", "run")
 
 
 def first_arrivals(runs: DataFrame) -> DataFrame:

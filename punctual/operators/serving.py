@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_KM, distance_m, in_viewport
 from .neighbours import with_previous
-from .runs import BLOCK_ROWS
+from .runs import BLOCK_ROWS, block_of
 
 # Texts shown to the reader.
 DIRECTION_WORD = "mot "
@@ -119,7 +119,9 @@ def attach_predictions(state: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
-def resend_predictions(messages: DataFrame, predictions: DataFrame) -> DataFrame:
+def resend_predictions(
+    messages: DataFrame, predictions: DataFrame, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """The prediction to repeat for every bare-id message: the last one before it; none before the first.
 
     A running 'last value' over one vehicle, cut into blocks like the other ordered steps.
@@ -128,7 +130,7 @@ def resend_predictions(messages: DataFrame, predictions: DataFrame) -> DataFrame
     made = predictions.select(
         "id", "seq", F.struct("delay", F.col("first_predicted_sequence").alias("first")).alias("answer")
     )
-    both = asked.unionByName(made).withColumn("block", F.floor(F.col("seq") / BLOCK_ROWS))
+    both = asked.unionByName(made).withColumn("block", block_of(F.col("seq"), block_rows))
     w = W.partitionBy("id", "block").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     carry = (
         both.groupBy("id", "block")

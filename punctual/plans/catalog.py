@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.schedule import utc_seconds
 from ..functions.vocabulary import token_table
 from ..operators import decode, features, model, punctuality, runs, serving, timetable
 from ..session import fresh_folder
@@ -154,7 +155,8 @@ def live_messages(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def trip_runs(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed_runs(spark, d).select("id", "seq", "trip_id", "run")
+    s = fx.stage(spark, d)
+    return runs.number_runs(runs.detect_hits(s.mixed, s.trips_nested)).drop("timestamp")
 
 
 @query
@@ -175,7 +177,7 @@ def inference_emits(spark: SparkSession, d: str) -> DataFrame:
 def schedule_resolved(spark: SparkSession, d: str) -> DataFrame:
     days = fx.table(spark, d, "orders").select(
         F.col("o_orderkey").cast("string").alias("trip_id"),
-        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("timestamp"),
+        utc_seconds(F.col("o_orderdate")).alias("timestamp"),
     )
     return punctuality.resolved_schedule(days, fx.stage(spark, d).trips_nested).select(
         "trip_id", "stop_sequence", "scheduled"

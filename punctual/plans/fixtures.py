@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.schedule import utc_seconds
 from ..functions.vocabulary import Layout
 from ..operators.features import encode_trips, inference_messages, inference_sequences, training_sequences
 from ..operators.runs import METRO, detect_hits, track_runs
@@ -149,9 +150,9 @@ def metro_index(nested: DataFrame) -> DataFrame:
 def drive(events: DataFrame, index: DataFrame) -> DataFrame:
     """Vehicle positions from driver events: user = vehicle, ten-day period = trip of the vehicle.
 
-    ``also_trip`` is for mixed traffic. Works on a stream of events too; ``index`` is static.
+    Works on a stream of events too; ``index`` is static.
     """
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    at = utc_seconds(F.col("ts"))
     seq = F.col("event_id")
     total = index.agg(F.count(F.lit(1))).scalar()
     trip, q = F.col("trip_key"), F.col("q")

@@ -79,15 +79,21 @@ def stream_feeds(spark: SparkSession, folder: str, max_files: int | None = None)
 
 
 def quarantined(feeds: DataFrame) -> DataFrame:
-    """Payloads that could not be decoded."""
-    return feeds.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("payload"), "agency")
+    """Payloads that could not be decoded, with the number of entities that were readable in them."""
+    readable = F.coalesce(F.size("entity"), F.lit(0))
+    return feeds.filter(F.col(CORRUPT).isNotNull()).select(
+        F.col(CORRUPT).alias("payload"), "agency", F.greatest(readable, F.lit(0)).alias("readable")
+    )
 
 
 def flatten_feed(feeds: DataFrame) -> DataFrame:
     """Position events of the entities that have a vehicle id, a position and a timestamp.
 
-    A trip without an id gives the empty id; no trip at all gives null. ``agency`` is kept where present.
+    A trip without an id gives the empty id; no trip at all gives null. ``agency`` is kept where present. A
+    message that did not decode is left out as a whole; see ``quarantined``.
     """
+    if CORRUPT in feeds.columns:
+        feeds = feeds.filter(F.col(CORRUPT).isNull())
     entity = feeds.select(
         *[c for c in ("agency",) if c in feeds.columns], F.explode("entity").alias("e")
     )
