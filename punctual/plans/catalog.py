@@ -370,6 +370,18 @@ def tree_delay_model(spark: SparkSession, d: str) -> DataFrame:
     return model.error_metrics(model.predict_tree(fitted, examples.filter("split = 'test'")))
 
 
+@query
+def prediction_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions as published: JSON text."""
+    return decode.prediction_json(_predictions(spark, d))
+
+
+@query
+def latest_predictions(spark: SparkSession, d: str) -> DataFrame:
+    last = serving.latest_row(_predictions(spark, d).select("id", "seq", "delay", "first_predicted_sequence"))
+    return last.select("id", "seq", "first_predicted_sequence", text("delay").alias("delay"))
+
+
 def _fit_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     split = features.assign_split(fx.stage(spark, d).features, "trip_id", FIT_SHARES)
     return split.filter("split = 'train'"), split.filter("split = 'test'")
@@ -435,12 +447,47 @@ def stream_train_sequences(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_infer_messages(spark: SparkSession, d: str) -> DataFrame:
     s, folder = fx.stage(spark, d), fresh_folder(spark, "stream")
-    job = jobs.start_features(
+    job = jobs.start_messages(
         _position_stream(spark, d), s.trips_nested, s.trip_codes, s.layout, f"{folder}/out", f"{folder}/log",
         available_now=True,
     )
     jobs.run_to_end(job)
-    return spark.read.parquet(f"{folder}/out/infer").select("id", "seq", "message")
+    return spark.read.parquet(f"{folder}/out/messages").select("id", "seq", "message")
+
+
+@query
+def stream_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """The prediction job over the message table as a stream."""
+    s, folder = fx.stage(spark, d), fresh_folder(spark, "stream")
+    train, _ = _fit_parts(spark, d)
+    model.save_counts(model.count_tokens(train), model.dataset_counts(train), f"{folder}/model")
+    messages = spark.readStream.schema(s.messages.schema).parquet(f"{s.root}/messages")
+    job = jobs.start_predictions(
+        messages, model.load_counts(spark, f"{folder}/model"), s.layout, f"{folder}/out", f"{folder}/log", True
+    )
+    jobs.run_to_end(job)
+    return spark.read.parquet(f"{folder}/out/predictions").select(
+        "id", "seq", "first_predicted_sequence", text("delay").alias("delay")
+    )
+
+
+@query
+def stream_feed_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Feed messages landed as JSON per agency, streamed, flattened and stored."""
+    folder = fresh_folder(spark, "feeds")
+    traffic = fx.stage(spark, d).mixed
+    position = F.struct(F.col("lat").alias("latitude"), F.col("lng").alias("longitude"))
+    trip = F.when(F.col("trip_id").isNotNull(), F.struct("trip_id"))
+    vehicle = F.struct(
+        trip.alias("trip"), F.struct("id").alias("vehicle"), position.alias("position"), F.col("timestamp")
+    )
+    landed = traffic.select(
+        F.array(F.struct(vehicle.alias("vehicle"))).alias("entity"), F.pmod(F.hash("id"), F.lit(11)).alias("agency")
+    )
+    landed.write.partitionBy("agency").json(f"{folder}/in")
+    flat = readers.flatten_feed(readers.stream_feeds(spark, f"{folder}/in"))
+    jobs.run_to_end(jobs.start_parquet(flat, f"{folder}/out", f"{folder}/log", True))
+    return spark.read.parquet(f"{folder}/out").select("id", *degrees("lat", "lng"), "trip_id", "timestamp")
 
 
 @query

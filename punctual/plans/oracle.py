@@ -493,6 +493,18 @@ SELECT id, seq, first_predicted_sequence, string_agg(CAST(total AS INTEGER), ','
 """)
     out["stream_stop_arrivals"] = _with("arr_p", """
 SELECT id, run, CAST(trip AS VARCHAR) AS trip_id, hit AS stop_index, seq, ts AS timestamp FROM arr_p
+""")
+    out["prediction_messages"] = _with("decoded", """
+SELECT '{"id":"' || id || '","delay":[' || array_to_string(delay, ',') || '],"first_predicted_sequence":' ||
+  first_predicted || '}' AS value FROM decoded
+""")
+    out["latest_predictions"] = _with("decoded", """
+SELECT id, max(seq) AS seq, arg_max(first_predicted, seq) AS first_predicted_sequence,
+  array_to_string(arg_max(delay, seq), ',') AS delay FROM decoded GROUP BY 1
+""")
+    out["stream_predictions"] = out["fill_predictions"]
+    out["stream_feed_positions"] = _with("mixed", """
+SELECT id, round(lat, 6) AS lat, round(lng, 6) AS lng, CAST(trip AS VARCHAR) AS trip_id, ts AS timestamp FROM mixed
 """)
     out["stream_train_sequences"] = out["train_sequences"]
     out["stream_infer_messages"] = out["infer_messages"]

@@ -111,6 +111,19 @@ def flatten_feed(feeds: DataFrame) -> DataFrame:
     )
 
 
+ORDER_TICKS = 1 << 20
+
+
+def with_order(positions: DataFrame) -> DataFrame:
+    """A ``seq`` for events that carry no ingest number: the timestamp, then a hash of the row.
+
+    One second spans ``ORDER_TICKS`` values, so blocks of the ordered operators should be given as
+    ``ORDER_TICKS * seconds``.
+    """
+    tie = F.pmod(F.xxhash64("id", "lat", "lng", "trip_id"), F.lit(ORDER_TICKS))
+    return positions.withColumn("seq", F.col("timestamp") * ORDER_TICKS + tie)
+
+
 def union_feeds(*feeds: DataFrame) -> DataFrame:
     first, *rest = feeds
     for other in rest:
@@ -165,7 +178,7 @@ def replay_archive(spark: SparkSession, folder: str, start: int = REPLAY_START)
 
 def stream_archive(spark: SparkSession, folder: str, max_files: int = 1) -> DataFrame:
     """The archive as a rate-limited stream, for a replay through the live steps."""
-    return (
+    return with_order(
         spark.readStream.schema(schemas.ARCHIVE)
         .option("header", True)
         .option("mode", "FAILFAST")

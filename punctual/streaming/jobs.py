@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.vocabulary import Layout
+from ..operators import decode
 from ..operators import features as feat
+from ..operators.model import fill_sequences
 from ..operators.runs import detect_hits, enrich
-from ..operators.serving import live_json
+from ..operators.serving import latest_row, live_json, resend_predictions
 from ..sources.writers import archive_rows
 from .steps import gate_open, once_per_trip_and_day, stream_arrivals, track_stream
 
@@ -109,7 +111,7 @@ def start_arrivals(
     return start_parquet(stream_arrivals(tracked_stream(positions, trips_nested)), folder, checkpoint, available_now)
 
 
-def start_features(
+def start_messages(
     positions: DataFrame,
     trips_nested: DataFrame,
     trip_codes: DataFrame,
@@ -118,25 +120,67 @@ def start_features(
     checkpoint: str,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Inference messages (new sequences and resend marks) and training sequences, one folder each per batch.
+    """Inference messages, new sequences and repeat marks, to ``folder``/messages.
 
-    A batch's tracked events feed three writes, so they are kept for the length of the batch.
+    A batch's tracked events are read twice, so they are kept for the length of the batch.
     """
-    tracked = tracked_stream(positions, trips_nested)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
         try:
             emits = kept.filter("kind = 'new'").withColumnRenamed("real_stop_times", "times")
             sequences = feat.inference_tokens(emits, trip_codes, layout)
-            feat.inference_messages(kept, sequences).write.mode("overwrite").parquet(
-                f"{folder}/infer/batch={batch_id}"
-            )
-            gate_open(kept).write.mode("overwrite").parquet(f"{folder}/gated/batch={batch_id}")
+            messages = feat.inference_messages(kept, sequences)
+            messages.write.mode("overwrite").parquet(f"{folder}/messages/batch={batch_id}")
         finally:
             kept.unpersist()
 
-    return start_batches(tracked, write, checkpoint, available_now)
+    return start_batches(tracked_stream(positions, trips_nested), write, checkpoint, available_now)
+
+
+def start_predictions(
+    messages: DataFrame,
+    model: list[DataFrame],
+    layout: Layout,
+    folder: str,
+    checkpoint: str,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """The prediction job over a stream of messages ``(id, seq, message)``.
+
+    New sequences are filled and decoded (``folder``/predictions), bare ids repeat the vehicle's last prediction
+    (``folder``/resent), and the last prediction per vehicle is carried to the next batch (``folder``/latest).
+    """
+    spark = messages.sparkSession
+    shown = ["id", "seq", "delay", "first_predicted_sequence"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        def put(df: DataFrame, name: str) -> DataFrame:
+            path = f"{folder}/{name}/batch={batch_id}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
+
+        parsed = decode.parse_messages(batch)
+        filled = fill_sequences(model, parsed.filter("tokens is not null").select("id", "seq", "tokens"), layout)
+        decoded = decode.decode_delays(filled, layout.skip, filled="answer").select(*shown)
+        known = put(decoded, "predictions")
+        if batch_id > 0:
+            known = known.unionByName(spark.read.parquet(f"{folder}/latest/batch={batch_id - 1}").select(*shown))
+        put(resend_predictions(parsed.filter("tokens is null"), known), "resent")
+        put(latest_row(known).select(*shown), "latest")
+
+    return start_batches(messages, write, checkpoint, available_now)
+
+
+def start_feature_table(
+    sequences: DataFrame, folder: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Training sequences to the wide feature table, one group of rows with keys per batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        feat.wide_features(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return start_batches(sequences, write, checkpoint, available_now)
 
 
 def start_training(

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 from test_features import LAYOUT, prepare, words
 from world import Model, at, clock, make_trip, positions_frame, random_world, trips_frame
 
+from punctual.functions.vocabulary import Layout
 from punctual.operators import features, runs
+from punctual.operators.model import count_tokens
+from punctual.sources import readers, writers
 from punctual.streaming import jobs, steps
 
 
@@ -58,15 +61,71 @@ def test_streamed_messages_equal_batch(spark, tmp_path):
     for first in range(0, 400, 200):
         land(spark, landing, rows, first, first + 200)
     jobs.run_to_end(
-        jobs.start_features(
+        jobs.start_messages(
             positions_stream(spark, landing), trips_frame(spark, trips), codes, LAYOUT, out, log, available_now=True
         )
     )
-    got = spark.read.parquet(f"{out}/infer").select("id", "seq", "message").collect()
+    got = spark.read.parquet(f"{out}/messages").select("id", "seq", "message").collect()
     want = features.inference_messages(tracked, features.inference_sequences(tracked, codes, LAYOUT)).collect()
     assert sorted(got) == sorted(want)
 
 
+def test_predictions_are_carried_over_batches(spark, tmp_path):
+    landing, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    train = [[31, 34, 150, 160, 48, 15, 49, 17, 50, 14, 32] + [33] * 64]
+    model = count_tokens(spark.createDataFrame([(t,) for t in train], "tokens array<int>"))
+    skip = LAYOUT.skip
+    fresh = "v:" + ",".join(map(str, [31, 34, 150, 160, 48, 15, 49, skip, 50, skip] + [33] * 65))
+    layout = Layout()
+    fresh = fresh.replace(str(skip), str(layout.skip))
+    for rows in ([("v", 1, "v"), ("v", 2, fresh), ("v", 3, "v")], [("v", 4, "v"), ("w", 5, "w")]):
+        frame = spark.createDataFrame(rows, "id string, seq bigint, message string").coalesce(1)
+        frame.write.mode("append").parquet(landing)
+        stream = readers.stream_messages(spark, landing)
+        jobs.run_to_end(jobs.start_predictions(stream, model, layout, out, log, True))
+    made = spark.read.parquet(f"{out}/predictions").collect()
+    assert [(r.id, r.seq, r.delay, r.first_predicted_sequence) for r in made] == [("v", 2, [0, 2, 1], 2 - 1)]
+    sent = spark.read.parquet(f"{out}/resent").orderBy("seq").collect()
+    assert [(r.id, r.seq, r.delay) for r in sent] == [("v", 3, [0, 2, 1]), ("v", 4, [0, 2, 1])]
+
+
+def test_feature_table_grows_by_batches(spark, tmp_path):
+    landing, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    for i in range(2):
+        spark.createDataFrame([([i] * 75,)] * 3, "tokens array<int>").write.mode("append").parquet(landing)
+        stream = spark.readStream.schema("tokens array<int>").parquet(landing)
+        jobs.run_to_end(jobs.start_feature_table(stream, out, log, True))
+    stored = spark.read.parquet(out)
+    assert stored.count() == 6 and stored.select("uuid").distinct().count() == 6
+
+
+def test_feed_to_arrivals_without_ingest_numbers(spark, tmp_path):
+    landing, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    trips, rows = random_world(25, events=200)
+    stamped = [(r[0], *r[1:5], 1_700_000_000 + 3 * r[0]) for r in rows]
+    frame = positions_frame(spark, stamped).drop("seq")
+    numbered = readers.with_order(frame)
+    nested = trips_frame(spark, trips)
+    batch = runs.first_arrivals(runs.track_runs(runs.detect_hits(numbered, nested), readers.ORDER_TICKS * 60))
+    frame.write.parquet(landing)
+    stream = readers.with_order(spark.readStream.schema(frame.schema).parquet(landing))
+    jobs.run_to_end(jobs.start_arrivals(stream, nested, out, log, True))
+    columns = ["id", "run", "trip_id", "hit", "timestamp"]
+    assert sorted(spark.read.parquet(out).select(*columns).collect()) == sorted(batch.select(*columns).collect())
+    model = Model(trips, stamped)
+    assert batch.count() == sum(1 for _ in spark.read.parquet(out).collect()) and model.tracked
+
+
+def test_archive_is_replayed_as_a_stream(spark, tmp_path):
+    archive, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    trips, rows = random_world(26, events=150)
+    nested = trips_frame(spark, trips)
+    writers.write_archive(runs.enrich(positions_frame(spark, rows), nested), archive)
+    stream = readers.stream_archive(spark, archive)
+    jobs.run_to_end(jobs.start_parquet(stream, out, log, True))
+    assert spark.read.parquet(out).count() == sum(1 for r in rows if r[4] is not None)
+
+
 def test_once_per_trip_inside_a_watermark(spark, tmp_path):
     times = [clock(50_000 + 60 * i) for i in range(3)]
     noon = 1_700_000_000 // 86_400 * 86_400 + 43_200
