@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import schedule as sch
 from ..functions.vocabulary import EOS, PAD, SOS, ZERO_DELTA, Layout, delta_token
 from ..schemas import FEATURE_COLUMNS, SEQUENCE_LENGTH
-from .runs import METRO, MIN_STOPS, first_arrivals, reached_by_run
+from .runs import METRO, MIN_STOPS, reached_by_run
 
 
 def _coded(trips_nested: DataFrame, routes: DataFrame, stops: DataFrame, route_type: int) -> DataFrame:
@@ -205,9 +205,9 @@ def training_delays(gated: DataFrame, trip_codes: DataFrame, offset_s: int = sch
     )
 
 
-def training_sequences(runs: DataFrame, trip_codes: DataFrame, layout: Layout, **options) -> DataFrame:
+def training_sequences(arrivals: DataFrame, trip_codes: DataFrame, layout: Layout, **options) -> DataFrame:
     """Training features end to end: gate, once per trip, plain-day trips, tokens."""
-    gated = once_per_trip(training_gate(reached_by_run(first_arrivals(runs))))
+    gated = once_per_trip(training_gate(reached_by_run(arrivals)))
     return training_tokens(gated, trip_codes, layout, **options)
 
 
@@ -238,12 +238,12 @@ def inference_tokens(
     )
 
 
-def inference_emits(runs: DataFrame) -> DataFrame:
+def inference_emits(runs: DataFrame, arrivals: DataFrame) -> DataFrame:
     """The events that ask for a new prediction, with the stop times known at each.
 
     A run has at most one such event per stop and one at its start, so neither side of the join is hot.
     """
-    reached = reached_by_run(first_arrivals(runs)).select("id", "run", "reached")
+    reached = reached_by_run(arrivals).select("id", "run", "reached")
     empty = F.transform(F.sequence(F.lit(1), F.col("n_stops")), lambda i: F.lit(None).cast("bigint"))
     known = F.transform("reached", lambda r: F.when(r["seq"] <= F.col("seq"), r["timestamp"]))
     return (
@@ -255,9 +255,11 @@ def inference_emits(runs: DataFrame) -> DataFrame:
     )
 
 
-def inference_sequences(runs: DataFrame, trip_codes: DataFrame, layout: Layout, **options) -> DataFrame:
+def inference_sequences(
+    runs: DataFrame, arrivals: DataFrame, trip_codes: DataFrame, layout: Layout, **options
+) -> DataFrame:
     """Inference features end to end."""
-    return inference_tokens(inference_emits(runs), trip_codes, layout, **options)
+    return inference_tokens(inference_emits(runs, arrivals), trip_codes, layout, **options)
 
 
 def inference_messages(runs: DataFrame, sequences: DataFrame) -> DataFrame:

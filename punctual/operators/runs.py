@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import nearest_site, term_to_metres
+from ..functions.geo import chord_terms, term_to_metres, unit_vector
 
 METRO = 401
 STOP_RADIUS_M = 250.0
@@ -47,48 +47,62 @@ def detect_hits(
     ``hit`` is the index of the trip's closest stop if that lies within the radius. The wide stop list is
     dropped in the join stage, before anything is shuffled by vehicle.
     """
+    # Single fields of the stops keep the other fields out of the scan; their vectors are made once per trip.
     sites = trips_nested.filter((F.col("route_type") == route_type) & F.col("stops").isNotNull()).select(
         "trip_id",
-        # Sizes and coordinates of single fields keep the other stop fields out of the scan.
         F.size("stops.stop_lat").alias("n_stops"),
-        F.arrays_zip("stops.stop_lat", "stops.stop_lon").alias("sites"),
+        F.transform(
+            F.arrays_zip("stops.stop_lat", "stops.stop_lon"),
+            lambda s: F.struct(*unit_vector(s["stop_lat"], s["stop_lon"])),
+        ).alias("sites"),
     )
-    near = nearest_site(F.col("sites"), F.col("lat"), F.col("lng"))
-    distance = term_to_metres(F.col("near.term"))
+    nearest = term_to_metres(F.col("nearest"))
     return (
         positions.filter(F.col("trip_id").isNotNull())
+        .select("id", "seq", "timestamp", "trip_id", *unit_vector(F.col("lat"), F.col("lng")))
         .join(sites, "trip_id")
-        .withColumn("near", near)
+        .withColumn("terms", chord_terms(F.col("sites"), F.col("ux"), F.col("uy"), F.col("uz")))
+        .withColumn("nearest", F.array_min("terms"))
         .select(
             "id",
             "seq",
             "timestamp",
             "trip_id",
             "n_stops",
-            F.when((distance < radius_m) & (distance < cap_m), F.col("near.idx")).alias("hit"),
+            # The first of equally near stops is taken.
+            F.when((nearest < radius_m) & (nearest < cap_m), F.array_position("terms", F.col("nearest")) - 1)
+            .cast("int")
+            .alias("hit"),
         )
     )
 
 
-def _local(hits: DataFrame, block_rows: int) -> DataFrame:
-    """Per block: runs counted from 0, and the highest stop of the run so far, packed as ``mark``."""
+def _numbered(hits: DataFrame, block_rows: int) -> DataFrame:
+    """Events with their block and the run counted from 0 inside the block."""
     w = W.partitionBy("id", "block").orderBy("seq", "timestamp")
-    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
     changed = F.coalesce(F.col("trip_id") != F.lag("trip_id").over(w), F.lit(False))
-    packed = F.col("local_run") * _SLOT + F.coalesce(F.col("hit") + 1, F.lit(0))
-    judged = F.when(F.col("n_stops") >= MIN_STOPS, F.col("mark"))
     return (
         hits.withColumn("block", block_of(F.col("seq"), block_rows))
         .filter(F.col("id").isNotNull() & F.col("block").isNotNull())
         .withColumn("changed", changed.cast("bigint"))
-        .withColumn("local_run", F.sum("changed").over(so_far))
-        .withColumn("mark", F.max(packed).over(so_far))
-        .withColumn("before", F.last(judged, ignorenulls=True).over(before))
+        .withColumn("local_run", F.sum("changed").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
         .drop("changed")
     )
 
 
+def _local(hits: DataFrame, block_rows: int) -> DataFrame:
+    """Numbered events with the highest stop of the run so far, packed as ``mark``."""
+    w = W.partitionBy("id", "block").orderBy("seq", "timestamp")
+    packed = F.col("local_run") * _SLOT + F.coalesce(F.col("hit") + 1, F.lit(0))
+    judged = F.when(F.col("n_stops") >= MIN_STOPS, F.col("mark"))
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    return (
+        _numbered(hits, block_rows)
+        .withColumn("mark", F.max(packed).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .withColumn("before", F.last(judged, ignorenulls=True).over(before))
+    )
+
+
 def _run_of(mark: Column) -> Column:
     return F.shiftright(mark, _BITS)
 
@@ -179,12 +193,40 @@ def number_runs(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return track_runs(bare, block_rows).select("id", "seq", "timestamp", "trip_id", "run")
 
 
-def first_arrivals(runs: DataFrame) -> DataFrame:
-    """First time within the radius per (vehicle, run, stop); combined before the shuffle."""
+def first_arrivals(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """First time within the radius per (vehicle, run, stop), straight from the narrow events.
+
+    The events are shuffled once and folded to segments, one row per (block, run, stop), right after the run
+    count. Everything else works on the segments: one more exchange of them serves both the blocks' first run
+    numbers and the rows that get these numbers, so the windows over the events run once.
+    """
+    arrived = F.when(F.col("hit").isNotNull(), F.col("seq"))
+    segments = (
+        _numbered(hits, block_rows)
+        .groupBy("id", "block", "local_run", "trip_id", "n_stops", "hit")
+        .agg(F.min(arrived).alias("seq"), F.min_by("timestamp", arrived).alias("timestamp"))
+        .repartition("block", "id")  # in the order of the windows' own exchange it would be dropped
+    )
+    w = W.partitionBy("id").orderBy("block")
+    # Ordered by run; the further columns do not change the order but keep both uses of the segments alike.
+    order = F.struct("local_run", "seq", "timestamp", "n_stops", "hit")
+    switched = F.coalesce(F.col("first_trip") != F.lag("last_trip").over(w), F.lit(False)).cast("bigint")
+    bases = (
+        segments.groupBy("id", "block")
+        .agg(
+            F.min_by("trip_id", order).alias("first_trip"),
+            F.max_by("trip_id", order).alias("last_trip"),
+            F.max("local_run").alias("inner"),
+        )
+        .withColumn("steps", F.col("inner") + switched)
+        .withColumn("end", F.sum("steps").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .select("id", "block", (F.col("end") - F.col("inner")).alias("base_run"))
+    )
     return (
-        runs.filter(F.col("hit").isNotNull())
-        .groupBy("id", "run", "trip_id", "n_stops", "hit")
+        segments.join(bases, ["id", "block"])
+        .groupBy("id", (F.col("base_run") + F.col("local_run")).alias("run"), "trip_id", "n_stops", "hit")
         .agg(F.min("seq").alias("seq"), F.min_by("timestamp", "seq").alias("timestamp"))
+        .filter(F.col("seq").isNotNull())
     )
 
 
@@ -216,13 +258,13 @@ def times_at(reached: Column, seq: Column) -> Column:
     return F.transform(reached, lambda r: F.when(r["seq"] <= seq, r["timestamp"]))
 
 
-def snapshots(runs: DataFrame) -> DataFrame:
+def snapshots(runs: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Every event with ``real_stop_times`` known at that moment.
 
     The per-run lists are joined on (vehicle, run, block): a run that holds much of the data is spread over
     its blocks, each of a bounded number of events.
     """
-    reached = reached_by_run(first_arrivals(runs)).select("id", "run", "reached")
+    reached = reached_by_run(arrivals).select("id", "run", "reached")
     slots = runs.select("id", "run", "block").distinct()
     spread = slots.join(reached, ["id", "run"])
     empty = F.transform(F.sequence(F.lit(1), F.col("n_stops")), lambda i: F.lit(None).cast("bigint"))

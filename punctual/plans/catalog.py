@@ -33,13 +33,8 @@ def degrees(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    return fx.stage(spark, d).tracked()
-
-
-def _mixed_runs(spark: SparkSession, d: str) -> DataFrame:
-    s = fx.stage(spark, d)
-    return runs.track_runs(runs.detect_hits(s.mixed, s.trips_nested))
+def _arrivals(spark: SparkSession, d: str) -> DataFrame:
+    return runs.first_arrivals(fx.stage(spark, d).hits())
 
 
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +44,7 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
 
 def _infer(spark: SparkSession, d: str) -> DataFrame:
     s = fx.stage(spark, d)
-    return features.inference_sequences(_runs(spark, d), s.trip_codes, s.layout)
+    return features.inference_sequences(runs.track_runs(s.hits()), _arrivals(spark, d), s.trip_codes, s.layout)
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +63,7 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stop_arrivals(spark: SparkSession, d: str) -> DataFrame:
     """Real arrival and delay at every visited stop of every trip run."""
-    arrivals = runs.first_arrivals(_runs(spark, d))
-    return punctuality.arrival_delays(arrivals, fx.stage(spark, d).trips_nested)
+    return punctuality.arrival_delays(_arrivals(spark, d), fx.stage(spark, d).trips_nested)
 
 
 # ---- timetable ------------------------------------------------------------------------------------------------------
@@ -155,19 +149,19 @@ def live_messages(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def trip_runs(spark: SparkSession, d: str) -> DataFrame:
-    s = fx.stage(spark, d)
-    return runs.number_runs(runs.detect_hits(s.mixed, s.trips_nested)).drop("timestamp")
+    return runs.number_runs(fx.stage(spark, d).mixed_hits()).drop("timestamp")
 
 
 @query
 def real_stop_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    shots = runs.snapshots(_mixed_runs(spark, d))
+    hits = fx.stage(spark, d).mixed_hits()
+    shots = runs.snapshots(runs.track_runs(hits), runs.first_arrivals(hits))
     return shots.select("id", "seq", "run", "highest", text("real_stop_times").alias("times"))
 
 
 @query
 def inference_emits(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed_runs(spark, d).filter("kind is not null").select("id", "seq", "highest", "kind")
+    return runs.track_runs(fx.stage(spark, d).mixed_hits()).filter("kind is not null").select("id", "seq", "highest", "kind")
 
 
 # ---- schedules and sequences ----------------------------------------------------------------------------------------
@@ -185,7 +179,7 @@ def schedule_resolved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gate(spark: SparkSession, d: str) -> DataFrame:
-    return features.training_gate(runs.reached_by_run(runs.first_arrivals(_runs(spark, d))))
+    return features.training_gate(runs.reached_by_run(_arrivals(spark, d)))
 
 
 @query
@@ -204,7 +198,7 @@ def delay_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query
 def train_sequences(spark: SparkSession, d: str) -> DataFrame:
     s = fx.stage(spark, d)
-    made = features.training_sequences(_runs(spark, d), s.trip_codes, s.layout)
+    made = features.training_sequences(_arrivals(spark, d), s.trip_codes, s.layout)
     return made.select("trip_id", "id", "seq", text("tokens").alias("tokens"))
 
 
@@ -215,9 +209,7 @@ def infer_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def infer_messages(spark: SparkSession, d: str) -> DataFrame:
-    s, tracked = fx.stage(spark, d), _runs(spark, d)
-    sequences = features.inference_sequences(tracked, s.trip_codes, s.layout)
-    return features.inference_messages(tracked, sequences)
+    return features.inference_messages(runs.track_runs(fx.stage(spark, d).hits()), _infer(spark, d))
 
 
 @query

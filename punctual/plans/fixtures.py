@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.schedule import utc_seconds
 from ..functions.vocabulary import Layout
 from ..operators.features import encode_trips, inference_messages, inference_sequences, training_sequences
-from ..operators.runs import METRO, detect_hits, track_runs
+from ..operators.runs import METRO, detect_hits, first_arrivals, track_runs
 from ..operators.timetable import nest_trips
 from ..session import fresh_folder
 from ..sources.writers import write_trip_table
@@ -238,17 +238,20 @@ class Stage:
         codes = encode_trips(self.trips_nested, self.route_words, self.stop_words, self.layout)
         return self._kept(codes, "trip_codes")
 
-    def tracked(self) -> DataFrame:
-        return track_runs(detect_hits(self.positions, self.trips_nested))
+    def hits(self) -> DataFrame:
+        return detect_hits(self.positions, self.trips_nested)
+
+    def mixed_hits(self) -> DataFrame:
+        return detect_hits(self.mixed, self.trips_nested)
 
     @cached_property
     def features(self) -> DataFrame:
-        return self._kept(training_sequences(self.tracked(), self.trip_codes, self.layout), "features")
+        return self._kept(training_sequences(first_arrivals(self.hits()), self.trip_codes, self.layout), "features")
 
     @cached_property
     def messages(self) -> DataFrame:
-        tracked = self.tracked()
-        asked = inference_sequences(tracked, self.trip_codes, self.layout)
+        tracked = track_runs(self.hits())
+        asked = inference_sequences(tracked, first_arrivals(self.hits()), self.trip_codes, self.layout)
         return self._kept(inference_messages(tracked, asked), "messages")
 
 

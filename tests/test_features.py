@@ -19,16 +19,18 @@ def words(spark):
 
 
 def prepare(spark, trips, rows, block_rows=1 << 20):
+    """Tracked events, first arrivals, and the static part of the sequences."""
     nested = trips_frame(spark, trips)
-    tracked = runs.track_runs(runs.detect_hits(positions_frame(spark, rows), nested), block_rows)
-    return tracked, features.encode_trips(nested, *words(spark), LAYOUT)
+    hits = runs.detect_hits(positions_frame(spark, rows), nested)
+    codes = features.encode_trips(nested, *words(spark), LAYOUT)
+    return runs.track_runs(hits, block_rows), runs.first_arrivals(hits, block_rows), codes
 
 
 @pytest.mark.parametrize("seed,block_rows", [(11, 1 << 20), (12, 20)])
 def test_training_sequences_equal_the_model(spark, seed, block_rows):
     trips, rows = random_world(seed, events=1500)
     model = Model(trips, rows)
-    got = features.training_sequences(*prepare(spark, trips, rows, block_rows), LAYOUT).collect()
+    got = features.training_sequences(*prepare(spark, trips, rows, block_rows)[1:], LAYOUT).collect()
     want = {}
     for trip, (seq, vehicle, times, ts) in model.gated.items():
         tokens = model.tokens(trip, times, ts, LAYOUT)
@@ -42,8 +44,8 @@ def test_training_sequences_equal_the_model(spark, seed, block_rows):
 def test_inference_messages_equal_the_model(spark, seed, block_rows):
     trips, rows = random_world(seed, events=800)
     model = Model(trips, rows)
-    tracked, codes = prepare(spark, trips, rows, block_rows)
-    sequences = features.inference_sequences(tracked, codes, LAYOUT)
+    tracked, arrivals, codes = prepare(spark, trips, rows, block_rows)
+    sequences = features.inference_sequences(tracked, arrivals, codes, LAYOUT)
     got = {r.seq: r.message for r in features.inference_messages(tracked, sequences).collect()}
     stamp = {r[0]: r[5] for r in rows}
     want = {}
@@ -89,47 +91,47 @@ def sequence_of(spark, stops_hit, n=5, times=None):
 
 
 def test_no_stop_reached_asks_once_for_everything_ahead(spark):
-    tracked, codes = sequence_of(spark, [])
-    rows = features.inference_sequences(tracked, codes, LAYOUT).collect()
+    tracked, arrivals, codes = sequence_of(spark, [])
+    rows = features.inference_sequences(tracked, arrivals, codes, LAYOUT).collect()
     assert len(rows) == 1 and rows[0].highest == 0
     assert list(rows[0].tokens).index(LAYOUT.skip) == 9
 
 
 def test_third_stop_reached_leaves_one_skip(spark):
-    tracked, codes = sequence_of(spark, [0, 1, 2])
-    last = max(features.inference_sequences(tracked, codes, LAYOUT).collect(), key=lambda r: r.seq)
+    tracked, arrivals, codes = sequence_of(spark, [0, 1, 2])
+    last = max(features.inference_sequences(tracked, arrivals, codes, LAYOUT).collect(), key=lambda r: r.seq)
     assert last.tokens.count(LAYOUT.skip) == 1 and list(last.tokens).index(LAYOUT.skip) == 13
 
 
 def test_trips_past_hour_24_give_resend_marks_only(spark):
     times = ["23:50:00", "24:10:00", "24:20:00"]
-    tracked, codes = prepare(
+    tracked, arrivals, codes = prepare(
         spark, [make_trip("A", times)], [at(1, "v", "A", 0, NOON), at(2, "v", "A", 0, NOON + 9)]
     )
-    sequences = features.inference_sequences(tracked, codes, LAYOUT)
+    sequences = features.inference_sequences(tracked, arrivals, codes, LAYOUT)
     assert [r.message for r in features.inference_messages(tracked, sequences).collect()] == ["v"]
 
 
 @pytest.mark.parametrize("hit,opens", [([0, 2, 4], True), ([0, 4], False), ([0, 1, 2, 3], False), ([4, 0, 1], True)])
 def test_training_gate(spark, hit, opens):
-    tracked, codes = sequence_of(spark, hit)
-    assert len(features.training_sequences(tracked, codes, LAYOUT).collect()) == int(opens)
+    tracked, arrivals, codes = sequence_of(spark, hit)
+    assert len(features.training_sequences(arrivals, codes, LAYOUT).collect()) == int(opens)
 
 
 def test_same_trip_on_two_vehicles_gives_one_row(spark):
     times = [clock(50_000 + 60 * i) for i in range(3)]
     rows = [at(10 * v + p, f"v{v}", "A", p, NOON + p) for v in (1, 2) for p in range(3)]
-    tracked, codes = prepare(spark, [make_trip("A", times)], rows)
-    assert [r.id for r in features.training_sequences(tracked, codes, LAYOUT).collect()] == ["v1"]
+    tracked, arrivals, codes = prepare(spark, [make_trip("A", times)], rows)
+    assert [r.id for r in features.training_sequences(arrivals, codes, LAYOUT).collect()] == ["v1"]
 
 
 def test_aligned_deltas(spark):
-    tracked, codes = sequence_of(spark, range(5))
-    lagged = features.training_sequences(tracked, codes, LAYOUT).first().tokens
-    aligned = features.training_sequences(tracked, codes, LAYOUT, alignment="aligned").first().tokens
+    tracked, arrivals, codes = sequence_of(spark, range(5))
+    lagged = features.training_sequences(arrivals, codes, LAYOUT).first().tokens
+    aligned = features.training_sequences(arrivals, codes, LAYOUT, alignment="aligned").first().tokens
     assert list(lagged[5:15:2]) == [15, 15, 15, 15, 15]
     assert list(aligned[5:15:2]) == [15, 15, 15, 15, 15]
-    shifted, _ = sequence_of(spark, range(5), times=[clock(43_200 + 3600 + 120 * i - 300) for i in range(5)])
+    _, shifted, _ = sequence_of(spark, range(5), times=[clock(43_200 + 3600 + 120 * i - 300) for i in range(5)])
     nested = trips_frame(spark, [make_trip("A", [clock(43_200 + 3600 + 120 * i - 300) for i in range(5)])])
     codes = features.encode_trips(nested, *words(spark), LAYOUT)
     lagged = features.training_sequences(shifted, codes, LAYOUT).first().tokens
@@ -193,7 +195,7 @@ def test_unknown_names_are_listed_and_their_trips_kept_out(spark):
 
 
 def test_arrival_delays(spark):
-    tracked, _ = sequence_of(spark, [0, 1])
+    _, arrivals, _ = sequence_of(spark, [0, 1])
     nested = trips_frame(spark, [make_trip("A", [clock(43_200 + 3600 + 120 * i) for i in range(5)])])
-    rows = punctuality.arrival_delays(runs.first_arrivals(tracked), nested).orderBy("stop_sequence").collect()
+    rows = punctuality.arrival_delays(arrivals, nested).orderBy("stop_sequence").collect()
     assert [(r.stop_sequence, r.delay_s) for r in rows] == [(1, 0), (2, 0)]

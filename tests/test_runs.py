@@ -22,7 +22,7 @@ def test_snapshots_equal_the_model(spark, block_rows):
     trips, rows = random_world(4)
     model = Model(trips, rows)
     hits = runs.detect_hits(positions_frame(spark, rows), trips_frame(spark, trips))
-    got = {r.seq: list(r.real_stop_times) for r in runs.snapshots(runs.track_runs(hits, block_rows)).collect()}
+    got = {r.seq: list(r.real_stop_times) for r in runs.snapshots(runs.track_runs(hits, block_rows), runs.first_arrivals(hits, block_rows)).collect()}
     assert got == {seq: v[5] for seq, v in model.tracked.items()}
 
 
@@ -30,7 +30,7 @@ def test_trip_switch_gives_three_runs_with_empty_times(spark):
     trips = [make_trip("A", ["08:00:00"] * 3), make_trip("B", ["08:00:00"] * 3)]
     rows = [at(1, "v", "A", 0, 10), at(2, "v", "B", 0, 20), at(3, "v", "A", 1, 30)]
     hits = runs.detect_hits(positions_frame(spark, rows), trips_frame(spark, trips))
-    shots = runs.snapshots(runs.track_runs(hits, 2)).orderBy("seq").collect()
+    shots = runs.snapshots(runs.track_runs(hits, 2), runs.first_arrivals(hits, 2)).orderBy("seq").collect()
     assert [r.run for r in shots] == [0, 1, 2]
     assert shots[2].real_stop_times == [None, 30, None]
 
@@ -39,7 +39,7 @@ def test_first_visit_wins_and_ties_go_to_the_lower_index(spark):
     trips = [make_trip("A", ["08:00:00"] * 3, places=[0, 0, 2])]
     rows = [at(1, "v", "A", 0, 10), at(2, "v", "A", None, 20), at(3, "v", "A", 0, 50)]
     hits = runs.detect_hits(positions_frame(spark, rows), trips_frame(spark, trips))
-    arrivals = runs.first_arrivals(runs.track_runs(hits)).collect()
+    arrivals = runs.first_arrivals(hits).collect()
     assert [(a.hit, a.timestamp) for a in arrivals] == [(0, 10)]
 
 

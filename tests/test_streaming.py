@@ -35,14 +35,14 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
         land(spark, landing, rows, first + 100, first + 200)
         jobs.run_to_end(jobs.start_arrivals(positions_stream(spark, landing), nested, out, log, True))
     got = {(r.id, r.run, r.hit): (r.seq, r.timestamp) for r in spark.read.parquet(out).collect()}
-    batch = runs.first_arrivals(runs.track_runs(runs.detect_hits(positions_frame(spark, rows), nested)))
+    batch = runs.first_arrivals(runs.detect_hits(positions_frame(spark, rows), nested))
     assert got == {(r.id, r.run, r.hit): (r.seq, r.timestamp) for r in batch.collect()}
     assert len(got) > 20 and model.tracked
 
 
 def test_streamed_training_equals_batch(spark, tmp_path):
     trips, rows = random_world(22, events=900)
-    tracked, codes = prepare(spark, trips, rows)
+    tracked, arrivals, codes = prepare(spark, trips, rows)
     nested = trips_frame(spark, trips)
     landing, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
     for first in range(0, 900, 300):
@@ -50,13 +50,13 @@ def test_streamed_training_equals_batch(spark, tmp_path):
         stream = positions_stream(spark, landing)
         jobs.run_to_end(jobs.start_training(stream, nested, codes, LAYOUT, out, log, available_now=True))
     got = spark.read.parquet(f"{out}/train").select("trip_id", "id", "seq", "tokens").collect()
-    want = features.training_sequences(tracked, codes, LAYOUT).select("trip_id", "id", "seq", "tokens").collect()
+    want = features.training_sequences(arrivals, codes, LAYOUT).select("trip_id", "id", "seq", "tokens").collect()
     assert sorted(got) == sorted(want) and len(got) > 1
 
 
 def test_streamed_messages_equal_batch(spark, tmp_path):
     trips, rows = random_world(23, events=400)
-    tracked, codes = prepare(spark, trips, rows)
+    tracked, arrivals, codes = prepare(spark, trips, rows)
     landing, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
     for first in range(0, 400, 200):
         land(spark, landing, rows, first, first + 200)
@@ -66,7 +66,7 @@ def test_streamed_messages_equal_batch(spark, tmp_path):
         )
     )
     got = spark.read.parquet(f"{out}/messages").select("id", "seq", "message").collect()
-    want = features.inference_messages(tracked, features.inference_sequences(tracked, codes, LAYOUT)).collect()
+    want = features.inference_messages(tracked, features.inference_sequences(tracked, arrivals, codes, LAYOUT)).collect()
     assert sorted(got) == sorted(want)
 
 
@@ -106,7 +106,7 @@ def test_feed_to_arrivals_without_ingest_numbers(spark, tmp_path):
     frame = positions_frame(spark, stamped).drop("seq")
     numbered = readers.with_order(frame)
     nested = trips_frame(spark, trips)
-    batch = runs.first_arrivals(runs.track_runs(runs.detect_hits(numbered, nested), readers.ORDER_TICKS * 60))
+    batch = runs.first_arrivals(runs.detect_hits(numbered, nested), readers.ORDER_TICKS * 60)
     frame.write.parquet(landing)
     stream = readers.with_order(spark.readStream.schema(frame.schema).parquet(landing))
     jobs.run_to_end(jobs.start_arrivals(stream, nested, out, log, True))
