@@ -48,23 +48,30 @@ def _trigger(available_now: bool) -> dict:
 
 
 @contextmanager
-def _state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """Keyed state with several columns needs the RocksDB store; a query takes the setting when it starts."""
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+def _stream_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings that a query takes when it starts.
+
+    Keyed state with several columns needs the RocksDB store. The number of state partitions stays with the
+    checkpoint for good; it is set to the cores of the cluster.
+    """
+    wanted = {STATE_STORE: ROCKSDB, "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def start_parquet(df: DataFrame, folder: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Append a stream to a Parquet folder, exactly once."""
     writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
-    with _state_on_disk(df.sparkSession):
+    with _stream_settings(df.sparkSession):
         return writer.trigger(**_trigger(available_now)).start(folder)
 
 
@@ -73,7 +80,7 @@ def start_batches(
 ) -> StreamingQuery:
     """Hand every micro-batch of a stream to ``write``."""
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    with _state_on_disk(df.sparkSession):
+    with _stream_settings(df.sparkSession):
         return writer.trigger(**_trigger(available_now)).start()
 
 
