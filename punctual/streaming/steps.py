@@ -33,58 +33,64 @@ def chain(df: DataFrame, *steps: StepFn) -> DataFrame:
     return df
 
 
-class VehicleTracker(StatefulProcessor):
-    """Per vehicle: trip runs, first arrivals, snapshots and 'new' / 'resend' marks, in ``seq`` order."""
-
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("vehicle", STATE_SCHEMA, self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            trip, run, times, judged = self.state.get()
-            times = list(times)
-        else:
-            trip, run, times, judged = None, -1, [], None
-        events = pd.concat(list(rows)).sort_values(["seq", "timestamp"], kind="stable")
-        out = []
-        for e in events.itertuples(index=False):
-            if e.trip_id != trip:
-                trip, run, times = e.trip_id, run + 1, [None] * int(e.n_stops)
-            hit = None if pd.isna(e.hit) else int(e.hit)
-            newly = hit is not None and times[hit] is None
-            if newly:
-                times[hit] = int(e.timestamp)
-            reached = [i for i, t in enumerate(times) if t is not None]
-            highest = reached[-1] if reached else 0
-            kind = None
-            if e.n_stops >= MIN_STOPS:
-                kind = "resend" if judged == highest else "new"
-                judged = highest
-            out.append(
-                (key[0], e.seq, e.timestamp, trip, e.n_stops, hit, run, highest, kind, newly, list(times))
-            )
-        self.state.update((trip, run, times, judged))
-        frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in TRACKED_SCHEMA.split(", ")])
-        frame["hit"] = frame["hit"].astype("Int32")
-        yield frame
-
-    def close(self) -> None:
-        pass
+def vehicle_tracker(ttl_ms: int | None = None) -> StatefulProcessor:
+    """The keyed processor. Its class is local to this function, so Spark ships it by value and the Python workers
+    need not have this package installed."""
+
+    class VehicleTracker(StatefulProcessor):
+        """Per vehicle: trip runs, first arrivals, snapshots and 'new' / 'resend' marks, in ``seq`` order."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("vehicle", STATE_SCHEMA, ttl_ms)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            if self.state.exists():
+                trip, run, times, judged = self.state.get()
+                times = list(times)
+            else:
+                trip, run, times, judged = None, -1, [], None
+            events = pd.concat(list(rows)).sort_values(["seq", "timestamp"], kind="stable")
+            out = []
+            for e in events.itertuples(index=False):
+                if e.trip_id != trip:
+                    trip, run, times = e.trip_id, run + 1, [None] * int(e.n_stops)
+                hit = None if pd.isna(e.hit) else int(e.hit)
+                newly = hit is not None and times[hit] is None
+                if newly:
+                    times[hit] = int(e.timestamp)
+                reached = [i for i, t in enumerate(times) if t is not None]
+                highest = reached[-1] if reached else 0
+                kind = None
+                if e.n_stops >= MIN_STOPS:
+                    kind = "resend" if judged == highest else "new"
+                    judged = highest
+                out.append(
+                    (key[0], e.seq, e.timestamp, trip, e.n_stops, hit, run, highest, kind, newly, list(times))
+                )
+            self.state.update((trip, run, times, judged))
+            frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in TRACKED_SCHEMA.split(", ")])
+            frame["hit"] = frame["hit"].astype("Int32")
+            yield frame
+
+        def close(self) -> None:
+            pass
+
+    return VehicleTracker()
 
 
 def track_stream(hits: DataFrame, ttl_ms: int | None = STATE_TTL_MS) -> DataFrame:
     """Streaming counterpart of ``track_runs`` + ``snapshots`` over the narrow events of ``detect_hits``.
 
     One shuffle by vehicle into the state store. ``ttl_ms`` evicts the state of silent vehicles; a vehicle
-    that returns later starts a new run. None keeps all state.
+    that returns later starts a new run. None keeps all state. The rows of one vehicle in one micro-batch are
+    sorted in the worker, so the source's rate limit (``maxFilesPerTrigger``) bounds their number.
     """
-    tracker = VehicleTracker(ttl_ms)
     time_mode = "none" if ttl_ms is None else "processingTime"
     return hits.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=tracker, outputStructType=TRACKED_SCHEMA, outputMode="Append", timeMode=time_mode
+        statefulProcessor=vehicle_tracker(ttl_ms),
+        outputStructType=TRACKED_SCHEMA,
+        outputMode="Append",
+        timeMode=time_mode,
     )
 
 
