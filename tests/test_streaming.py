@@ -1,5 +1,8 @@
 import os
+import subprocess
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from test_features import LAYOUT, prepare, words
 from world import Model, at, clock, make_trip, positions_frame, random_world, trips_frame
@@ -172,3 +175,10 @@ def test_daily_table_is_read_again_after_a_day(spark):
 def test_steps_are_chained(spark):
     rows = steps.chain(spark.range(10), lambda d: d.filter("id > 4"), lambda d: d.withColumn("x", F.col("id") * 2))
     assert sorted(r.x for r in rows.collect()) == [10, 12, 14, 16, 18]
+
+
+def test_tracker_needs_no_package_in_the_worker():
+    data = cloudpickle.dumps(steps.vehicle_tracker())
+    load = "import pickle, sys; pickle.loads(sys.stdin.buffer.read())"
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", load], input=data, cwd="/", env=environment, check=True)
