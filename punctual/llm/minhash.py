@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from punctual.llm import flat
 from punctual.llm.components import components
-from punctual.llm.tables import saved
+from punctual.llm.tables import rows_of, saved, text_key
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 30, 4, 4
@@ -85,7 +85,7 @@ def minima(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _signatures(width: int):
     def run(batches):
         schema = pa.schema(
-            [("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())]
+            [("doc_id", pa.int64()), ("text_key", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())]
             + [("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]
         )
         for batch in flat.blocks(batches, "text"):
@@ -111,7 +111,7 @@ def _signatures(width: int):
                 return pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(rows.T).ravel().view(np.int64)))
 
             yield flat.rows(
-                schema, doc_id=batch.column("doc_id"), row=batch.column("row"), n_shingles=size,
+                schema, doc_id=batch.column("doc_id"), text_key=batch.column("text_key"), row=batch.column("row"), n_shingles=size,
                 cls=pa.array(cls.view(np.int64), mask=~some),
                 bands=lists(keys), bits=lists(packed),
             )
@@ -222,10 +222,14 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, pe
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable over links at ``percent`` or more) and kept."""
-    narrow = docs.select("doc_id", _row(), "text")
+    """doc_id, text_key, n_shingles, component_id, kept, part.
+
+    ``component_id`` is the least id reachable over links of ``percent`` or more, and ``kept`` tells whether it is the
+    row's own. ``part`` numbers the component whatever its ids are, and is null for a text without words.
+    """
+    narrow = docs.select("doc_id", text_key(), _row(), "text")
     signed = narrow.mapInArrow(
-        _signatures(width), "doc_id long, row long, n_shingles long, cls long, bands array<long>, bits array<long>"
+        _signatures(width), "doc_id long, text_key long, row long, n_shingles long, cls long, bands array<long>, bits array<long>"
     )
     signed = saved(signed, "signatures")
     reps = saved(
@@ -265,12 +269,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) ->
     found = components(links, "cls", "component")
     named = reps.select("cls", "label").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("label").alias("component_id"))
-    named = named.join(least, "component").select("cls", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    named = named.join(least, "component").select("cls", "component_id", F.col("component").alias("part"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "cls").join(named, "cls", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+    kept = F.col("doc_id").eqNullSafe(component)
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), kept.alias("kept"), "part")
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component left: the one of the least id. Rows without words stay, once each."""
+    judged = saved(near_duplicates(docs, percent, width), "judged")
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    first = judged.filter("part is not null").groupBy("part").agg(F.min(key).alias("first")).select("first.*")
+    stay = first.select("doc_id", "text_key").unionByName(judged.filter("part is null").select("doc_id", "text_key"))
+    left = rows_of(docs, stay)
+    if judged.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
+        return left
+    return left.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
 
 
 def _row() -> Column:

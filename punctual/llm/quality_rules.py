@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import flat
-from punctual.llm.tables import saved
+from punctual.llm.tables import saved, text_key
 
 MIN_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
@@ -28,11 +28,11 @@ WEAKEST_PRIOR = 2.0
 EVIDENCE = 3.0
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower")
-_SCHEMA = "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES)
+_SCHEMA = "doc_id long, text_key long, host string, " + ", ".join(f"{m} long" for m in MEASURES)
 
 
 def _measured(batches):
-    fields = [pa.field("doc_id", pa.int64()), pa.field("host", pa.string())]
+    fields = [pa.field("doc_id", pa.int64()), pa.field("text_key", pa.int64()), pa.field("host", pa.string())]
     schema = pa.schema(fields + [pa.field(m, pa.int64()) for m in MEASURES])
     symbol, upper, lower, tail = (np.zeros(256, bool) for _ in range(4))
     symbol[list(SYMBOLS)] = True
@@ -66,7 +66,8 @@ def _measured(batches):
         got["n_lines"] = np.bincount(owner, minlength=n)
         got["n_dup_lines"] = np.bincount(owner[order][1:][again], minlength=n)
         got["n_repeat_words"] = _repeated(flat.spans(sums, start, end), text, n)
-        yield flat.rows(schema, doc_id=batch.column("doc_id"), host=batch.column("host"), **got)
+        same = {c: batch.column(c) for c in ("doc_id", "text_key", "host")}
+        yield flat.rows(schema, **same, **got)
 
 
 def _repeated(word: np.ndarray, text: np.ndarray, n: int, width: int = 3) -> np.ndarray:
@@ -89,8 +90,8 @@ def _repeated(word: np.ndarray, text: np.ndarray, n: int, width: int = 3) -> np.
 
 
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host and the measures of every document."""
-    narrow = docs.select("doc_id", F.col(host).cast("string").alias("host"), "text")
+    """doc_id, text_key, host and the measures of every document."""
+    narrow = docs.select("doc_id", text_key(), F.col(host).cast("string").alias("host"), "text")
     return narrow.mapInArrow(_measured, _SCHEMA)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import minhash, mixing, quality_rules
+from punctual.llm import decontamination, minhash, mixing, pseudonyms, quality_rules
 from punctual.llm.tables import table
 
 
@@ -15,8 +15,19 @@ def op1_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.drop("text_key")
+
+
 def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, pseudonyms.EXAMPLE_KEY)
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,13 +38,45 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixing": op1_cube_mixing,
+    "op3_prefix_join": op3_prefix_join,
     "op5_bbit_minhash": op5_bbit_minhash,
     "op6_host_rules": op6_host_rules,
+    "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUNS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL: dict[str, str] = {
+    "op3_prefix_join": rf"""
+WITH item AS (
+  SELECT item_id, {_RUNS} AS w FROM benchmark
+), cut AS (
+  SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM item WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, w[p:p + 9] AS win FROM cut
+), doc AS (
+  SELECT doc_id, {_RUNS} AS w FROM documents
+), sizes AS (
+  SELECT DISTINCT len(win) AS n FROM windows
+), placed AS (
+  SELECT doc_id, n, p, w[p:p + n - 1] AS win
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM doc, sizes WHERE len(w) >= n)
+), hit AS (
+  SELECT doc_id, n, p, item_id FROM placed JOIN windows USING (win)
+), word AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM hit GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
     "op6_host_rules": rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text FROM documents

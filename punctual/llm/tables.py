@@ -35,5 +35,17 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def text_key() -> Column:
+    """With the id, this tells rows apart whose ids repeat."""
+    return F.xxhash64("text").alias("text_key")
+
+
+def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text are among ``keys`` (doc_id, text_key)."""
+    keys = keys.select(F.col("doc_id").alias("_of_doc"), F.col("text_key").alias("_of_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_of_doc")) & (F.xxhash64("text") == F.col("_of_text"))
+    return docs.join(keys, same, "left_semi")
+
+
 def pieces(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
