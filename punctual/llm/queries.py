@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import decontamination, minhash, mixing, pseudonyms, quality_rules
+from punctual.llm import decontamination, minhash, mixing, ppm, pseudonyms, quality_rules, suffixes
 from punctual.llm.tables import table
 
 
@@ -36,12 +36,22 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *measures, "base_failed", "kept")
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
+def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixing": op1_cube_mixing,
     "op3_prefix_join": op3_prefix_join,
     "op5_bbit_minhash": op5_bbit_minhash,
     "op6_host_rules": op6_host_rules,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
+    "op9_ppm": op9_ppm,
+    "op10_difference_cover": op10_difference_cover,
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,3 +50,9 @@ def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def pieces(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
+
+
+def released(spark: SparkSession) -> None:
+    """Let go of what finished jobs left on disk: Spark drops the shuffle files of plans that nobody holds any more."""
+    gc.collect()
+    spark._jvm.System.gc()
