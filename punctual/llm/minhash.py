@@ -6,10 +6,14 @@ then on, so copies never meet each other again.
 
 Candidates: classes that share a band key. In each bucket the classes are compared with one of them, its centre. A
 comparison first estimates the similarity from the packed bits, corrected for chance agreement, by counting bits; what
-may reach the threshold is confirmed on the full sets. Confirmed links give components. A bucket whose classes still
-lie in different components is then searched again: its classes outside the bucket's largest component meet all
-classes of other components, so no link of the bucket between components is left untested, and buckets that one
-component fills, however large, cost no pairs at all.
+may reach the threshold is confirmed on the full sets. Confirmed links give components. Buckets that one component
+fills, however large, are done. For classes in the other buckets, the shingles that no second class has are counted:
+what two sets share cannot exceed what is left of either, which bounds their similarity exactly. The bucket's most
+typical class, with the least share of such shingles, is the next centre, and once more there are components. What
+still lies apart is compared in full: classes outside a bucket's largest component with all classes of other
+components, as far as bound and estimate allow a link. No link of a bucket between components is left untested. In
+buckets of more than ``MANY`` classes this runs in blocks of ``BLOCK`` classes on arrays, with a closer bound: shingles
+are counted in 128 lanes by hash, and two sets cannot share more than the sum over the lanes of the lesser count.
 
 Chances: a pair at similarity 0.85 shares no band with probability 2e-10, at 0.80 with 1e-7; the estimate is cut six
 standard deviations below the threshold.
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from punctual.llm import flat
 from punctual.llm.components import components
-from punctual.llm.tables import rows_of, saved, text_key
+from punctual.llm.tables import released, rows_of, saved, text_key
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 30, 4, 4
@@ -36,6 +40,10 @@ PER_LONG = 15  # signatures: eight longs of fifteen 4-bit pieces
 #: Members that meet a centre in one group of the exact check.
 TOGETHER = 64
 
+#: From this bucket size on, the last comparison runs on arrays, so many classes at a time.
+MANY, BLOCK = 64, 1024
+LANES = 128
+
 _U = np.uint64
 _A = flat.mix(np.arange(1, MINIMA + 1, dtype=_U)) | _U(1)
 _X = flat.mix(np.arange(1001, MINIMA + 1001, dtype=_U))
@@ -199,7 +207,7 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the (centre, member) pairs of classes, those whose full sets reach the threshold, as (a, b)."""
     groups = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).select(
         "centre", F.ceil(F.col("n") / TOGETHER).cast("long").alias("parts")
@@ -210,10 +218,8 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, pe
     centres = groups.select(
         "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("cls")
     )
-    wanted = members.unionByName(centres).join(reps.select("cls", "row"), "cls")
-    texts = docs.select(_row(), "text")
     return (
-        texts.join(wanted, "row")
+        texts.join(members.unionByName(centres), "cls")
         .select("text", "centre", "part", "cls")
         .mapInArrow(_sets(width), "centre long, part long, cls long, shingles binary")
         .groupBy("centre", "part")
@@ -221,6 +227,101 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, pe
     )
 
 
+def _each_shingle(width: int):
+    def run(batches):
+        schema = pa.schema([("shingle", pa.int64()), ("cls", pa.int64())])
+        for batch in flat.blocks(batches, "text", 1 << 20):
+            shingles, bounds = shingle_sets(batch.column("text"), width)
+            cls = classes(shingles, bounds).view(np.int64)
+            right = np.repeat(cls == batch.column("cls").to_numpy(), np.diff(bounds))
+            yield flat.rows(schema, shingle=shingles[right], cls=np.repeat(cls, np.diff(bounds))[right])
+
+    return run
+
+
+def _own_shingles(texts: DataFrame, among: DataFrame, width: int) -> DataFrame:
+    """(cls, own): of each class in ``among``, the shingles that no other class in ``among`` has."""
+    each = texts.join(among, "cls", "left_semi").select("cls", "text").mapInArrow(_each_shingle(width), "shingle long, cls long")
+    holders = each.groupBy("shingle").agg(F.min("cls").alias("cls"), F.max("cls").alias("other"))
+    return holders.filter("cls = other").groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _lanes(width: int):
+    def run(batches):
+        schema = pa.schema([("cls", pa.int64()), ("lanes", pa.binary())])
+        for batch in flat.blocks(batches, "text", 1 << 20):
+            shingles, bounds = shingle_sets(batch.column("text"), width)
+            right = np.flatnonzero(classes(shingles, bounds).view(np.int64) == batch.column("cls").to_numpy())
+            lane = (flat.mix(shingles) % _U(LANES)).astype(np.int64)
+            counts = [np.bincount(lane[bounds[k] : bounds[k + 1]], minlength=LANES).astype(np.uint32) for k in right]
+            yield flat.rows(
+                schema, cls=batch.column("cls").take(pa.array(right)), lanes=pa.array([c.tobytes() for c in counts], pa.binary())
+            )
+
+    return run
+
+
+def _meet(percent: int):
+    """Of one block of a bucket: the pairs of outsiders and members of other components that may be linked."""
+
+    def run(key, table):
+        cls, part, most, n = (table.column(c).to_numpy() for c in ("cls", "component", "largest", "n"))
+        bits = np.array(table.column("bits").to_pylist(), np.int64).view(_U)
+        lanes = np.array([np.frombuffer(b, np.uint32) for b in table.column("lanes").to_pylist()])
+        out = table.column("out").to_numpy(zero_copy_only=False)
+        ask, there = np.flatnonzero(out), np.flatnonzero(~out)
+        chance, low = 1.0 / (1 << BITS), _U(0x1111111111111111)
+        ones, twos = [], []
+        for x in ask:
+            y = there[(part[there] != part[x]) & ((part[there] == most[x]) | (cls[x] < cls[there]))]
+            d = bits[y] ^ bits[x]
+            d |= d >> _U(1)
+            d |= d >> _U(2)
+            seen = 1 - np.bitwise_count(d & low).sum(1) / MINIMA
+            y = y[(seen - chance) / (1 - chance) >= least_estimate(percent)]
+            both = np.minimum(lanes[y], lanes[x]).sum(1, dtype=np.int64)
+            y = y[100 * both >= percent * (n[x] + n[y] - both)]
+            ones.append(np.full(len(y), cls[x]))
+            twos.append(cls[y])
+        one, two = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (ones, twos))
+        return pa.table({"centre": pa.array(one, pa.int64()), "member": pa.array(two, pa.int64())})
+
+    return run
+
+
+def _met_in_blocks(texts: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """(centre, member): what may be linked across the components of large buckets."""
+    wanted = texts.join(placed.select("cls").distinct(), "cls", "left_semi").select("cls", "text")
+    lanes = wanted.mapInArrow(_lanes(width), "cls long, lanes binary")
+    rows = placed.join(lanes, "cls").select("key", "cls", "component", "largest", "of.n", "of.bits", "lanes", "size")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    members = rows.select("*", F.pmod(F.xxhash64("cls"), blocks).alias("block"), F.lit(False).alias("out"))
+    outside = rows.filter("component != largest").select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(True).alias("out")
+    )
+    return members.unionByName(outside).groupBy("key", "block").applyInArrow(_meet(percent), "centre long, member long")
+
+
+def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """key, cls, component, largest, size: the buckets whose classes lie in different components."""
+    placed = shared.select("key", "cls").join(found, "cls", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "cls"))
+    by_part = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_part.groupBy("key").agg(
+        F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size")
+    )
+    mixed = mixed.filter("parts > 1").select("key", F.col("most.component").alias("largest"), "size")
+    return placed.join(mixed, "key")
+
+
+def _linkable(percent: int) -> Column:
+    """Whether estimate and bound leave a link between ``one`` and ``two`` (n, own, bits) within reach."""
+    one, two = F.col("one"), F.col("two")
+    most = F.least(one["n"] - one["own"], two["n"] - two["own"])
+    within = 100 * most >= percent * (one["n"] + two["n"] - most)
+    return within & (similarity(one["bits"], two["bits"]) >= least_estimate(percent))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept, part.
 
@@ -235,36 +336,54 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) ->
     reps = saved(
         signed.filter("cls is not null").groupBy("cls").agg(
             F.min("doc_id").alias("label"), F.min("row").alias("row"),
-            F.first("bands").alias("bands"), F.first("bits").alias("bits"),
+            F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"),
         ),
         "classes",
     )
     keyed = reps.select(F.explode("bands").alias("key"), "cls")
     buckets = keyed.groupBy("key").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = saved(keyed.join(buckets.select("key", "centre"), "key"), "buckets")
-    stars = saved(shared.filter("cls != centre").select("centre", F.col("cls").alias("member")).distinct(), "stars")
-    first = saved(confirmed(narrow, reps, saved(_likely(stars, reps, percent), "likely"), width, percent), "links")
-    found = saved(components(first, "cls", "component"), "found")
-
-    placed = shared.select("key", "cls").join(found, "cls", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "cls"))
-    by_part = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_part.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    mixed = mixed.filter("parts > 1").select("key", F.col("most.component").alias("largest"))
-    placed = placed.join(mixed, "key").join(reps.select("cls", "bits"), "cls")
-    placed = saved(placed, "mixed")
-    outside = placed.filter("component != largest")
-    others = placed.select(
-        "key", F.col("cls").alias("member"), F.col("component").alias("with"), F.col("bits").alias("bits_b"),
-        F.col("largest").alias("hub"),
-    )
+    released(docs.sparkSession)
+    candidates = reps.select("cls", "row").join(shared.select("cls").distinct(), "cls", "left_semi")
+    texts = saved(narrow.select("row", "text").join(candidates, "row").select("cls", "text"), "texts")
+    released(docs.sparkSession)
+
+    stars = shared.filter("cls != centre").select("centre", F.col("cls").alias("member")).distinct()
+    links = saved(confirmed(texts, saved(_likely(stars, reps, percent), "likely"), width, percent), "links")
+    released(docs.sparkSession)
+
+    apart = saved(_apart(shared, saved(components(links, "cls", "component"), "found")), "apart")
+    among = apart.select("cls").distinct()
+    known = reps.join(among, "cls", "left_semi").join(_own_shingles(texts, among, width), "cls", "left")
+    known = known.select("cls", F.struct("n", F.coalesce("own", F.lit(0)).alias("own"), "bits").alias("of"))
+    known = saved(known, "known")
+    released(docs.sparkSession)
+
+    placed = apart.join(known, "cls")
+    typical = F.min(F.struct(F.col("of.own") / F.col("of.n"), "cls")).alias("typical")
+    centre = placed.groupBy("key").agg(typical).select("key", F.col("typical.cls").alias("centre"))
+    centre = centre.join(placed.select("key", F.col("cls").alias("centre"), F.col("component").alias("with"), F.col("of").alias("one")), ["key", "centre"])
+    second = placed.withColumnRenamed("of", "two").join(centre, "key").filter(F.col("component") != F.col("with"))
+    second = second.filter(_linkable(percent)).select("centre", F.col("cls").alias("member")).distinct()
+    links = saved(links.unionByName(confirmed(texts, saved(second, "second"), width, percent)), "links")
+    released(docs.sparkSession)
+
+    placed = saved(_apart(shared, saved(components(links, "cls", "component"), "found")).join(known, "cls"), "placed")
+    large = placed.filter(F.col("size") > MANY)
+    few = placed.filter(F.col("size") <= MANY)
+    outside = few.filter("component != largest").withColumnRenamed("of", "one")
+    others = few.select(
+        F.col("key").alias("same"), F.col("cls").alias("member"), F.col("component").alias("with"), F.col("of").alias("two")
+    )
     # A pair of two outsiders comes up twice in a bucket; it is taken once.
-    apart = (F.col("component") != F.col("with")) & ((F.col("with") == F.col("hub")) | (F.col("cls") < F.col("member")))
-    near = similarity(F.col("bits"), F.col("bits_b")) >= least_estimate(percent)
-    rest = outside.join(others.withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & apart & near)
-    rest = rest.select(F.col("cls").alias("centre"), "member").distinct().join(stars, ["centre", "member"], "left_anti")
-    second = confirmed(narrow, reps, saved(rest, "rest"), width, percent)
-    links = saved(first.unionByName(second), "links")
+    once = (F.col("with") == F.col("largest")) | (F.col("cls") < F.col("member"))
+    rest = outside.join(
+        others, (F.col("key") == F.col("same")) & (F.col("component") != F.col("with")) & once & _linkable(percent)
+    )
+    rest = rest.select(F.col("cls").alias("centre"), "member")
+    rest = rest.unionByName(_met_in_blocks(texts, large, width, percent)).distinct()
+    links = saved(links.unionByName(confirmed(texts, saved(rest, "rest"), width, percent)), "links")
+    released(docs.sparkSession)
 
     found = components(links, "cls", "component")
     named = reps.select("cls", "label").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
