@@ -6,20 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import decontamination, minhash, mixing, ppm, pseudonyms, quality_rules, suffixes
+from punctual.llm import decontamination, factorisation, minhash, mixing, page_difference, ppm, pseudonyms, quality_rules, suffixes, token_scan
 from punctual.llm.tables import table
 
+#: Where the vocabularies of public tokenisers lie.
+VOCABULARIES = "/opt/tokenizers"
+
 
 def op1_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorisation.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged.drop("text_key")
 
 
+def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.document_lengths(table(spark, sf_dir, "documents"), VOCABULARIES)
+
+
 def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -36,6 +47,10 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *measures, "base_failed", "kept")
 
 
+def op8_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_difference.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
@@ -46,10 +61,13 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixing": op1_cube_mixing,
+    "op2_factorisation_machine": op2_factorisation_machine,
     "op3_prefix_join": op3_prefix_join,
+    "op4_separator_scan": op4_separator_scan,
     "op5_bbit_minhash": op5_bbit_minhash,
     "op6_host_rules": op6_host_rules,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
+    "op8_page_difference": op8_page_difference,
     "op9_ppm": op9_ppm,
     "op10_difference_cover": op10_difference_cover,
 }
