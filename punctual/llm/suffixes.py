@@ -94,9 +94,9 @@ def _samples(cover: Cover, buckets: int):
                 continue
             begin = offsets[:-1][owner] + at
             names = flat.spans(flat.prefix(data), begin, begin + cover.name)
-            order = np.argsort(names, kind="stable")
+            order = np.lexsort((at % cover.v, names))
             names, at, owner = names[order], at[order], owner[order]
-            third = np.zeros(len(names), bool)  # not among the first or last of its name here
+            third = np.zeros(len(names), bool)  # neither of least nor of greatest residue of its name here
             third[1:-1] = (names[1:-1] == names[:-2]) & (names[1:-1] == names[2:])
             if third.any():
                 one = np.flatnonzero(third)
