@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schedule as sch
 from ..functions.vocabulary import EOS, PAD, SOS, ZERO_DELTA, Layout, delta_token
-from ..schemas import FEATURE_COLUMNS, SEQUENCE_LENGTH
+from ..schemas import SEQUENCE_LENGTH, feature_column
 from .runs import METRO, MIN_STOPS, reached_by_run
 
 
@@ -272,16 +272,29 @@ def inference_messages(runs: DataFrame, sequences: DataFrame) -> DataFrame:
 # ---- training frames ------------------------------------------------------------------------------------------------
 
 
-def wide_features(sequences: DataFrame, key: bool = True) -> DataFrame:
-    """One column per token (longer sequences do not fit the table and stay out) and a random key."""
-    fits = sequences.filter(F.size("tokens") == SEQUENCE_LENGTH)
-    columns = [F.get("tokens", F.lit(i)).alias(name) for i, name in enumerate(FEATURE_COLUMNS)]
-    return fits.select(*columns, *([F.expr("uuid()").alias("uuid")] if key else []))
+def width_of(sequences: DataFrame) -> int:
+    """Columns that hold every sequence: the usual length, or the longest one if trips need more."""
+    return max(SEQUENCE_LENGTH, sequences.agg(F.max(F.size("tokens"))).first()[0] or 0)
+
+
+def token_columns(width: int) -> list[Column]:
+    """One column per token, padded to ``width``. A longer sequence fails the job: none is cut or left out."""
+    long = F.concat(F.lit(f"a sequence of more than {width} tokens: "), F.size("tokens").cast("string"))
+    fits = F.when(F.size("tokens") > width, F.raise_error(long)).otherwise(F.col("tokens"))
+    padded = [F.coalesce(F.get(fits if i == 0 else F.col("tokens"), F.lit(i)), F.lit(PAD)) for i in range(width)]
+    return [c.alias(feature_column(i)) for i, c in enumerate(padded)]
+
+
+def wide_features(sequences: DataFrame, key: bool = True, width: int | None = None) -> DataFrame:
+    """One column per token and a random key. ``width`` follows the longest sequence unless it is given."""
+    columns = token_columns(width or width_of(sequences))
+    return sequences.select(*columns, *([F.expr("uuid()").alias("uuid")] if key else []))
 
 
 def from_wide(features: DataFrame) -> DataFrame:
-    """Token arrays of a wide feature table; the key is dropped at the scan."""
-    return features.select(F.array(*FEATURE_COLUMNS).alias("tokens"))
+    """Token arrays of a wide feature table of any width; the key is dropped at the scan."""
+    names = sorted((c for c in features.columns if c.startswith("feature_")), key=lambda c: int(c.split("_")[1]))
+    return features.select(F.array(*[F.coalesce(c, F.lit(PAD)) for c in names]).alias("tokens"))
 
 
 def shifted_pairs(sequences: DataFrame) -> DataFrame:

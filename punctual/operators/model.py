@@ -9,24 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import PAD, Layout
-from ..schemas import FEATURE_COLUMNS
+from ..schemas import feature_column
+from .features import token_columns, width_of
 
 # ---- boosted trees --------------------------------------------------------------------------------------------------
 
 
-def with_columns_of(examples: DataFrame) -> DataFrame:
-    return examples.select("*", *[F.get("tokens", F.lit(i)).alias(c) for i, c in enumerate(FEATURE_COLUMNS)])
+def with_columns_of(examples: DataFrame, width: int) -> DataFrame:
+    return examples.select("*", *token_columns(width))
 
 
 def fit_tree(examples: DataFrame, rounds: int = 20, depth: int = 5, seed: int = 0) -> PipelineModel:
     """Boosted regression trees on the masked token columns; ``label`` is the delay change in minutes."""
-    assemble = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features")
+    width = width_of(examples)
+    assemble = VectorAssembler(inputCols=[feature_column(i) for i in range(width)], outputCol="features")
     trees = GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[assemble, trees]).fit(with_columns_of(examples))
+    return Pipeline(stages=[assemble, trees]).fit(with_columns_of(examples, width))
 
 
 def predict_tree(model: PipelineModel, examples: DataFrame) -> DataFrame:
-    return model.transform(with_columns_of(examples)).drop("features", *FEATURE_COLUMNS)
+    names = model.stages[0].getInputCols()
+    return model.transform(with_columns_of(examples, len(names))).drop("features", *names)
 
 
 def error_metrics(predicted: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

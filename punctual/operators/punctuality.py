@@ -10,7 +10,10 @@ from .runs import METRO
 
 
 def day_plans(trips_nested: DataFrame, route_type: int | None = METRO) -> DataFrame:
-    """Per trip with stops all before hour 24: seconds per stop and the rollover index."""
+    """Per trip with stops: clock seconds per stop, also of arrivals from hour 24 on, and the rollover index.
+
+    A stop without a readable time has a null second, and so a null scheduled time.
+    """
     chosen = F.col("stops").isNotNull()
     if route_type is not None:
         chosen = (F.col("route_type") == route_type) & chosen
@@ -20,9 +23,8 @@ def day_plans(trips_nested: DataFrame, route_type: int | None = METRO) -> DataFr
             "trip_id",
             F.col("stops.stop_sequence").alias("sequences"),
             F.col("stops.stop_name").alias("names"),
-            sch.day_seconds(F.col("stops.arrival_time")).alias("seconds"),
+            F.transform(sch.day_seconds(F.col("stops.arrival_time")), lambda s: s % sch.DAY).alias("seconds"),
         )
-        .filter(sch.is_plain_day(F.col("seconds")))
         .withColumn("rollover", sch.rollover_index(F.col("seconds")))
     )
 

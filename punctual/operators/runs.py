@@ -20,8 +20,9 @@ SEARCH_CAP_M = 1000.0
 MIN_STOPS = 3
 BLOCK_ROWS = 1 << 20
 
-# A running maximum over (run number, value) packed in one long restarts by itself at every new run.
-_BITS = 17
+# A running maximum over (run number, value) packed in one long restarts by itself at every new run. The value is a
+# stop index, which an array keeps below 2^31; that leaves 2^31 runs for one vehicle.
+_BITS = 32
 _SLOT = 1 << _BITS
 
 

@@ -118,9 +118,9 @@ WHERE hit IS NOT NULL GROUP BY 1, 2, 3, 4, 5
 # ---- schedules and sequences ----------------------------------------------------------------------------------------
 
 _part("plans", "st", """
-SELECT trip, max(secs) < 86400 AS plain, coalesce(max(CASE WHEN secs < prev THEN q - 1 END), 0) AS rollover,
+SELECT trip, max(secs) < 86400 AS plain, coalesce(max(CASE WHEN secs % 86400 < prev THEN q - 1 END), 0) AS rollover,
   min(CASE WHEN q = 1 THEN secs END) AS secs0
-FROM (SELECT *, lag(secs) OVER (PARTITION BY trip ORDER BY q) AS prev FROM st) GROUP BY 1
+FROM (SELECT *, lag(secs % 86400) OVER (PARTITION BY trip ORDER BY q) AS prev FROM st) GROUP BY 1
 """)
 _part("route_words", "", """
 SELECT c_custkey AS route, row_number() OVER (ORDER BY c_custkey) - 1 AS ix FROM customer
@@ -269,9 +269,9 @@ def sql() -> dict[str, str]:
     out = {
         "stop_arrivals": _with("arr_p plans st", """
 SELECT a.id, a.run, CAST(a.trip AS VARCHAR) AS trip_id, s.q AS stop_sequence, s.stop_name, a.ts AS arrival,
-  (a.ts // 86400) * 86400 + s.secs - CASE WHEN a.hit < p.rollover THEN 86400 ELSE 0 END - 3600 AS scheduled,
-  a.ts - ((a.ts // 86400) * 86400 + s.secs - CASE WHEN a.hit < p.rollover THEN 86400 ELSE 0 END - 3600) AS delay_s
-FROM arr_p a JOIN plans p ON p.trip = a.trip AND p.plain JOIN st s ON s.trip = a.trip AND s.q = a.hit + 1
+  (a.ts // 86400) * 86400 + s.secs % 86400 - CASE WHEN a.hit < p.rollover THEN 86400 ELSE 0 END - 3600 AS scheduled,
+  a.ts - ((a.ts // 86400) * 86400 + s.secs % 86400 - CASE WHEN a.hit < p.rollover THEN 86400 ELSE 0 END - 3600) AS delay_s
+FROM arr_p a JOIN plans p ON p.trip = a.trip JOIN st s ON s.trip = a.trip AND s.q = a.hit + 1
 """),
         "trip_nested_stops": _with("trips st", f"""
 SELECT {_ATTRIBUTES}, n AS n_stops, (SELECT string_agg(q || ':' || stop || ':' || arrival_time || ':' ||
@@ -326,8 +326,8 @@ SELECT id, seq, highest, kind FROM runs_m WHERE kind IS NOT NULL
 """),
         "schedule_resolved": _with("plans st", """
 SELECT CAST(s.trip AS VARCHAR) AS trip_id, q AS stop_sequence, CAST(epoch(o_orderdate) AS BIGINT) // 86400 * 86400
-  + secs - CASE WHEN q - 1 < rollover THEN 86400 ELSE 0 END - 3600 AS scheduled
-FROM st s JOIN plans p ON p.trip = s.trip AND plain JOIN orders ON o_orderkey = s.trip
+  + secs % 86400 - CASE WHEN q - 1 < rollover THEN 86400 ELSE 0 END - 3600 AS scheduled
+FROM st s JOIN plans p ON p.trip = s.trip JOIN orders ON o_orderkey = s.trip
 """),
         "delay_tokens": _with("step_t", """
 SELECT CAST(trip AS VARCHAR) AS trip_id, i AS stop_index, delay, step,
@@ -433,13 +433,18 @@ FROM (SELECT (SELECT max(epoch_us(ts)) FROM events) / 1e6 - epoch_us(ts) / 1e6 A
 SELECT CAST(trip AS VARCHAR) AS trip_id, place, label,
   array_to_string(list_transform(tk, lambda x, i: CASE WHEN i - 1 >= place THEN 33 ELSE x END), ',') AS tokens
 FROM examples
+"""),
+        "tree_delay_model": _with("examples", """
+SELECT count(*) FILTER (v >= 0.7) AS tested, round(avg(label) FILTER (v >= 0.7), 6) AS label_mean,
+  round(var_pop(label) FILTER (v >= 0.7), 6) AS label_variance, true AS sound, count(*) FILTER (v < 0.7) AS fitted
+FROM (SELECT *, ('0x' || substr(md5(CAST(trip AS VARCHAR) || '#0'), 1, 8))::BIGINT / 4294967296.0 AS v FROM examples)
 """),
         "shifted_pairs": _with("train_list", """
 SELECT CAST(trip AS VARCHAR) AS trip_id, array_to_string(tk[1:len(tk) - 1], ',') AS x,
   array_to_string(tk[2:len(tk)], ',') AS y FROM train_list
 """),
         "wide_features": _with("train_list", "SELECT " + ", ".join(
-            f"tk[{i + 1}] AS feature_{i:02d}" for i in range(75)) + " FROM train_list WHERE len(tk) = 75"),
+            f"coalesce(tk[{i + 1}], 33) AS feature_{i:02d}" for i in range(75)) + " FROM train_list"),
         "split_counts": _with("train_list", """
 SELECT split, count(*) AS samples, max(longest) AS longest, count(DISTINCT token) AS tokens_used FROM (
   SELECT split, trip, max(longest) OVER (PARTITION BY split) AS longest, unnest(list_distinct(tk)) AS token, tk FROM (

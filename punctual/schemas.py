@@ -141,4 +141,7 @@ ARCHIVE = _columns(
 
 SEQUENCE_LENGTH = 75
 TOKEN_ROWS = T.StructType([T.StructField(f"t{i:02d}", T.IntegerType()) for i in range(SEQUENCE_LENGTH)])
-FEATURE_COLUMNS = [f"feature_{i:02d}" for i in range(SEQUENCE_LENGTH)]
+
+
+def feature_column(i: int) -> str:
+    return f"feature_{i:02d}"

@@ -12,7 +12,6 @@ from ..operators.features import from_wide
 from ..operators.timetable import from_pipe_lists
 
 CORRUPT = "_corrupt_record"
-REPLAY_START = 30  # fixed value: the first files of the archive are from the night
 
 
 # ---- timetable ------------------------------------------------------------------------------------------------------
@@ -111,17 +110,30 @@ def flatten_feed(feeds: DataFrame) -> DataFrame:
     )
 
 
-ORDER_TICKS = 1 << 20
+#: Values of ``seq`` in one second: a block of a million values is 17 minutes of a vehicle.
+ORDER_TICKS = 1 << 10
 
 
 def with_order(positions: DataFrame) -> DataFrame:
-    """A ``seq`` for events that carry no ingest number: the timestamp, then a hash of the row.
+    """A ``seq`` for events that carry no ingest number: the timestamp, then a place among the vehicle's fixes of that second.
 
-    One second spans ``ORDER_TICKS`` values, so blocks of the ordered operators should be given as
-    ``ORDER_TICKS * seconds``.
+    Feeds repeat a vehicle that has not reported since; such exact repeats are dropped, so ``seq`` is unique for a
+    vehicle. More different fixes in one second than ``ORDER_TICKS`` fail the job. A stream can't look back: there
+    the place is a hash of the row and repeats stay.
     """
-    tie = F.pmod(F.xxhash64("id", "lat", "lng", "trip_id"), F.lit(ORDER_TICKS))
-    return positions.withColumn("seq", F.col("timestamp") * ORDER_TICKS + tie)
+    row = ["id", "lat", "lng", "trip_id"]
+    if positions.isStreaming:
+        tie = F.pmod(F.xxhash64(*row), F.lit(ORDER_TICKS))
+        return positions.withColumn("seq", F.col("timestamp") * ORDER_TICKS + tie)
+    place = F.row_number().over(W.partitionBy("id", "timestamp").orderBy("lat", "lng", "trip_id")) - 1
+    full = F.raise_error(F.concat(F.lit("too many fixes in one second: "), F.col("id")))
+    tie = F.when(F.col("_tie") < ORDER_TICKS, F.col("_tie")).otherwise(full)
+    return (
+        positions.dropDuplicates([*row, "timestamp"])
+        .withColumn("_tie", place)
+        .withColumn("seq", F.col("timestamp") * ORDER_TICKS + tie)
+        .drop("_tie")
+    )
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -151,7 +163,7 @@ def archive_files(spark: SparkSession, folder: str, start: int = 0) -> DataFrame
     return spark.createDataFrame(named, "path string, uri string, file_ix bigint")
 
 
-def replay_archive(spark: SparkSession, folder: str, start: int = REPLAY_START) -> DataFrame:
+def replay_archive(spark: SparkSession, folder: str, start: int = 0) -> DataFrame:
     """Archived events of the files from ``start`` on, in name order; a bad row fails the read.
 
     ``seq`` follows file order and row order inside a file. A gzip file is never split, so the rows of a file
@@ -195,7 +207,7 @@ def stream_archive(spark: SparkSession, folder: str, max_files: int = 1) -> Data
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Stored wide training features as token arrays."""
-    return from_wide(spark.read.parquet(path))
+    return from_wide(spark.read.option("mergeSchema", True).parquet(path))
 
 
 def read_token_csv(spark: SparkSession, path: str) -> DataFrame:

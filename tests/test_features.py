@@ -155,11 +155,22 @@ def test_prefix_examples_of_a_full_row(spark):
 
 
 def test_wide_table_round_trip(spark, tmp_path):
-    frame = spark.createDataFrame([([i] * 75,) for i in range(3)] + [([1] * 77,)], "tokens array<int>")
+    long = [31] + list(range(120)) + [32]  # a trip of about 60 stops
+    frame = spark.createDataFrame([([i] * 75,) for i in range(3)] + [(long,)], "tokens array<int>")
     features.wide_features(frame).write.parquet(str(tmp_path / "f"))
     stored = spark.read.parquet(str(tmp_path / "f"))
-    assert stored.select("uuid").distinct().count() == 3
-    assert sorted(r.tokens[74] for r in features.from_wide(stored).collect()) == [0, 1, 2]
+    assert stored.select("uuid").distinct().count() == 4 and len(stored.columns) == 123
+    back = [r.tokens for r in features.from_wide(stored).collect()]
+    assert sorted(back) == sorted([[i] * 75 + [33] * 47 for i in range(3)] + [long])
+    features.wide_features(frame.limit(2)).write.mode("append").parquet(str(tmp_path / "f"))
+    both = spark.read.option("mergeSchema", True).parquet(str(tmp_path / "f"))
+    assert {len(r.tokens) for r in features.from_wide(both).collect()} == {122} and both.count() == 6
+
+
+def test_a_given_width_leaves_nothing_out(spark):
+    frame = spark.createDataFrame([([1] * 77,)], "tokens array<int>")
+    with pytest.raises(Exception, match="more than 75 tokens: 77"):
+        features.wide_features(frame, width=75).collect()
 
 
 def test_shifted_pairs(spark):

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from world import Model, at, make_trip, positions_frame, random_world, trips_frame
 
 from punctual.operators import neighbours, runs
@@ -53,6 +54,15 @@ def test_previous_index_crosses_trips_unless_reset(spark):
     assert kinds == ["new", "new"]
 
 
+def test_high_stop_numbers_stay_in_their_run(spark):
+    rows = [("v", 1, 10, "A", 200_000, 150_000), ("v", 2, 20, "A", 200_000, 131_071), ("v", 1 << 21, 30, "B", 3, 1)]
+    hits = spark.createDataFrame(rows, "id string, seq long, timestamp long, trip_id string, n_stops int, hit int")
+    got = [(r.run, r.highest) for r in runs.track_runs(hits).orderBy("seq").collect()]
+    plain = [(r.run, r.highest) for r in runs.track_runs(hits.withColumn("hit", F.expr("hit % 1000"))).orderBy("seq").collect()]
+    assert [r for r, _ in got] == [r for r, _ in plain] == [0, 0, 1]
+    assert [h for _, h in got] == [150_000, 150_000, 1]
+
+
 def test_short_trips_are_not_judged(spark):
     trips = [make_trip("A", ["08:00:00"] * 2)]
     hits = runs.detect_hits(positions_frame(spark, [at(1, "v", "A", 1, 10)]), trips_frame(spark, trips))

@@ -112,3 +112,12 @@ def test_features_by_mode(spark, tmp_path):
     writers.write_features(rows, str(tmp_path / "f"))
     assert os.path.isdir(tmp_path / "f" / "mode=train")
     assert spark.read.parquet(str(tmp_path / "f")).filter("mode = 'infer'").first().trip_id == "B"
+
+
+def test_order_without_ingest_numbers(spark):
+    rows = [("v", 1.0 + k % 3, 2.0, "A", 100 + k // 6) for k in range(3000)] * 2 + [("w", 1.0, 2.0, None, 100)]
+    frame = spark.createDataFrame(rows, "id string, lat double, lng double, trip_id string, timestamp long")
+    got = readers.with_order(frame).collect()
+    assert len(got) == 1501 and len({(r.id, r.seq) for r in got}) == 1501
+    assert all(r.seq // readers.ORDER_TICKS == r.timestamp for r in got)
+    assert len({r.seq >> 20 for r in got}) == 1  # a block of the ordered operators holds all 500 seconds
