@@ -436,7 +436,7 @@ FROM examples
 """),
         "tree_delay_model": _with("examples", """
 SELECT count(*) FILTER (v >= 0.7) AS tested, round(avg(label) FILTER (v >= 0.7), 6) AS label_mean,
-  round(var_pop(label) FILTER (v >= 0.7), 6) AS label_variance, true AS sound, count(*) FILTER (v < 0.7) AS fitted
+  round(var_pop(label) FILTER (v >= 0.7), 6) AS label_variance, true AS fits, count(*) FILTER (v < 0.7) AS fitted
 FROM (SELECT *, ('0x' || substr(md5(CAST(trip AS VARCHAR) || '#0'), 1, 8))::BIGINT / 4294967296.0 AS v FROM examples)
 """),
         "shifted_pairs": _with("train_list", """
