@@ -15,7 +15,8 @@ usual triples, keeps two thirds of all places). Then:
 Samples at the same place of the cover are followed at one place of it only; pairs that lie so meet there as well.
 Names with very many contexts are split by distance and string, and counted by a plain aggregation.
 
-Equality is that of 64-bit polynomial hashes of the strings. Memory is bounded by blocks of four megabytes, by buckets
+Equality is that of 64-bit polynomial hashes of the strings; names are cut to 48 bits, as what two strings share in
+them is only looked at more closely. Memory is bounded by blocks of two megabytes, by buckets
 whose number follows the size of the input, and by the longest single text.
 
 Defined cases: a null text is empty; texts shorter than ``WIDTH`` lose nothing; repeated rows are copies of each other
@@ -78,51 +79,68 @@ def _binary(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([p.tobytes() for p in parts], pa.binary())
 
 
+_PACKED = ("names", "texts", "owners", "places")
+
+
+def _thin(x: np.ndarray) -> bytes:
+    """Numbers below 2^32 as their low halves and then their high ones, which are mostly zeros."""
+    return np.concatenate([x & 0xFFFF, x >> 16]).astype("<u2").tobytes()
+
+
+def _full(blob: bytes) -> np.ndarray:
+    halves = np.frombuffer(blob, "<u2").astype(np.int64)
+    return halves[: len(halves) // 2] | halves[len(halves) // 2 :] << 16
+
+
+def _pack(names: np.ndarray, uids: np.ndarray, at: np.ndarray) -> tuple[bytes, ...]:
+    """48 bits of each name, the different texts, and by sample the number of its text and its place."""
+    texts, owners = np.unique(uids, return_inverse=True)
+    return names.astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes(), texts.tobytes(), _thin(owners), _thin(at)
+
+
+def _unpack(names: bytes, texts: bytes, owners: bytes, places: bytes) -> tuple[np.ndarray, ...]:
+    thin = np.frombuffer(names, "<u2").reshape(-1, 3).astype(_U)
+    return thin[:, 0] | thin[:, 1] << _U(16) | thin[:, 2] << _U(32), np.frombuffer(texts, np.int64)[_full(owners)], _full(places)
+
+
 def _samples(cover: Cover, buckets: int):
-    """Packed samples: bucket, names, uids and places; what a block holds more than twice of one name goes by itself."""
+    """Packed samples by bucket; what a block holds more than twice of one name goes by itself."""
 
     def run(batches):
-        schema = pa.schema([("bucket", pa.int64()), ("names", pa.binary()), ("uids", pa.binary()), ("places", pa.binary())])
-        taken = np.zeros(cover.v, bool)
-        taken[cover.residues] = True
-        for batch in flat.blocks(batches, "text"):
+        schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in _PACKED)])
+        residues = np.array(cover.residues)
+        for batch in flat.blocks(batches, "text", 1 << 21):
             data, offsets = flat.flat(batch.column("text"))
             size, uid = np.diff(offsets), batch.column("uid").to_numpy()
-            last = np.where(size >= cover.width, size - cover.name, -1)
-            at, owner = _places(taken, cover.v, last)
+            at, owner = _places(residues, cover.v, np.where(size >= cover.width, size - cover.name, -1))
             if not len(at):
                 continue
             begin = offsets[:-1][owner] + at
             names = flat.spans(flat.prefix(data), begin, begin + cover.name)
             order = np.lexsort((at % cover.v, names))
-            names, at, owner = names[order], at[order], owner[order]
+            names, at, uids = names[order], at[order], uid[owner[order]]
             third = np.zeros(len(names), bool)  # neither of least nor of greatest residue of its name here
             third[1:-1] = (names[1:-1] == names[:-2]) & (names[1:-1] == names[2:])
-            if third.any():
-                one = np.flatnonzero(third)
-                yield flat.rows(
-                    schema, bucket=np.full(1, -1), names=_binary([names[one]]), uids=_binary([uid[owner[one]]]),
-                    places=_binary([at[one].astype(np.int32)]),
-                )
-                names, at, owner = names[~third], at[~third], owner[~third]
-            bucket = (names >> _U(20)) % _U(buckets)
+            bucket = np.where(third, -1, (flat.mix(names) % _U(buckets)).astype(np.int64))
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
-            ends = np.append(cuts[1:], len(order))
-            cut = lambda x: _binary([x[order[a:b]] for a, b in zip(cuts, ends)])
+            parts = [order[a:b] for a, b in zip(cuts, np.append(cuts[1:], len(order)))]
+            packed = [_pack(names[k], uids[k], at[k]) for k in parts]
             yield flat.rows(
-                schema, bucket=bucket[order[cuts]].astype(np.int64), names=cut(names), uids=cut(uid[owner]), places=cut(at.astype(np.int32))
+                schema, bucket=bucket[order[cuts]], **{c: pa.array(x, pa.binary()) for c, x in zip(_PACKED, zip(*packed))}
             )
 
     return run
 
 
-def _places(taken: np.ndarray, v: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(residues: np.ndarray, v: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sampled places 0..last of each text, and the text's number."""
-    count = np.maximum(last + 1, 0)
-    owner = np.repeat(np.arange(len(last)), count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    keep = taken[at % v]
+    periods = np.maximum(last // v + 1, 0)
+    owner = np.repeat(np.arange(len(last)), periods)
+    begin = (np.arange(periods.sum()) - np.repeat(np.cumsum(periods) - periods, periods)) * v
+    at = (begin[:, None] + residues).ravel()
+    owner = np.repeat(owner, len(residues))
+    keep = at <= last[owner]
     return at[keep], owner[keep]
 
 
@@ -130,10 +148,8 @@ def _shared(cover: Cover):
     """Of one bucket: the samples whose name others have too."""
 
     def run(key, table):
-        names, uids, places = (
-            np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()])
-            for c, t in (("names", _U), ("uids", np.int64), ("places", np.int32))
-        )
+        rows = zip(*(table.column(c).to_pylist() for c in _PACKED))
+        names, uids, places = (np.concatenate(x) for x in zip(*(_unpack(*row) for row in rows)))
         keep = np.ones(len(names), bool)
         if key[0].as_py() >= 0:
             order = np.argsort(names, kind="stable")
@@ -264,9 +280,9 @@ def _cut(width: int):
 def repeated_ranges(docs: DataFrame, cover: Cover, total: int, most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """The texts that may hold repeated strings (uid, text, places), and (uid, low, high): the starts of such strings."""
     buckets = pieces(total, BUCKET_BYTES)
-    packed = docs.mapInArrow(_samples(cover, buckets), "bucket long, names binary, uids binary, places binary")
+    packed = docs.mapInArrow(_samples(cover, buckets), "bucket long, " + ", ".join(f"{c} binary" for c in _PACKED))
     alone = F.when(F.col("bucket") < 0, F.xxhash64("names")).alias("alone")  # what needs no comparison is spread
-    shared = saved(packed.groupBy("bucket", alone).applyInArrow(_shared(cover), "uid long, place int, name long"), "shared")
+    shared = saved(packed.groupBy("bucket", alone).applyInArrow(_shared(cover), "uid long, place long, name long"), "shared")
     released(docs.sparkSession)
     places = shared.distinct().groupBy("uid").agg(F.collect_list(F.struct("place", "name")).alias("places"))
     texts = saved(docs.join(places, "uid"), "texts")
@@ -278,13 +294,16 @@ def repeated_ranges(docs: DataFrame, cover: Cover, total: int, most_contexts: in
         F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "place")).alias("one")
     )
     different = saved(different, "different")
+    released(docs.sparkSession)
     again = different.filter("n > 1").select("name", "context")
     whole = told.join(again, ["name", "context"], "left_semi").filter("low <= high").select("uid", "low", "high")
-    whole = whole.groupBy("uid", "low", "high").count().drop("count")
+    whole = saved(whole.groupBy("uid", "low", "high").count().drop("count"), "whole")
+    released(docs.sparkSession)
 
     many = different.groupBy("name").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
     ones = saved(different.join(many, "name").select("one.uid", "one.place", "name", "contexts"), "ones")
     count = ones.count()
+    released(docs.sparkSession)
     wanted = ones.groupBy("uid").agg(F.collect_list(F.struct("place", "name", "contexts")).alias("places"))
     open_ = texts.select("uid", "text").dropDuplicates(["uid"]).join(wanted, "uid").mapInArrow(_map_contexts(cover, True), kinds + "binary")
     hot = ones.filter(F.col("contexts") > most_contexts).select("name").distinct()
@@ -300,7 +319,11 @@ def repeated_ranges(docs: DataFrame, cover: Cover, total: int, most_contexts: in
         twice = each.groupBy("name", "distance", "string").count().filter("count > 1").drop("count")
         starts = each.join(twice, ["name", "distance", "string"], "left_semi")
         found = found.unionByName(starts.select("uid", F.col("start").alias("low"), F.col("start").alias("high")))
-    return texts, saved(whole.unionByName(found).distinct(), "ranges")
+    found = saved(found, "compared")
+    released(docs.sparkSession)
+    ranges = saved(whole.unionByName(found).distinct(), "ranges")
+    released(docs.sparkSession)
+    return texts, ranges
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, order: int = ORDER, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
