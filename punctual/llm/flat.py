@@ -86,6 +86,16 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(_U) * _U(0xA0761D6478BD642F))
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Hashes of spans in order, without running sums over more than ``step`` bytes (or the longest span) at a time."""
+    out, k = np.empty(len(start), _U), 0
+    while k < len(start):
+        to, base = max(k + 1, int(np.searchsorted(end, start[k] + step, "right"))), start[k]
+        out[k:to] = spans(prefix(data[base : end[to - 1]]), start[k:to] - base, end[k:to] - base)
+        k = to
+    return out
+
+
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     """One hash for each ``width`` consecutive hashes; callers drop those that cross texts."""
     n = len(hashes) - width + 1
@@ -102,7 +112,7 @@ def per_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text, values, n).astype(np.int64)
 
 
-def blocks(batches, text: str, most: int = 1 << 22):
+def blocks(batches, text: str, most: int = 1 << 21):
     """Arrow batches cut into slices of about ``most`` bytes of text (a longer single text stays whole)."""
     for batch in batches:
         at = 0

@@ -12,7 +12,7 @@ byte) once, with how often its training texts have it. Requests meet by key: the
 corpus, the costs of (context, byte) are worked out once for all, and the answers go back to the block, which adds them
 up by text. So no table is broadcast, and the requests grow with the input.
 
-Words are told by 64-bit hashes. Defined cases: a null or empty text is its end alone; rows are scored one by one and
+Words are told by 64-bit hashes; costs travel as 32-bit numbers. Defined cases: a null or empty text is its end alone; rows are scored one by one and
 count one by one, repeated ones too; a null id counts as the empty text in the split; without training texts all counts
 are 0; an empty table gives an empty result; other columns are ignored.
 """
@@ -29,7 +29,7 @@ from punctual.llm.tables import crc_mod, pieces, released, saved
 
 ORDER = 6
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 SEPARATOR, END = 0x20, b"\n"
 
 _U = np.uint64
@@ -65,7 +65,7 @@ def _block(batch, order: int) -> dict:
     data, offsets = flat.flat(batch.column("text"))
     data = flat.LOWER[data]
     start, end, text = flat.words(data, offsets)
-    keys = flat.spans(flat.prefix(data), start, end)
+    keys = flat.hashes(data, start, end)
     different, first, number = np.unique(keys, return_index=True, return_inverse=True)
     learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
     count = np.bincount(number, learn[text], len(different)).astype(np.int64)
@@ -80,7 +80,13 @@ def _block(batch, order: int) -> dict:
 
 
 def _word_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return flat.spans(flat.prefix(data), offsets[:-1], offsets[1:])
+    return flat.hashes(data, offsets[:-1], offsets[1:])
+
+
+def _order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each key, and the order in which a block asks for its keys: answers come back in it, without the keys."""
+    bucket = (flat.mix(keys) % _U(buckets)).astype(np.int64)
+    return bucket, np.lexsort((keys, bucket))
 
 
 def _asks(order: int, buckets: int):
@@ -102,8 +108,7 @@ def _asks(order: int, buckets: int):
             different, number = np.unique(spelt, return_inverse=True)
             times = np.bincount(number, got["counts"][owner], len(different)).astype(np.int64)
             for kind, keys, counts in ((1, _word_keys(got["data"], got["offsets"]), got["counts"]), (2, different, times)):
-                bucket = (flat.mix(keys) % _U(buckets)).astype(np.int64)
-                rank = np.lexsort((keys, bucket))
+                bucket, rank = _order(keys, buckets)
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[rank][1:] != bucket[rank][:-1]]))
                 ends, m = np.append(cuts[1:], len(rank)), len(cuts)
                 cut = lambda x: pa.array([x[rank[a:b]].tobytes() for a, b in zip(cuts, ends)], pa.binary())
@@ -126,20 +131,17 @@ def _sums(table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(key, table):
-    """Answers to the requests for words of one bucket: block, keys, values (the count), and ``known``: keys of the bucket with a count."""
+    """Answers to the requests for words of one bucket, and in its first row ``known``: keys of the bucket with a count."""
     keys, counts = _sums(table)
-    return _answers(table, keys, counts.astype(float), int((counts > 0).sum()))
+    return _answers(table, keys, counts, int((counts > 0).sum()))
 
 
 def _answers(table, keys: np.ndarray, values: np.ndarray, known: int):
-    blocks, asked, told = table.column("block"), [], []
-    for blob in table.column("keys").to_pylist():
-        asked.append(blob)
-        told.append(values[np.searchsorted(keys, np.frombuffer(blob, _U))].tobytes())
-    first = [known] + [0] * (len(asked) - 1)
-    return pa.table(
-        {"block": blocks, "kind": table.column("kind"), "keys": pa.array(asked, pa.binary()), "values": pa.array(told, pa.binary()), "known": pa.array(first[: len(asked)], pa.int64())}
-    )
+    """block, kind, bucket, values: to every request the values of its keys, in its order."""
+    told = [values[np.searchsorted(keys, np.frombuffer(blob, _U))].tobytes() for blob in table.column("keys").to_pylist()]
+    first = [known] + [0] * (len(told) - 1)
+    same = {c: table.column(c) for c in ("block", "kind", "bucket")}
+    return pa.table({**same, "values": pa.array(told, pa.binary()), "known": pa.array(first[: len(told)], pa.int64())})
 
 
 def _totals(key, table):
@@ -153,7 +155,7 @@ def _priced(key, table):
     prices, asks = table.filter(pa.array(kinds == 3)), table.filter(pa.array(kinds == 2))
     keys, values = _joined(prices, "keys", _U), _joined(prices, "counts", np.float64)
     rank = np.argsort(keys)
-    return _answers(asks, keys[rank], values[rank], 0)
+    return _answers(asks, keys[rank], values[rank].astype(np.float32), 0)
 
 
 def _costs(spelt: DataFrame, order: int) -> DataFrame:
@@ -189,7 +191,7 @@ def _costs(spelt: DataFrame, order: int) -> DataFrame:
     return rest
 
 
-def _scored(order: int):
+def _scored(order: int, buckets: int):
     """The texts of one block: doc_id, held_out, n_tokens, n_known, sum of log10(c + 1), score."""
 
     def run(key, table):
@@ -197,15 +199,17 @@ def _scored(order: int):
         own = table.filter(pa.array(kinds == 0)).to_pylist()[0]
         data, offsets, tokens, sizes = (np.frombuffer(own[c], t) for c, t in (("data", np.uint8), ("offsets", np.int64), ("tokens", np.int32), ("sizes", np.int64)))
 
-        def told(kind: int, keys: np.ndarray) -> np.ndarray:
-            part = table.filter(pa.array(kinds == kind))
-            there, values = _joined(part, "keys", _U), _joined(part, "values", np.float64)
-            rank = np.argsort(there)
-            return values[rank][np.searchsorted(there[rank], keys)]
+        def told(kind: int, keys: np.ndarray, number) -> np.ndarray:
+            part = table.filter(pa.array(kinds == kind)).sort_by("bucket")
+            values = _joined(part, "values", number)
+            out = np.empty_like(values)
+            out[_order(keys, buckets)[1]] = values
+            return out
 
-        count = told(1, _word_keys(data, offsets))
+        count = told(1, _word_keys(data, offsets), np.int64)
         spelt, owner = _spellings(data, offsets, order)
-        cost = np.bincount(owner, told(2, spelt), len(offsets) - 1)
+        different, number = np.unique(spelt, return_inverse=True)
+        cost = np.bincount(owner, told(2, different, np.float32).astype(float)[number], len(offsets) - 1)
         text = np.repeat(np.arange(len(sizes)), sizes)
 
         def by_text(values: np.ndarray) -> np.ndarray:
@@ -235,7 +239,7 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int
     own = "ids array<long>, held_out array<boolean>, data binary, offsets binary, tokens binary, sizes binary"
     asked = saved(named.mapInArrow(_asks(order, buckets), f"{_PACKED}, {own}"), "asks")
 
-    answer = "block long, kind int, keys binary, values binary, known long"
+    answer = "block long, kind int, bucket long, values binary, known long"
     words = asked.filter("kind = 1").select("block", "kind", "bucket", "keys", "counts")
     words = saved(words.groupBy("bucket").applyInArrow(_counted, answer), "words")
     grams = asked.filter("kind = 2").select("block", "kind", "bucket", "keys", "counts")
@@ -246,10 +250,10 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int
     costs = saved(grams.unionByName(packed).groupBy("bucket").applyInArrow(_priced, answer), "costs")
     released(docs.sparkSession)
 
-    one = asked.filter("kind = 0").select("block", "kind", "ids", "held_out", "data", "offsets", "tokens", "sizes")
-    answers = words.unionByName(costs).select("block", "kind", "keys", "values")
+    one = asked.filter("kind = 0").select("block", "kind", "bucket", "ids", "held_out", "data", "offsets", "tokens", "sizes")
+    answers = words.unionByName(costs).select("block", "kind", "bucket", "values")
     texts = one.unionByName(answers, allowMissingColumns=True).groupBy("block").applyInArrow(
-        _scored(order), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+        _scored(order, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
     )
     texts = saved(texts, "scored")
     released(docs.sparkSession)

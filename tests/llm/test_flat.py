@@ -41,3 +41,11 @@ def test_blocks_keep_every_row_in_order():
     parts = list(flat.blocks([batch], "text", 4))
     assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(7))
     assert max(sum(map(len, filter(None, p.column("text").to_pylist()))) for p in parts) == 9
+
+
+def test_hashes_by_steps_are_the_same():
+    data, offsets = flat.flat(pa.array([r[1] for r in documents()]))
+    start, end, _ = flat.words(data, offsets)
+    whole = flat.spans(flat.prefix(data), start, end)
+    for step in (1, 50, 1 << 20):
+        assert (flat.hashes(data, start, end, step) == whole).all()
