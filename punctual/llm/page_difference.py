@@ -3,7 +3,8 @@
 A page is cut into blocks of text. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are told by their elements, roles and class names. What stands in an article (or main) element is main
 text, whole. On a page without one every other block is open: it is aligned with the blocks of the nearest page of the
-same host by a longest common subsequence, and blocks that both pages have are furniture of the host and go.
+same host by a longest common subsequence, and blocks that both pages have are furniture of the host and go. Main text
+never leaves its task; only the other blocks, of hosts that have such pages, are ordered.
 
 Nearest is the neighbour in the order of URL paths that shares the longer beginning of the path (the earlier one if
 both share as much). The order is made by a range partitioning, so a host may hold any share of all pages; neighbours
@@ -188,22 +189,30 @@ def _address(url: str | None) -> tuple[str | None, str]:
     return host.lower(), re.split(r"[?#]", path, maxsplit=1)[0]
 
 
+def _main(batches):
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+    for batch in flat.blocks(batches, "html", 1 << 20):
+        texts = [[t for t, kind in blocks_of(page or "") if kind == MAIN] for page in batch.column("html").to_pylist()]
+        texts = [" ".join(main) if main else None for main in texts]
+        yield flat.rows(schema, page_id=batch.column("page_id"), url=batch.column("url"), text=texts)
+
+
 def _cut(batches):
     schema = pa.schema(
-        [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("text", pa.string())]
+        [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("whole", pa.bool_())]
         + [("blocks", pa.list_(pa.string())), ("open", pa.list_(pa.bool_()))]
     )
     for batch in flat.blocks(batches, "html", 1 << 20):
         got = {c: [] for c in schema.names}
         for page_id, url, page in zip(batch.column("page_id"), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             blocks = blocks_of(page or "")
-            main = [t for t, kind in blocks if kind == MAIN]
+            main = any(kind == MAIN for _, kind in blocks)
             host, path = _address(url)
             got["page_id"].append(page_id.as_py())
             got["url"].append(url)
             got["host"].append(host)
             got["path"].append(path)
-            got["text"].append(" ".join(main) if main else None)
+            got["whole"].append(main)
             got["blocks"].append([t for t, kind in blocks if kind != MAIN])
             got["open"].append([kind == OPEN and not main for t, kind in blocks if kind != MAIN])
         yield flat.rows(schema, **got)
@@ -228,11 +237,9 @@ def _differ(batches):
     for batch in batches:
         got = {c: [] for c in schema.names}
         for row in batch.to_pylist():
-            text = row["text"]
-            if text is None:
-                other = _nearest(row["path"], row["before"], row["after"])
-                gone = set(common(row["blocks"], other["blocks"])) if other else set()
-                text = " ".join(t for k, (t, kept) in enumerate(zip(row["blocks"], row["open"])) if kept and k not in gone)
+            other = _nearest(row["path"], row["before"], row["after"])
+            gone = set(common(row["blocks"], other["blocks"])) if other else set()
+            text = " ".join(t for k, (t, kept) in enumerate(zip(row["blocks"], row["open"])) if kept and k not in gone)
             got["page_id"].append(row["page_id"])
             got["url"].append(row["url"])
             got["text"].append(text)
@@ -241,27 +248,31 @@ def _differ(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    cut = pages.select("page_id", "url", "html").mapInArrow(
-        _cut, "page_id long, url string, host string, path string, text string, blocks array<string>, open array<boolean>"
-    )
+    pages = pages.select("page_id", "url", "html")
+    done = pages.mapInArrow(_main, "page_id long, url string, text string").filter("text is not null")
+
+    kinds = "page_id long, url string, host string, path string, whole boolean, blocks array<string>, open array<boolean>"
+    cut = saved(pages.mapInArrow(_cut, kinds), "blocks")
+    # A host all of whose pages have an article needs no order.
+    hosts = cut.filter("not whole").select(F.col("host").alias("of_host")).distinct()
+    cut = cut.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left_semi")
     ordered = cut.repartitionByRange("host", "path", "url", "page_id").sortWithinPartitions("host", "path", "url", "page_id")
     ordered = ordered.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
     ordered = saved(ordered, "ordered")
 
-    done = ordered.filter("text is not null").select("page_id", "url", "text")
     bounds = ordered.groupBy("part").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     bounds = bounds.withColumn("ended", F.expr("lag(last) over (order by part)")).select("first", "ended")  # a row per partition
     linked = ordered.select("at", "host", "path", "blocks").join(bounds, F.col("at") == F.col("first"), "left")
     linked = linked.withColumn("previous", F.when(F.col("first").isNotNull(), F.col("ended")).otherwise(F.col("at") - 1))
     linked = linked.select("at", "previous", F.struct("host", "path", "blocks").alias("page"))
 
-    todo = ordered.filter("text is null").select("page_id", "url", "host", "path", "text", "blocks", "open", "at")
+    todo = ordered.filter("not whole").select("page_id", "url", "host", "path", "blocks", "open", "at")
     own = linked.select(F.col("at").alias("own_at"), F.col("previous").alias("own_previous"))
     todo = todo.join(own, F.col("at") == F.col("own_at"))
     before = linked.select(F.col("at").alias("before_at"), F.col("page").alias("before"))
     after = linked.select(F.col("previous").alias("after_of"), F.col("page").alias("after"))
     todo = todo.join(before, F.col("own_previous") == F.col("before_at"), "left").join(after, F.col("at") == F.col("after_of"), "left")
     here = lambda c: F.when(F.col(c)["host"].eqNullSafe(F.col("host")), F.col(c)).alias(c)
-    told = todo.select("page_id", "url", "path", "text", "blocks", "open", here("before"), here("after"))
+    told = todo.select("page_id", "url", "path", "blocks", "open", here("before"), here("after"))
     told = told.mapInArrow(_differ, "page_id long, url string, text string")
     return done.unionByName(told).withColumn("n_chars", F.length("text").cast("long"))
