@@ -1,29 +1,33 @@
-"""Main text of web pages: markup first, then the difference to the page with the nearest URL.
+"""Main text of web pages: the difference to the page with the nearest URL, with the markup as a guard.
 
 A page is cut into blocks of text. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are told by their elements, roles and class names. What stands in an article (or main) element is main
-text, whole. On a page without one every other block is open: it is aligned with the blocks of the nearest page of the
-same host by a longest common subsequence, and blocks that both pages have are furniture of the host and go. Main text
-never leaves its task; only the other blocks, of hosts that have such pages, are ordered.
+reader comments are told by their elements, roles and class names and go. Every page is aligned with the nearest page of
+the same host by a longest common subsequence of all blocks, and blocks that both pages have are furniture of the host
+and go too, but for the text of an article (or main) element: what stands there in a paragraph, heading, list item or
+other element of text stays, whatever pages share it, unless it is nothing but links. In an article without elements of
+text, all that is no link is text. Every other block stays if the nearest page lacks it, within an article or outside.
+The alignment knows blocks by 64-bit hashes, and only hashes are ordered: texts never leave their task, unless the pages
+that lose blocks are too many to send to every task.
 
 Nearest is the neighbour in the order of URL paths that shares the longer beginning of the path (the earlier one if
-both share as much). The order is made by a range partitioning, so a host may hold any share of all pages; neighbours
-across partitions meet through one row per partition.
+both share as much); pages without blocks are nobody's neighbours. The order is made by a range partitioning, so a host
+may hold any share of all pages; neighbours across partitions meet through one row per partition.
 
-Defined cases: a null or empty page has an empty text; a null URL forms a host of its own; repeated rows are neighbours
-like any others; unclosed elements end with what holds them, an unclosed comment at the end of the page; an empty table
-gives an empty result; other columns are ignored.
+Defined cases: a null or empty page has an empty text; a null URL forms a host of its own; repeated rows have the same
+text; unclosed elements end with what holds them, an unclosed comment at the end of the page; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.llm import flat
@@ -31,8 +35,10 @@ from punctual.llm.tables import saved
 
 # Names of elements and of their usual classes.
 FURNITURE = frozenset(
-    "head nav footer aside form script style noscript template button select option textarea svg iframe dialog menu object canvas audio video".split()
+    "head title nav footer aside form script style noscript template button select option textarea svg iframe dialog menu object canvas audio video".split()
 )
+TEXT = frozenset("p li dd dt td th caption figcaption blockquote pre address summary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PAGE_ONLY = frozenset(["header"])  # an article has a header of its own
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +61,7 @@ BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 MAIN, OPEN, DROPPED = 0, 1, 2
+_LOOSE, _LINKS = 3, 4  # in an article, but in no element of text, or links alone
 
 
 def _is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
@@ -74,22 +81,30 @@ def _is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
 
 
 def blocks_of(page: str) -> list[tuple[str, int]]:
-    """The blocks of a page in order, each with what it is: MAIN, OPEN or DROPPED."""
+    """The blocks of a page in order, each with what it is: MAIN (text of an article), DROPPED, or OPEN to the alignment."""
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, in furniture, in main
-    furniture = main = False
+    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # element, in furniture, main, text, heading, link
+    outside = (False,) * 5
+    furniture, main, held, heading, link = outside
+    written = plain = False  # an article with elements of text; a block that is more than links
     words: list[str] = []
 
     def flush() -> None:
+        nonlocal written, plain
         text = BLANKS.sub(" ", "".join(words)).strip(" ")
         words.clear()
         if text:
-            out.append((text, DROPPED if furniture else MAIN if main else OPEN))
+            kind = MAIN if heading or (held and plain) else _LOOSE if plain else _LINKS
+            kind = DROPPED if furniture else kind if main else OPEN
+            written = written or (kind == MAIN and held)
+            out.append((text, kind))
+        plain = False
 
     at = 0
     while True:
         found = TAG.search(page, at)
         words.append(html.unescape(page[at : found.start() if found else len(page)]))
+        plain = plain or not (link or words[-1].isspace() or not words[-1])
         if not found:
             break
         at = found.end()
@@ -106,15 +121,15 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         if tag not in INLINE:
             flush()
         if close:
-            held = len(stack)  # where the element to close stands; an inline one closes no block
-            while held and stack[held - 1][0] != tag and (tag not in INLINE or stack[held - 1][0] in INLINE):
-                held -= 1
-            if held and stack[held - 1][0] == tag:
-                now = stack[held - 2][1:] if held > 1 else (False, False)
-                if now != (furniture, main):
+            top = len(stack)  # where the element to close stands; an inline one closes no block
+            while top and stack[top - 1][0] != tag and (tag not in INLINE or stack[top - 1][0] in INLINE):
+                top -= 1
+            if top and stack[top - 1][0] == tag:
+                now = stack[top - 2][1:] if top > 1 else outside
+                if now[:2] != (furniture, main):
                     flush()
-                furniture, main = now
-                del stack[held - 1 :]
+                furniture, main, held, heading, link = now
+                del stack[top - 1 :]
             continue
         if attributes.endswith("/") and tag in RAW:
             continue
@@ -122,13 +137,14 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         if inner != furniture:
             flush()
         main = main or tag in ("article", "main")
-        furniture = inner
-        stack.append((tag, furniture, main))
+        furniture, held, heading = inner, held or tag in TEXT, heading or tag in HEADINGS
+        link = tag == "a" or (link and tag in INLINE)  # an unclosed link ends with its block
+        stack.append((tag, furniture, main, held, heading, link))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else len(page)
     flush()
-    return out
+    return [(t, kind if kind < _LOOSE else MAIN if kind == _LOOSE and not written else OPEN) for t, kind in out]
 
 
 def _rows(a: list, b: list):
@@ -189,35 +205,51 @@ def _address(url: str | None) -> tuple[str | None, str]:
     return host.lower(), re.split(r"[?#]", path, maxsplit=1)[0]
 
 
-def _main(batches):
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
-    for batch in flat.blocks(batches, "html", 1 << 20):
-        texts = [[t for t, kind in blocks_of(page or "") if kind == MAIN] for page in batch.column("html").to_pylist()]
-        texts = [" ".join(main) if main else None for main in texts]
-        yield flat.rows(schema, page_id=batch.column("page_id"), url=batch.column("url"), text=texts)
+def _content(blocks: list[tuple[str, int]]) -> bytes:
+    """Equal for equal blocks, and else different."""
+    return hashlib.sha256("".join(f"{kind}{len(t)}:{t}" for t, kind in blocks).encode(errors="surrogatepass")).digest()
 
 
-def _cut(batches):
-    schema = pa.schema(
-        [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("whole", pa.bool_())]
-        + [("blocks", pa.list_(pa.string())), ("open", pa.list_(pa.bool_()))]
-    )
+def _hashes(blocks: list[tuple[str, int]]) -> list[int]:
+    number = lambda t: hashlib.blake2b(t.encode(errors="surrogatepass"), digest_size=8).digest()
+    return [int.from_bytes(number(t), "little", signed=True) for t, _ in blocks]
+
+
+def _pages(batches, schema: pa.Schema, more):
+    """One row a page: its id, where it lies, its content, and what ``more`` makes of its blocks."""
     for batch in flat.blocks(batches, "html", 1 << 20):
         got = {c: [] for c in schema.names}
-        for page_id, url, page in zip(batch.column("page_id"), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
+        for page_id, url, page in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             blocks = blocks_of(page or "")
-            main = any(kind == MAIN for _, kind in blocks)
             host, path = _address(url)
-            got["page_id"].append(page_id.as_py())
-            got["url"].append(url)
-            got["host"].append(host)
-            got["path"].append(path)
-            got["whole"].append(main)
-            got["blocks"].append([t for t, kind in blocks if kind != MAIN])
-            got["open"].append([kind == OPEN and not main for t, kind in blocks if kind != MAIN])
+            row = {"page_id": page_id, "url": url, "host": host, "path": path, "content": _content(blocks), **more(blocks)}
+            for c in schema.names:
+                got[c].append(row[c])
         yield flat.rows(schema, **got)
 
 
+def _cut(batches):
+    schema = pa.schema(
+        [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("content", pa.binary())]
+        + [("blocks", pa.list_(pa.int64())), ("open", pa.list_(pa.int32()))]
+    )
+    return _pages(batches, schema, lambda blocks: {"blocks": _hashes(blocks), "open": [k for k, (_, kind) in enumerate(blocks) if kind == OPEN]})
+
+
+def _texts(batches):
+    """The blocks that may stay, and the place of each that is open (-1 for the others)."""
+    schema = pa.schema(
+        [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("content", pa.binary())]
+        + [("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int32()))]
+    )
+
+    def more(blocks):
+        stay = [(t, k if kind == OPEN else -1) for k, (t, kind) in enumerate(blocks) if kind != DROPPED]
+        return {"texts": [t for t, _ in stay], "places": [k for _, k in stay]}
+
+    return _pages(batches, schema, more)
+
+
 def _nearest(path: str, before: dict | None, after: dict | None) -> dict | None:
     def alike(other: dict | None) -> int:
         if other is None:
@@ -233,30 +265,35 @@ def _nearest(path: str, before: dict | None, after: dict | None) -> dict | None:
 
 
 def _differ(batches):
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+    """Places of the open blocks that the nearest page has too, of the pages with any."""
+    schema = pa.schema([("key", pa.binary()), ("gone", pa.list_(pa.int32()))])
     for batch in batches:
         got = {c: [] for c in schema.names}
         for row in batch.to_pylist():
             other = _nearest(row["path"], row["before"], row["after"])
-            gone = set(common(row["blocks"], other["blocks"])) if other else set()
-            text = " ".join(t for k, (t, kept) in enumerate(zip(row["blocks"], row["open"])) if kept and k not in gone)
-            got["page_id"].append(row["page_id"])
-            got["url"].append(row["url"])
-            got["text"].append(text)
+            shared = set(common(row["blocks"], other["blocks"])) if other else set()
+            gone = [k for k in row["open"] if k in shared]
+            if gone:
+                got["key"].append(row["key"])
+                got["gone"].append(gone)
         yield flat.rows(schema, **got)
 
 
+#: Rows that agree in these are one page.
+SAME = ("host", "content", "url", "page_id")
+
+
+def _key() -> Column:
+    return F.unhex(F.sha2(F.to_json(F.struct(*[F.hex(c) if c == "content" else F.col(c) for c in SAME])).cast("binary"), 256)).alias("key")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     pages = pages.select("page_id", "url", "html")
-    done = pages.mapInArrow(_main, "page_id long, url string, text string").filter("text is not null")
-
-    kinds = "page_id long, url string, host string, path string, whole boolean, blocks array<string>, open array<boolean>"
-    cut = saved(pages.mapInArrow(_cut, kinds), "blocks")
-    # A host all of whose pages have an article needs no order.
-    hosts = cut.filter("not whole").select(F.col("host").alias("of_host")).distinct()
-    cut = cut.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left_semi")
-    ordered = cut.repartitionByRange("host", "path", "url", "page_id").sortWithinPartitions("host", "path", "url", "page_id")
+    kinds = "page_id long, url string, host string, path string, content binary, blocks array<long>, open array<int>"
+    cut = saved(pages.mapInArrow(_cut, kinds), "blocks").filter(F.size("blocks") > 0)
+    one = cut.groupBy(_key()).agg(F.min(F.struct("host", "path", "url", "page_id", "blocks", "open")).alias("page")).select("key", "page.*")
+    ordered = one.repartitionByRange("host", "path", "url", "page_id").sortWithinPartitions("host", "path", "url", "page_id")
     ordered = ordered.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
     ordered = saved(ordered, "ordered")
 
@@ -266,13 +303,18 @@ def extract(pages: DataFrame) -> DataFrame:
     linked = linked.withColumn("previous", F.when(F.col("first").isNotNull(), F.col("ended")).otherwise(F.col("at") - 1))
     linked = linked.select("at", "previous", F.struct("host", "path", "blocks").alias("page"))
 
-    todo = ordered.filter("not whole").select("page_id", "url", "host", "path", "blocks", "open", "at")
+    todo = ordered.select("key", "host", "path", "blocks", "open", "at")
     own = linked.select(F.col("at").alias("own_at"), F.col("previous").alias("own_previous"))
     todo = todo.join(own, F.col("at") == F.col("own_at"))
     before = linked.select(F.col("at").alias("before_at"), F.col("page").alias("before"))
     after = linked.select(F.col("previous").alias("after_of"), F.col("page").alias("after"))
     todo = todo.join(before, F.col("own_previous") == F.col("before_at"), "left").join(after, F.col("at") == F.col("after_of"), "left")
     here = lambda c: F.when(F.col(c)["host"].eqNullSafe(F.col("host")), F.col(c)).alias(c)
-    told = todo.select("page_id", "url", "path", "blocks", "open", here("before"), here("after"))
-    told = told.mapInArrow(_differ, "page_id long, url string, text string")
-    return done.unionByName(told).withColumn("n_chars", F.length("text").cast("long"))
+    told = todo.select("key", "path", "blocks", "open", here("before"), here("after"))
+    told = saved(told.mapInArrow(_differ, "key binary, gone array<int>"), "gone").withColumnRenamed("key", "of_key")
+
+    texts = pages.mapInArrow(_texts, "page_id long, url string, host string, content binary, texts array<string>, places array<int>")
+    texts = texts.withColumn("key", _key()).join(told, F.col("key") == F.col("of_key"), "left")
+    stay = F.filter("texts", lambda t, k: ~F.array_contains("gone", F.get("places", k)))
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("texts")).otherwise(stay), " ")
+    return texts.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -175,6 +175,14 @@ def test_open_pages_lose_what_the_nearest_page_has_too(spark):
     assert page_difference.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_the_nearest_page_decides_about_articles_too(spark):
+    page = "<h2>{0} sub</h2><article><h1>Same</h1><div>Share this</div><p>shared text</p><p><a href=x>Next</a></p><p>story {0}</p></article><div>Home</div>"
+    pages = [("http://h/a/1", page.format(1)), ("http://h/a/2", page.format(2)), ("http://h/b", "<article>Same<div>Same</div>only</article>")]
+    pages += [("http://h/c", "<article>Same<div>Same</div>other</article>")]
+    want = {k: f"{k + 1} sub Same shared text story {k + 1}" for k in (0, 1)} | {2: "Same Same only", 3: "Same Same other"}
+    assert extracted(spark, pages) == want
+
+
 def test_one_host_over_many_partitions(spark):
     pages = [(f"http://h/{k:04}", f"<div>Menu</div><p>story {k}</p>") for k in range(200)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
