@@ -9,13 +9,14 @@ text, all that is no link is text. Every other block stays if the nearest page l
 The alignment knows blocks by 64-bit hashes, and only hashes are ordered: texts never leave their task, unless the pages
 that lose blocks are too many to send to every task.
 
-Nearest is the neighbour in the order of URL paths that shares the longer beginning of the path (the earlier one if
+Pages of a host with equal blocks are folded to one, which stands at the least of their URLs; what it loses, all copies
+lose. Nearest is the neighbour in the order of URL paths that shares the longer beginning of the path (the earlier one if
 both share as much); pages without blocks are nobody's neighbours. The order is made by a range partitioning, so a host
 may hold any share of all pages; neighbours across partitions meet through one row per partition.
 
-Defined cases: a null or empty page has an empty text; a null URL forms a host of its own; repeated rows have the same
-text; unclosed elements end with what holds them, an unclosed comment at the end of the page; an empty table gives an
-empty result; other columns are ignored.
+Defined cases: a null or empty page has an empty text; a null URL forms a host of its own; copies, repeated rows too, have
+the same text, and a host of nothing but copies keeps it whole; unclosed elements end with what holds them, an unclosed
+comment at the end of the page; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -279,8 +280,8 @@ def _differ(batches):
         yield flat.rows(schema, **got)
 
 
-#: Rows that agree in these are one page.
-SAME = ("host", "content", "url", "page_id")
+#: Rows that agree in these are one page: copies are no neighbours of each other.
+SAME = ("host", "content")
 
 
 def _key() -> Column:

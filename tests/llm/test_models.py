@@ -183,6 +183,13 @@ def test_the_nearest_page_decides_about_articles_too(spark):
     assert extracted(spark, pages) == want
 
 
+def test_copies_are_not_each_others_furniture(spark):
+    body = lambda *p: "".join(f"<div>{x}</div>" for x in p)
+    pages = [("http://h/x/1", body("Home", "first"))] * 3 + [("http://h/x/2", body("Home", "first")), ("http://h/x/3", body("Home", "second"))]
+    pages += [("http://copies/a", body("Home", "only")), ("http://copies/b", body("Home", "only"))]
+    assert extracted(spark, pages) == dict.fromkeys(range(4), "first") | {4: "second"} | dict.fromkeys((5, 6), "Home only")
+
+
 def test_one_host_over_many_partitions(spark):
     pages = [(f"http://h/{k:04}", f"<div>Menu</div><p>story {k}</p>") for k in range(200)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
