@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal numbers and dates, in DataFrame functions only.
 
 What looks private is found by one pattern and validated by kind: card numbers by their check digit, addresses of
-machines by their range, telephone and social security numbers by the numbering rules, dates by the calendar. A valid
+machines by their range, social security numbers by the numbering rules, dates by the calendar; telephone numbers by
+their form alone, those within the numbering rules and those outside permuted each among themselves. A valid
 value is written as two numbers (a, b) that exactly cover the values of its kind, and a keyed Feistel network with modular
 addition permutes the pairs. The result is a valid value of the same format; equal values get equal pseudonyms in all
 documents, different values different ones. What has no numbering (mail addresses, keys and passwords) gets a
@@ -129,11 +130,22 @@ def _phone(cipher: Cipher, found: Column) -> Column:
     def moved(d: Column) -> Column:
         last = F.substring(d, -10, 10)
         area, exchange, line = (F.substring(last, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
-        pair = cipher.permute(F.lit("phone"), area - 200, (exchange - 200) * 10000 + line, F.lit(800), F.lit(8_000_000))
-        text = lambda x: F.concat(
-            F.substring(d, F.lit(1), F.length(d) - 10), (x["a"] + 200).cast("string"), _padded(x["b"] + 2_000_000, 7)
-        )
-        return F.when((area >= 200) & (exchange >= 200), _in_shape(found, _one(pair, text)))
+        # Numbers by the numbering rules stay so; the others are permuted among themselves: area code and exchange first,
+        # of 1000 * 1000 pairs those 200 * 1000 with an area code below 200, then 800 * 200 with an exchange below 200.
+        ruled = (area >= 200) & (exchange >= 200)
+        code = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        pair = F.when(
+            ruled, cipher.permute(F.lit("phone"), area - 200, (exchange - 200) * 10000 + line, F.lit(800), F.lit(8_000_000))
+        ).otherwise(cipher.permute(F.lit("phone by form"), code, line, F.lit(360_000), F.lit(10_000)))
+
+        def text(x: Column) -> Column:
+            rest = x["a"] - 200_000
+            low = F.when(rest < 0, x["a"]).otherwise((200 + F.floor(rest / 200)) * 1000 + rest % 200)
+            ten = F.when(ruled, F.concat((x["a"] + 200).cast("string"), _padded(x["b"] + 2_000_000, 7)))
+            ten = ten.otherwise(F.concat(_padded(low, 6), _padded(x["b"], 4)))
+            return F.concat(F.substring(d, F.lit(1), F.length(d) - 10), ten)
+
+        return _in_shape(found, _one(pair, text))
 
     return _one(_digits(found), moved)
 

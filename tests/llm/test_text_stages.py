@@ -87,6 +87,18 @@ def test_what_is_not_valid_or_not_private_stays(spark):
     assert told(spark, *texts) == [(t, 0) for t in texts]
 
 
+def test_telephone_numbers_outside_the_numbering_rules(spark):
+    olds = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (000) 000-0000", "+1 (999) 199-9999", "+1 (200) 000-0000", "+1 (199) 999-9999"]
+    olds += [f"+1 (0{k:02}) 555-77{k:02}" for k in range(60)] + [f"+1 (5{k:02}) 1{k:02}-0000" for k in range(60)]
+    got = told(spark, *olds, "017 555 7713")
+    news = [t for t, _ in got]
+    assert all(n == 1 for _, n in got) and len(set(news)) == len(news)
+    for old, new in zip(olds, news):
+        area, exchange = re.fullmatch(r"\+1 \((\d{3})\) (\d{3})-\d{4}", new).groups()
+        assert new != old and min(area, exchange) < "200"
+    assert re.sub(r"\D", "", news[0])[1:] == re.sub(r"\D", "", news[-1])  # linked across writings
+
+
 def test_neighbours_and_repeats(spark):
     text = "4992974821008503 4322948946463802,31.211.164.130;4992974821008503"
     (new, n), = told(spark, text)
