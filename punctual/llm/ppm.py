@@ -1,8 +1,9 @@
 """Language-model scores by prediction by partial matching.
 
 A text is a sequence of tokens: its words, and one end. The model spells each token byte by byte, with a separator
-after it. A byte is predicted from the up to ``ORDER`` bytes before it in the token (the separators before the token
-stand for its beginning). The trie of contexts and the bytes that followed them is counted over all training texts. A context that has seen T bytes, D
+after it. A byte is predicted from the up to ``ORDER`` bytes before it in the running text: the separator and the end of
+the words before count, and separators stand before the first word. With ``by_word`` every token is spelt on its own
+instead, after separators. The trie of contexts and the bytes that followed them is counted over all training texts. A context that has seen T bytes, D
 different ones, gives a byte seen n times (2n - 1) / 2T and the escape D / 2T; after an escape the next shorter
 context predicts, without the bytes that the longer ones would have predicted. After the empty context every byte left
 is alike.
@@ -29,7 +30,7 @@ from punctual.llm.tables import crc_mod, pieces, released, saved
 
 ORDER = 6
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, RUNNING_BYTES = 16 << 20, 4 << 20  # running text has far more different (context, byte)
 SEPARATOR, END = 0x20, b"\n"
 
 _U = np.uint64
@@ -60,6 +61,22 @@ def _spellings(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.nd
     return key[use], owner[use]
 
 
+def _running(data: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of every text, its tokens parted by one separator and its end last, and where each text begins."""
+    last = np.cumsum(sizes + 1) - 1
+    whole = np.zeros(len(tokens) + len(sizes), np.int64)
+    inner = np.ones(len(whole), bool)
+    inner[last] = False
+    whole[inner] = tokens
+    size = np.diff(offsets)[whole]
+    letters, _ = _gather(data, offsets[whole], offsets[whole + 1])
+    ends = np.cumsum(size + inner)
+    out = np.full(int(ends[-1]) if len(ends) else 0, SEPARATOR, np.uint8)
+    begin = ends - size - inner
+    out[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(len(letters))] = letters
+    return out, np.concatenate([[0], ends[last]]).astype(np.int64)
+
+
 def _block(batch, order: int) -> dict:
     """Different words of one block (the end first), the tokens by word number, and how often training texts have a word."""
     data, offsets = flat.flat(batch.column("text"))
@@ -76,6 +93,7 @@ def _block(batch, order: int) -> dict:
         "tokens": (number + 1).astype(np.int32),
         "sizes": np.bincount(text, minlength=batch.num_rows),
         "counts": np.concatenate([[learn.sum()], count]),
+        "learn": learn,
     }
 
 
@@ -89,14 +107,14 @@ def _order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.lexsort((keys, bucket))
 
 
-def _asks(order: int, buckets: int):
+def _asks(order: int, buckets: int, by_word: bool, block_bytes: int):
     def run(batches):
         fields = [("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]
         fields += [("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_()))]
         fields += [(c, pa.binary()) for c in ("data", "offsets", "tokens", "sizes")]
         schema = pa.schema(fields)
         task = np.random.SeedSequence().entropy & ((1 << 62) - 1)  # only told apart, and written down before use
-        for k, batch in enumerate(flat.blocks(batches, "text", BLOCK_BYTES)):
+        for k, batch in enumerate(flat.blocks(batches, "text", block_bytes)):
             got = _block(batch, order)
             block = int(flat.mix(np.array([task + k], _U)).view(np.int64)[0])
             whole = {c: pa.array([got[c].tobytes()], pa.binary()) for c in ("data", "offsets", "tokens", "sizes")}
@@ -104,9 +122,10 @@ def _asks(order: int, buckets: int):
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id"))
             held = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.compute.invert(batch.column("learn")))
             yield flat.rows(schema, block=[block], kind=[0], bucket=[0], keys=none, counts=none, ids=ids, held_out=held, **whole)
-            spelt, owner = _spellings(got["data"], got["offsets"], order)
+            parts = (got["data"], got["offsets"])
+            spelt, owner = _spellings(*(parts if by_word else _running(*parts, got["tokens"], got["sizes"])), order)
             different, number = np.unique(spelt, return_inverse=True)
-            times = np.bincount(number, got["counts"][owner], len(different)).astype(np.int64)
+            times = np.bincount(number, got["counts" if by_word else "learn"][owner], len(different)).astype(np.int64)
             for kind, keys, counts in ((1, _word_keys(got["data"], got["offsets"]), got["counts"]), (2, different, times)):
                 bucket, rank = _order(keys, buckets)
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[rank][1:] != bucket[rank][:-1]]))
@@ -191,7 +210,7 @@ def _costs(spelt: DataFrame, order: int) -> DataFrame:
     return rest
 
 
-def _scored(order: int, buckets: int):
+def _scored(order: int, buckets: int, by_word: bool):
     """The texts of one block: doc_id, held_out, n_tokens, n_known, sum of log10(c + 1), score."""
 
     def run(key, table):
@@ -207,9 +226,9 @@ def _scored(order: int, buckets: int):
             return out
 
         count = told(1, _word_keys(data, offsets), np.int64)
-        spelt, owner = _spellings(data, offsets, order)
+        spelt, owner = _spellings(*((data, offsets) if by_word else _running(data, offsets, tokens, sizes)), order)
         different, number = np.unique(spelt, return_inverse=True)
-        cost = np.bincount(owner, told(2, different, np.float32).astype(float)[number], len(offsets) - 1)
+        cost = np.bincount(owner, told(2, different, np.float32).astype(float)[number], len(offsets) - 1 if by_word else len(sizes))
         text = np.repeat(np.arange(len(sizes)), sizes)
 
         def by_text(values: np.ndarray) -> np.ndarray:
@@ -222,22 +241,23 @@ def _scored(order: int, buckets: int):
                 "n_tokens": pa.array(sizes + 1),
                 "n_known": pa.array(by_text((count > 0).astype(float)).astype(np.int64)),
                 "logs": pa.array(by_text(np.log10(count + 1))),
-                "score": pa.array(by_text(cost)),
+                "score": pa.array(by_text(cost) if by_word else cost),
             }
         )
 
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int = HELD_OUT, by_word: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word frequencies) and score (this model)."""
     if not 1 <= order <= 7:
         raise ValueError("a context has 1 to 7 bytes")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = pieces(total, BLOCK_BYTES)
+    block_bytes = BLOCK_BYTES if by_word else RUNNING_BYTES
+    buckets = pieces(total, block_bytes)
     named = docs.select("doc_id", (crc_mod(F.col("doc_id"), folds) != held_out).alias("learn"), "text")
     own = "ids array<long>, held_out array<boolean>, data binary, offsets binary, tokens binary, sizes binary"
-    asked = saved(named.mapInArrow(_asks(order, buckets), f"{_PACKED}, {own}"), "asks")
+    asked = saved(named.mapInArrow(_asks(order, buckets, by_word, block_bytes), f"{_PACKED}, {own}"), "asks")
 
     answer = "block long, kind int, bucket long, values binary, known long"
     words = asked.filter("kind = 1").select("block", "kind", "bucket", "keys", "counts")
@@ -253,7 +273,7 @@ def score(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int
     one = asked.filter("kind = 0").select("block", "kind", "bucket", "ids", "held_out", "data", "offsets", "tokens", "sizes")
     answers = words.unionByName(costs).select("block", "kind", "bucket", "values")
     texts = one.unionByName(answers, allowMissingColumns=True).groupBy("block").applyInArrow(
-        _scored(order, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+        _scored(order, buckets, by_word), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
     )
     texts = saved(texts, "scored")
     released(docs.sparkSession)

@@ -52,7 +52,7 @@ def op8_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(table(spark, sf_dir, "documents"))
+    return ppm.score(table(spark, sf_dir, "documents"), by_word=False)
 
 
 def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,41 @@ def test_scores_are_those_of_a_plain_trie(spark, order):
     assert np.allclose([r.score for r in got], [x[5] for _, x in want], rtol=1e-6)  # costs travel as 32-bit numbers
 
 
+def test_contexts_run_across_words(spark):
+    rows, order = documents(seed=6)[:40], 4
+    texts = [b" " * order + b" ".join([w.encode() for w in WORD.findall(lower(t))] + [b"\n"]) + b" " for _, t, *_ in rows]
+    trie = collections.defaultdict(collections.Counter)
+    for r, s in zip(rows, texts):
+        for k in range(order, len(s) if crc(r[0], 7) != 2 else 0):
+            for o in range(order + 1):
+                trie[s[k - o : k]][s[k]] += 1
+
+    def cost(s, k):
+        gone, total = set(), 0.0
+        for o in range(order, -1, -1):
+            left = {x: m for x, m in trie.get(s[k - o : k], {}).items() if x not in gone}
+            if s[k] in left:
+                return total + math.log10((2 * left[s[k]] - 1) / (2 * sum(left.values())))
+            total += math.log10(len(left) / (2 * sum(left.values()))) if left else 0
+            gone |= set(left)
+        return total - math.log10(256 - len(gone))
+
+    got = ppm.score(spark.createDataFrame(rows, DOC_SCHEMA).repartition(3), order, by_word=False).collect()
+    want = {r[0]: sum(cost(s, k) for k in range(order, len(s))) for r, s in zip(rows, texts)}
+    assert len(got) == len(want) and all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-6) for r in got)
+
+
+def test_the_query_learns_the_order_of_words(spark, tmp_path):
+    from punctual.llm.queries import op9_ppm
+
+    ids = [k for k in range(60) if crc(k, 7) != 2][:30] + [k for k in range(60, 160) if crc(k, 7) == 2][:2]
+    texts = ["alpha beta gamma delta"] * 30 + ["alpha beta gamma delta", "delta beta alpha gamma"]
+    frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in op9_ppm(spark, str(tmp_path)).collect()}
+    assert got[ids[30]] > got[ids[31]] + 1
+
+
 def test_probabilities_after_any_context_sum_to_one(spark):
     seen = {(97, 98): 3, (97, 99): 1, (98, 98): 2}
     rows = [(c << 8 | b, seen.get((c, b), 0)) for c in (97, 98, 120) for b in range(256)]
