@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from punctual.llm import decontamination, factorisation, minhash, mixing, page_difference, ppm, pseudonyms, quality_rules, suffixes, token_scan
+from punctual.llm import ball_codes, bpe, decontamination, factorisation, minhash, mixing, page_difference, ppm, pseudonyms, quality_rules, suffixes, token_scan
 from punctual.llm.tables import table
 
 #: Where the vocabularies of public tokenisers lie.
@@ -59,6 +60,18 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = ball_codes.codes(table(spark, sf_dir, "embeddings"))
+    told = ball_codes.with_label_errors(coded.select("vec_id", "label", "code", "error"))
+    return told.select(
+        "vec_id", ball_codes.code_text().alias("code"), "error", "label_error", F.lit(ball_codes.books_digest(books)).alias("codebooks_sha256")
+    )
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixing": op1_cube_mixing,
     "op2_factorisation_machine": op2_factorisation_machine,
@@ -70,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_difference": op8_page_difference,
     "op9_ppm": op9_ppm,
     "op10_difference_cover": op10_difference_cover,
+    "op11_ball_kmeans": op11_ball_kmeans,
+    "op13_prefix_bpe": op13_prefix_bpe,
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -77,6 +92,32 @@ _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RUNS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _nearest(k: int) -> str:
+    """The nearest entry of every part in the codebooks after ``k`` rounds, the lower of equals."""
+    return f"""near{k} AS MATERIALIZED (
+  SELECT vec_id, label, p, x, min(e) AS e, min(d) AS d FROM (
+    SELECT *, min(d) OVER (PARTITION BY vec_id, p) AS least FROM (
+      SELECT a.vec_id, a.label, a.p, a.x, b.e,
+        list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))) AS d
+      FROM part a JOIN book{k} b ON a.p = b.p
+    )
+  ) WHERE d = least GROUP BY vec_id, label, p, x
+)"""
+
+
+def _moved(k: int) -> str:
+    """The codebooks after one more round."""
+    return f"""book{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+    SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS x FROM (
+      SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM near{k}) GROUP BY p, e, i
+    ) GROUP BY p, e
+  ) m ON b.p = m.p AND b.e = m.e
+)"""
+
+
 SQL: dict[str, str] = {
     "op3_prefix_join": rf"""
 WITH item AS (
@@ -151,5 +192,24 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (failures = 0 OR ln(r / (1 - r)) + 3 * failures < 0) AS kept
 FROM judged j JOIN rate ON j.source IS NOT DISTINCT FROM rate.source
+""",
+    "op11_ball_kmeans": f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM (SELECT *, unnest(range(16)) AS p FROM kept)
+), book0 AS MATERIALIZED (
+  SELECT p, e - 1 AS e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS e FROM part) WHERE e <= 64
+), {_nearest(0)}, {_moved(0)}, {_nearest(1)}, {_moved(1)}, {_nearest(2)},
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY vec_id, label
+), total AS (
+  SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded GROUP BY label
+), books AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2
+)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM coded JOIN total ON coded.label IS NOT DISTINCT FROM total.label, books
 """,
 }
