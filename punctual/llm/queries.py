@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import ball_codes, bpe, decontamination, factorisation, minhash, mixing, page_difference, ppm, pseudonyms, quality_rules, suffixes, token_scan
+from punctual.llm import ball_codes, bpe, conversation_trie, decontamination, factorisation, minhash, mixing, page_difference, ppm, pseudonyms, quality_rules, suffixes, token_scan
 from punctual.llm.tables import table
 
 #: Where the vocabularies of public tokenisers lie.
 VOCABULARIES = "/opt/tokenizers"
+#: Bytes of context of the language model: longer ones ask for several times as much and score no better.
+CONTEXT = 4
 
 
 def op1_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def op8_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(table(spark, sf_dir, "documents"), by_word=False)
+    return ppm.score(table(spark, sf_dir, "documents"), order=CONTEXT, by_word=False)
 
 
 def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +70,10 @@ def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("ref")
+
+
 def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json")
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ppm": op9_ppm,
     "op10_difference_cover": op10_difference_cover,
     "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_prefix_bpe": op13_prefix_bpe,
 }
 
@@ -211,5 +218,57 @@ coded AS (
 )
 SELECT vec_id, code, error, label_error, codebooks_sha256
 FROM coded JOIN total ON coded.label IS NOT DISTINCT FROM total.label, books
+""",
+    "op12_prefix_trie": """
+WITH RECURSIVE crc_byte(byte, bit, crc) AS (
+  SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL
+  SELECT byte, bit + 1, CASE WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END FROM crc_byte WHERE bit < 8
+), crc_table AS MATERIALIZED (
+  SELECT byte, crc FROM crc_byte WHERE bit = 8
+), ids AS MATERIALIZED (
+  SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL
+), crc(conv_id, pos, crc) AS (
+  SELECT conv_id, 0, 4294967295 FROM ids
+  UNION ALL
+  SELECT c.conv_id, pos + 1, xor(c.crc // 256, t.crc)
+  FROM crc c JOIN crc_table t ON t.byte = xor(c.crc, CAST(ascii(CAST(c.conv_id AS VARCHAR)[pos + 1]) AS BIGINT)) % 256
+  WHERE pos < length(CAST(c.conv_id AS VARCHAR))
+), head AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(crc, 4294967295) % 6 AS h FROM crc WHERE pos = length(CAST(conv_id AS VARCHAR))
+), turns AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), rebuilt AS (
+  SELECT h.conv_id, 0 AS part, t.pos, t.role, t.text FROM head h JOIN turns t ON t.conv_id = h.base AND t.pos <= h.h
+  UNION ALL
+  SELECT h.conv_id, 1, t.pos, t.role, t.text FROM head h JOIN turns t ON t.conv_id = h.conv_id AND t.pos > h.h
+), whole AS MATERIALIZED (
+  SELECT conv_id, coalesce(path, []) AS path FROM ids LEFT JOIN (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY part, pos) AS path FROM rebuilt GROUP BY conv_id
+  ) USING (conv_id)
+), member AS MATERIALIZED (
+  SELECT conv_id, depth, path[1:depth] AS node, depth = len(path) AS ends FROM (
+    SELECT conv_id, path, CAST(unnest(range(len(path) + 1)) AS BIGINT) AS depth FROM whole
+  )
+), node AS MATERIALIZED (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids
+  FROM member GROUP BY node, depth
+), child AS (
+  SELECT node[1:depth - 1] AS node, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL
+), below AS (
+  SELECT node[1:up] AS node, up AS depth, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(worth) AS BIGINT) AS saved_tokens FROM (
+    SELECT n.node, unnest(range(n.depth + 1)) AS up, CASE WHEN c.n_children IS NULL THEN 1 ELSE 0 END AS leaf,
+      CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * length(n.node[n.depth].text) END AS worth
+    FROM node n LEFT JOIN child c ON n.depth = c.depth AND n.node = c.node
+  ) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, b.n_leaves, b.saved_tokens,
+  sha256(n.ids) AS ends_sha256
+FROM node n JOIN below b ON n.depth = b.depth AND n.node = b.node
+LEFT JOIN child c ON n.depth = c.depth AND n.node = c.node
+LEFT JOIN node p ON p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]
 """,
 }
