@@ -243,7 +243,12 @@ def inference_emits(runs: DataFrame, arrivals: DataFrame) -> DataFrame:
 
     A run has at most one such event per stop and one at its start, so neither side of the join is hot.
     """
-    reached = reached_by_run(arrivals).select("id", "run", "reached")
+    return emits_with_times(runs, reached_by_run(arrivals))
+
+
+def emits_with_times(runs: DataFrame, reached: DataFrame) -> DataFrame:
+    """As ``inference_emits``, from the stops ``reached`` by each run."""
+    reached = reached.select("id", "run", "reached")
     empty = F.transform(F.sequence(F.lit(1), F.col("n_stops")), lambda i: F.lit(None).cast("bigint"))
     known = F.transform("reached", lambda r: F.when(r["seq"] <= F.col("seq"), r["timestamp"]))
     return (

@@ -149,14 +149,15 @@ def fill_sequences(model: list[DataFrame], sequences: DataFrame, layout: Layout)
     The token to fill follows a stop, and only the last delta among its context is itself a prediction. So the
     choices are fetched per place for all last deltas at once (three joins, no loop over places), and the
     left-to-right dependence is folded inside the row. Filling ends at the padding. ``key`` columns of
-    ``sequences`` are kept; ``tokens`` stays and ``answer`` is added.
+    ``sequences`` are kept; ``tokens`` stays and ``answer`` is added. Repeated messages are asked once and each answered.
     """
-    keyed = sequences.withColumn("_key", F.struct("id", "seq"))
+    keyed = sequences.withColumn("_key", F.struct("id", "seq", "tokens"))
     skip = F.lit(layout.skip)
     places = F.filter(
         F.sequence(F.lit(2), F.size("tokens") - 1), lambda j: F.get("tokens", j) == skip
     )
-    asked = keyed.select("_key", "tokens", F.explode(places).alias("place")).select(
+    distinct = keyed.select("_key", "tokens").distinct()
+    asked = distinct.select("_key", "tokens", F.explode(places).alias("place")).select(
         "_key",
         "place",
         F.get("tokens", F.col("place") - 1).alias("prev"),

@@ -113,10 +113,11 @@ def _top_of(mark: Column) -> Column:
     return mark.bitwiseAND(_SLOT - 1) - 1
 
 
-def _carries(local: DataFrame) -> DataFrame:
+def _carries(local: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """State at the start of every (vehicle, block), from one summary row per block.
 
-    The summary uses the same columns as the events themselves, so both sides of the join read one exchange.
+    The summary uses the same columns as the events themselves, so both sides of the join read one exchange. A
+    ``state`` of earlier events counts as a block before the first.
     """
     w = W.partitionBy("id").orderBy("block")
     so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -128,6 +129,18 @@ def _carries(local: DataFrame) -> DataFrame:
         F.max("mark").alias("tail"),
         F.max(F.when(F.col("n_stops") >= MIN_STOPS, F.col("mark"))).alias("judged"),
     )
+    if state is not None:
+        judged = F.col("judged_run") * _SLOT + F.col("judged") + 1
+        summary = summary.unionByName(
+            state.select(
+                "id",
+                F.lit(None).cast("bigint").alias("block"),
+                trip.alias("first_trip"),
+                trip.alias("last_trip"),
+                (F.col("run") * _SLOT + top_reached(F.col("reached")) + 1).alias("tail"),
+                judged.alias("judged"),
+            )
+        )
     boundary = F.coalesce(F.col("first_trip") != F.lag("last_trip").over(w), F.lit(False)).cast("bigint")
     inner = _run_of(F.col("tail"))
     return (
@@ -150,15 +163,18 @@ def _state(mark: Column, base_run: Column, carry_top: Column) -> Column:
     return (base_run + _run_of(mark)) * _SLOT + highest
 
 
-def track_runs(hits: DataFrame, block_rows: int = BLOCK_ROWS, reset_on_trip: bool = False) -> DataFrame:
+def track_runs(
+    hits: DataFrame, block_rows: int = BLOCK_ROWS, reset_on_trip: bool = False, state: DataFrame | None = None
+) -> DataFrame:
     """Every event with its ``run``, the ``highest`` stop index reached in the run so far (0 if none), and
     ``kind``: 'new' if the highest index differs from the one at the vehicle's previous event (of trips with at
     least three stops), else 'resend'; null for shorter trips.
 
-    The previous index crosses runs unless ``reset_on_trip``.
+    The previous index crosses runs unless ``reset_on_trip``. With ``state`` (see ``next_state``) the events go on
+    from those that led to it.
     """
     local = _local(hits, block_rows)
-    rows = local.join(_carries(local), ["id", "block"])
+    rows = local.join(_carries(local, state), ["id", "block"])
     now = _state(F.col("mark"), F.col("base_run"), F.col("carry_top"))
     then = F.coalesce(_state(F.col("before"), F.col("base_run"), F.col("carry_top")), F.col("carry_state"))
     if reset_on_trip:
@@ -254,6 +270,95 @@ def reached_by_run(arrivals: DataFrame) -> DataFrame:
     )
 
 
+# ---- batch by batch -------------------------------------------------------------------------------------------------
+
+#: What is known of a vehicle between two batches: its trip and run, when each stop of the run was first reached, and
+#: the highest stop and run of its last event on a trip that is judged.
+STATE_SCHEMA = (
+    "id string, trip_id string, n_stops int, run bigint, reached array<struct<seq:bigint,timestamp:bigint>>, "
+    "judged bigint, judged_run bigint"
+)
+
+
+def top_reached(reached: Column) -> Column:
+    """Highest index of a list that is not null, -1 for none."""
+    places = F.transform(reached, lambda r, i: F.when(r.isNotNull(), i.cast("bigint")))
+    return F.coalesce(F.array_max(places), F.lit(-1).cast("bigint"))
+
+
+def arrivals_of(tracked: DataFrame) -> DataFrame:
+    """First arrivals per (vehicle, run, stop) among tracked events, as ``first_arrivals`` gives them."""
+    return (
+        tracked.filter(F.col("hit").isNotNull())
+        .groupBy("id", "run", "trip_id", "n_stops", "hit")
+        .agg(F.min("seq").alias("seq"), F.min_by("timestamp", "seq").alias("timestamp"))
+    )
+
+
+def reached_so_far(tracked: DataFrame, state: DataFrame) -> DataFrame:
+    """Per run of this batch what it had ``reached`` in the batches before (``known``) and by now (``reached``).
+
+    One row per run, folded from the arrivals: a stop that was known keeps its first time.
+    """
+    places = F.sequence(F.lit(0), F.col("n_stops") - 1)
+    fresh = F.map_from_entries(
+        F.filter(
+            F.collect_list(F.when(F.col("hit").isNotNull(), F.struct("hit", F.struct("seq", "timestamp").alias("visit")))),
+            lambda x: x.isNotNull(),
+        )
+    )
+    first = (
+        tracked.groupBy("id", "run", "trip_id", "n_stops", "hit")
+        .agg(F.min("seq").alias("seq"), F.min_by("timestamp", "seq").alias("timestamp"))
+        .groupBy("id", "run", "trip_id", "n_stops")
+        .agg(fresh.alias("fresh"))
+    )
+    known = state.select("id", "run", F.col("reached").alias("known"))
+    now = F.transform(places, lambda i: F.coalesce(F.get("known", i), F.try_element_at("fresh", i)))
+    none = F.transform(places, lambda i: F.lit(None).cast("struct<seq:bigint,timestamp:bigint>"))
+    return (
+        first.join(known, ["id", "run"], "left")
+        .withColumn("known", F.coalesce("known", none))
+        .withColumn("reached", now)
+        .drop("fresh")
+    )
+
+
+def new_arrivals(reached: DataFrame) -> DataFrame:
+    """The arrivals that this batch adds, as ``first_arrivals`` gives them."""
+    places = F.sequence(F.lit(0), F.col("n_stops") - 1)
+    fresh = F.filter(
+        F.transform(places, lambda i: F.when(F.get("known", i).isNull(), F.struct(i.alias("hit"), F.get("reached", i).alias("v")))),
+        lambda x: x["v"].isNotNull(),
+    )
+    rows = reached.select("id", "run", "trip_id", "n_stops", F.explode(fresh).alias("x"))
+    return rows.select("id", "run", "trip_id", "n_stops", "x.hit", "x.v.seq", "x.v.timestamp")
+
+
+def next_state(tracked: DataFrame, reached: DataFrame, state: DataFrame) -> DataFrame:
+    """The state of the vehicles of this batch after it: one row each, by pre-combined aggregates."""
+    order = F.struct("seq", "timestamp")
+    judged = F.when(F.col("kind").isNotNull(), order)
+    last = tracked.groupBy("id").agg(
+        F.max_by(F.struct("trip_id", "n_stops", "run"), order).alias("last"),
+        F.max_by(F.struct("highest", "run"), judged).alias("judged_at"),
+    )
+    before = state.select("id", F.col("judged").alias("judged_before"), F.col("judged_run").alias("judged_run_before"))
+    rows = last.select("id", "last.*", "judged_at").join(reached.select("id", "run", "reached"), ["id", "run"])
+    return rows.join(before, "id", "left").select(
+        "id",
+        "trip_id",
+        "n_stops",
+        "run",
+        "reached",
+        F.coalesce(F.col("judged_at.highest").cast("bigint"), "judged_before").alias("judged"),
+        F.coalesce("judged_at.run", "judged_run_before").alias("judged_run"),
+    )
+
+
+# ---- snapshots ------------------------------------------------------------------------------------------------------
+
+
 def times_at(reached: Column, seq: Column) -> Column:
     """Real stop times known when event ``seq`` had been processed."""
     return F.transform(reached, lambda r: F.when(r["seq"] <= seq, r["timestamp"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.schedule import utc_seconds
 from ..functions.vocabulary import token_table
 from ..operators import decode, features, model, punctuality, runs, serving, timetable
+from ..operators.versions import in_force, plain_trip
 from ..session import fresh_folder
 from ..sources import readers, writers
-from ..streaming import jobs
+from ..streaming import engine, jobs, views
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +55,9 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Decoded sequences; a skip token that nothing filled counts as no change."""
-    return decode.decode_delays(_asked(spark, d), fx.stage(spark, d).layout.skip)
+    """Decoded answers of the prediction job: what was asked is filled, the rest told."""
+    s = fx.stage(spark, d)
+    return decode.decode_delays(s.answers, s.layout.skip, filled="answer")
 
 
 # ---- flagship -------------------------------------------------------------------------------------------------------
@@ -306,7 +309,6 @@ def visit_stats(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- training frames and models -------------------------------------------------------------------------------------
 
-FIT_SHARES = {"train": 0.85, "test": 0.15}
 
 
 @query
@@ -388,8 +390,7 @@ def latest_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fit_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    split = features.assign_split(fx.stage(spark, d).features, "trip_id", FIT_SHARES)
-    return split.filter("split = 'train'"), split.filter("split = 'test'")
+    return fx.stage(spark, d).fit_parts()
 
 
 @query
@@ -419,45 +420,47 @@ def fill_predictions(spark: SparkSession, d: str) -> DataFrame:
 # ---- streams --------------------------------------------------------------------------------------------------------
 
 
-def _position_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Driver events as a stream, mapped to positions."""
-    events = spark.readStream.schema(fx.table(spark, d, "events").schema).option(
-        "pathGlobFilter", "events.parquet"
-    )
-    return fx.drive(events.parquet(d), fx.stage(spark, d).metro).drop("event_type")
-
-
 @query
 def stream_stop_arrivals(spark: SparkSession, d: str) -> DataFrame:
-    folder = fresh_folder(spark, "stream")
-    job = jobs.start_arrivals(
-        _position_stream(spark, d), fx.stage(spark, d).trips_nested, f"{folder}/out", f"{folder}/log", True
-    )
-    jobs.run_to_end(job)
-    arrivals = spark.read.parquet(f"{folder}/out")
+    arrivals = spark.read.parquet(f"{fx.stage(spark, d).streamed}/arrivals")
     return arrivals.select("id", "run", "trip_id", F.col("hit").alias("stop_index"), "seq", "timestamp")
 
 
 @query
 def stream_train_sequences(spark: SparkSession, d: str) -> DataFrame:
     s, folder = fx.stage(spark, d), fresh_folder(spark, "stream")
-    job = jobs.start_training(
-        _position_stream(spark, d), s.trips_nested, s.trip_codes, s.layout, f"{folder}/out", f"{folder}/log",
-        available_now=True,
-    )
+    table = engine.FixedTimetable(s.trips_nested, s.trip_codes)
+    job = engine.start_training_rows(spark, f"{s.streamed}/gates", table, s.layout, f"{folder}/out", f"{folder}/log", True)
     jobs.run_to_end(job)
-    return spark.read.parquet(f"{folder}/out/train").select("trip_id", "id", "seq", text("tokens").alias("tokens"))
+    return spark.read.parquet(f"{folder}/out").select("trip_id", "id", "seq", text("tokens").alias("tokens"))
 
 
 @query
 def stream_infer_messages(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{fx.stage(spark, d).streamed}/messages").select("id", "seq", "message")
+
+
+def _versioned(arrivals: DataFrame) -> DataFrame:
+    plain, version = plain_trip(F.col("trip_id")), F.regexp_extract("trip_id", "@(-?[0-9]+)$", 1).cast("bigint")
+    return arrivals.select("id", "run", plain.alias("trip_id"), version.alias("valid_from"), F.col("hit").alias("stop_index"), "n_stops", "seq", "timestamp")
+
+
+@query
+def versioned_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """First arrivals by the timetable in force at each event."""
+    s = fx.stage(spark, d)
+    versions, trips, _ = s.timetables.get()
+    return _versioned(runs.first_arrivals(runs.detect_hits(in_force(s.positions, versions), trips)))
+
+
+@query
+def stream_versioned_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the one-pass engine, which reads the published timetables anew in every batch."""
     s, folder = fx.stage(spark, d), fresh_folder(spark, "stream")
-    job = jobs.start_messages(
-        _position_stream(spark, d), s.trips_nested, s.trip_codes, s.layout, f"{folder}/out", f"{folder}/log",
-        available_now=True,
-    )
-    jobs.run_to_end(job)
-    return spark.read.parquet(f"{folder}/out/messages").select("id", "seq", "message")
+    job = engine.Engine(s.timetables, f"{folder}/out")
+    for landed in s.rounds(s.positions, f"landed-{uuid.uuid4().hex}"):
+        jobs.run_to_end(job.start(spark.readStream.schema(s.positions.schema).parquet(landed), f"{folder}/log", True))
+    return _versioned(spark.read.parquet(f"{folder}/out/arrivals"))
 
 
 @query
@@ -512,3 +515,98 @@ def archive_replay(spark: SparkSession, d: str) -> DataFrame:
     return readers.replay_archive(spark, folder, start=0).select(
         "id", *degrees("lng", "lat"), "timestamp", "trip_id"
     )
+
+
+@query
+def stream_archive_roll(spark: SparkSession, d: str) -> DataFrame:
+    """The rolling archive, closed file by file over several batches and read back."""
+    rows = spark.read.schema(readers.schemas.ARCHIVE).option("header", True).csv(fx.stage(spark, d).rolled)
+    return rows.drop("group", "file").withColumns({"lat": F.round("lat", 6), "lng": F.round("lng", 6)})
+
+
+@query
+def replay_order(spark: SparkSession, d: str) -> DataFrame:
+    """The rolling archive replayed from its second file on, numbered from 1 without gaps."""
+    replayed = readers.replay_in_order(spark, fx.stage(spark, d).rolled, start=1)
+    return replayed.select("seq", "id", *degrees("lat", "lng"), "trip_id", "timestamp")
+
+
+@query
+def replay_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Arrivals and delays from the replayed archive: those of the live events."""
+    s = fx.stage(spark, d)
+    replayed = readers.replay_in_order(spark, s.rolled)
+    arrivals = runs.first_arrivals(runs.detect_hits(replayed, s.trips_nested))
+    return arrivals.select("id", "run", "trip_id", F.col("hit").alias("stop_index"), "timestamp")
+
+
+@query
+def stream_feature_table(spark: SparkSession, d: str) -> DataFrame:
+    """Training sequences stored as wide rows, in groups of ten or more that wait over batches."""
+    s, folder = fx.stage(spark, d), fresh_folder(spark, "stream")
+    groups, last = jobs.feature_groups(spark, folder), -1
+    numbered = s.features.withColumn("part", F.pmod(F.xxhash64("trip_id"), F.lit(5)))
+    for landed in s.rounds(numbered, f"landed-{uuid.uuid4().hex}", order="part", parts=5):
+        stream = spark.readStream.schema(numbered.schema).parquet(landed)
+        jobs.run_to_end(jobs.start_feature_groups(stream, groups, f"{folder}/log", True))
+        last += 1
+    groups.close_idle(last, now=groups.clock() + 2 * groups.idle_s)
+    return spark.read.option("mergeSchema", True).parquet(f"{folder}/features").drop("uuid", "group")
+
+
+@query
+def feed_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Feed messages of several entities, some broken and some incomplete, in one read to three sinks and counts."""
+    folder = fresh_folder(spark, "feeds")
+    seq = F.col("seq")
+    position = F.when(seq % 11 != 0, F.struct(F.col("lat").alias("latitude"), F.col("lng").alias("longitude")))
+    trip = F.when(F.col("trip_id").isNotNull(), F.struct("trip_id"))
+    vehicle = F.struct(
+        trip.alias("trip"), F.when(seq % 13 != 0, F.struct("id")).alias("vehicle"), position.alias("position"),
+        F.when(seq % 17 != 0, F.col("timestamp")).alias("timestamp"),
+    )
+    of_message = F.floor(seq / 5).alias("message")
+    messages = fx.stage(spark, d).mixed.groupBy(of_message).agg(F.collect_list(F.struct(vehicle.alias("vehicle"))).alias("entity"))
+    sent = F.to_json(F.struct("entity"))
+    sent = F.when(F.col("message") % 9 == 0, F.substring(sent, 1, 20)).otherwise(sent)
+    messages.select(sent.alias("value"), F.pmod("message", F.lit(4)).alias("agency")).write.partitionBy("agency").text(f"{folder}/in")
+    feeds = readers.stream_feeds(spark, f"{folder}/in")
+    jobs.run_to_end(jobs.start_feed_sinks(feeds, folder, f"{folder}/log", True))
+    stored = spark.read.parquet(f"{folder}/positions")
+    none = F.lit(None)
+    good = stored.select(F.lit("position").alias("kind"), F.lit(1).cast("bigint").alias("n"), "id", *degrees("lat", "lng"), "trip_id", "timestamp")
+    counts = spark.read.parquet(f"{folder}/counts").agg(*[F.sum(c).alias(c) for c in ("messages", "broken", "entities", "incomplete", "positions")])
+    stacked = counts.select(F.explode(F.create_map(*[x for c in counts.columns for x in (F.lit(c), F.col(c))])).alias("kind", "n"))
+    kept = spark.read.parquet(f"{folder}/broken").agg(F.lit("kept broken").alias("kind"), F.count("payload").alias("n"))
+    kept = kept.unionByName(spark.read.parquet(f"{folder}/incomplete").agg(F.lit("kept incomplete").alias("kind"), F.count("payload").alias("n")))
+    empty = [none.cast(t).alias(c) for c, t in (("id", "string"), ("lat", "double"), ("lng", "double"), ("trip_id", "string"), ("timestamp", "bigint"))]
+    return good.unionByName(stacked.unionByName(kept).select("kind", "n", *empty))
+
+
+@query
+def best_model(spark: SparkSession, d: str) -> DataFrame:
+    """Published next-token models with their held-out loss, and which one the prediction job takes."""
+    s = fx.stage(spark, d)
+    lines = s.models.registry.pointers().select("version", "path", F.round(F.col("metrics")["loss"], 6).alias("loss"))
+    return lines.select("version", "loss", (F.col("path") == s.models.registry.best("loss")).alias("best"))
+
+
+@query
+def stream_prediction_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Fresh and repeated predictions on one topic as JSON, over several batches, by the best published model."""
+    s, folder = fx.stage(spark, d), fresh_folder(spark, "stream")
+    for landed in s.rounds(s.messages, f"landed-{uuid.uuid4().hex}"):
+        stream = spark.readStream.schema(s.messages.schema).parquet(landed)
+        jobs.run_to_end(views.start_live_predictions(stream, s.models.get, s.layout, folder, f"{folder}/log", True))
+    return spark.read.parquet(f"{folder}/topic").select("id", "seq", "kind", "value")
+
+
+@query
+def stream_visit_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Site visits in sliding hours, counted over several batches; the batches come in the order of time, so none is late."""
+    s, folder = fx.stage(spark, d), fresh_folder(spark, "stream")
+    visits = fx.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    for landed in s.rounds(visits, f"landed-{uuid.uuid4().hex}", order="us"):
+        stream = spark.readStream.schema(visits.schema).parquet(landed)
+        jobs.run_to_end(views.start_visit_windows(stream, f"{folder}/hours", f"{folder}/log", available_now=True))
+    return views.visits_now(spark, f"{folder}/hours")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,14 +11,19 @@ from pyspark.sql import functions as F
 
 from ..functions.schedule import utc_seconds
 from ..functions.vocabulary import Layout
-from ..operators.features import encode_trips, inference_messages, inference_sequences, training_sequences
+from ..operators.decode import parse_messages
+from ..operators.features import assign_split, encode_trips, inference_messages, inference_sequences, training_sequences
+from ..operators.model import count_tokens, fill_sequences
 from ..operators.runs import METRO, detect_hits, first_arrivals, track_runs
 from ..operators.timetable import nest_trips
 from ..session import fresh_folder
 from ..sources.writers import write_trip_table
+from ..streaming import engine, jobs, views
 
 RUN_SECONDS = 864_000  # ten days: one run per vehicle and period
 INDEX_BLOCK = 1 << 20
+FIT_SHARES = {"train": 0.85, "test": 0.15}
+ROLL_ROWS = 1_000  # rows of an archive file in the queries, so that small inputs roll too
 
 ROUTE_TYPES = {"BUILDING": 401, "HOUSEHOLD": 401, "AUTOMOBILE": 700, "MACHINERY": 100, "FURNITURE": 900}
 
@@ -233,6 +239,55 @@ class Stage:
     def mixed(self) -> DataFrame:
         return mix(self._driven, table(self.spark, self.d, "orders").count()).drop("event_type")
 
+    def rounds(self, rows: DataFrame, name: str, order: str = "seq", parts: int = 3) -> Iterator[str]:
+        """Lands ``rows`` part by part, by equal ranges of ``order``; after each the folder, for a job to take it in.
+
+        A part is one append of as many files as Spark writes; a stream that is run to its end after each part has a
+        batch a part.
+        """
+        low, high = rows.agg(F.min(order), F.max(order)).first()
+        step = (high - low) // parts + 1
+        for k in range(parts):
+            first = low + k * step
+            part = rows.filter((F.col(order) >= first) & (F.col(order) < first + step))
+            part.write.mode("append").parquet(f"{self.root}/{name}")
+            yield f"{self.root}/{name}"
+
+    @cached_property
+    def streamed(self) -> str:
+        """What the one-pass engine makes of the positions, over several batches and restarts."""
+        job = engine.Engine(engine.FixedTimetable(self.trips_nested, self.trip_codes), f"{self.root}/engine", ("arrivals", "messages", "gates"), self.layout)
+        for landed in self.rounds(self.positions, "landed"):
+            stream = self.spark.readStream.schema(self.positions.schema).parquet(landed)
+            jobs.run_to_end(job.start(stream, f"{self.root}/engine-log", True))
+        return job.folder
+
+    @cached_property
+    def timetables(self) -> engine.VersionedTimetable:
+        """Two published timetables: from the middle of the traffic on, every third trip lacks its last stop and every
+        seventh does not run."""
+        table = engine.VersionedTimetable(self.spark, f"{self.root}/timetables")
+        trip = F.col("trip_id").cast("bigint")
+        shorter = F.when((trip % 3 == 0) & (F.size("stops") > 1), F.slice("stops", F.lit(1), F.size("stops") - 1))
+        second = self.trips_nested.filter(trip % 7 != 0).withColumn("stops", F.coalesce(shorter, "stops"))
+        table.publish(self.trips_nested, 0)
+        table.publish(second, self.positions.agg(F.expr("(min(timestamp) + max(timestamp)) div 2")).first()[0])
+        return table
+
+    @cached_property
+    def rolled(self) -> str:
+        """The archive that rolls by rows, made over several batches and closed when idle."""
+        folder = f"{self.root}/rolling"
+        archive = jobs.rolling_archive(self.spark, folder, ROLL_ROWS)
+        trips, last = jobs.DailyTable(lambda: self.trips_nested), -1
+        for landed in self.rounds(self.mixed, "landed-mixed"):
+            stream = self.spark.readStream.schema(self.mixed.schema).parquet(landed)
+            job = jobs.start_rolling_archive(stream, trips, archive, f"{folder}/log", True)
+            jobs.run_to_end(job)
+            last += 1
+        archive.close_idle(last, now=archive.clock() + 2 * archive.idle_s)
+        return f"{folder}/closed"
+
     @cached_property
     def trip_codes(self) -> DataFrame:
         codes = encode_trips(self.trips_nested, self.route_words, self.stop_words, self.layout)
@@ -255,6 +310,26 @@ class Stage:
         return self._kept(inference_messages(tracked, asked), "messages")
 
 
+    def fit_parts(self) -> tuple[DataFrame, DataFrame]:
+        split = assign_split(self.features, "trip_id", FIT_SHARES)
+        return split.filter("split = 'train'"), split.filter("split = 'test'")
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """The sequences of the message table with the predicted tokens filled in: what the prediction job publishes."""
+        asked = parse_messages(self.messages).filter("tokens is not null").select("id", "seq", "tokens")
+        return self._kept(fill_sequences(count_tokens(self.fit_parts()[0]), asked, self.layout), "answers")
+
+    @cached_property
+    def models(self) -> views.BestModel:
+        """Two published next-token models, by token frequencies alone and by contexts."""
+        train, test = self.fit_parts()
+        models = views.BestModel(self.spark, f"{self.root}/models")
+        for level in (0, 3):
+            views.publish_counts(models.registry, views.levels_up_to(train, level), train, test, self.layout)
+        return models
+
+
 _stages: dict[tuple[str, str], Stage] = {}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .fixtures import ROLL_ROWS
+
 _PARTS: dict[str, tuple[str, str]] = {}
 
 
@@ -263,6 +265,61 @@ SELECT * FROM (
   SELECT * FROM walk WHERE p >= 4 + 2 * n
 )
 """)
+# What was asked is decoded from the filled sequence, the rest as it is.
+_part("predicted", "filling infer_list layout", """
+SELECT id, seq, first_predicted, list(CAST(total AS INTEGER) ORDER BY p) AS delay FROM (
+  SELECT id, seq, p, CASE WHEN f.asked THEN (list_position(i.tk, skip) - 1 - 3) // 2 - 1 ELSE 100 END AS first_predicted,
+    sum(CASE WHEN x > 30 THEN 0 ELSE x - 15 END) OVER (PARTITION BY id, seq ORDER BY p) AS total
+  FROM (SELECT id, seq, f.asked, u.p, CASE WHEN u.p < len(f.tk) THEN f.tk[u.p + 1] ELSE 33 END AS x
+    FROM filling f, LATERAL (SELECT unnest(range(5, CASE WHEN f.asked THEN len(f.tk) ELSE 75 END, 2)) AS p) u) f
+  JOIN infer_list i USING (id, seq), layout
+) GROUP BY 1, 2, 3
+""")
+
+# ---- timetables that change, archives that roll ---------------------------------------------------------------------
+
+_part("turn", "driven", "SELECT (min(ts) + max(ts)) // 2 AS at FROM driven")
+_part("versions", "trips turn", """
+SELECT trip, route_type, 0 AS valid_from, CASE WHEN trip % 7 = 0 OR (trip % 3 = 0 AND n > 1) THEN at END AS valid_to, n
+FROM trips, turn WHERE n IS NOT NULL
+UNION ALL
+SELECT trip, route_type, at, NULL, n - 1 FROM trips, turn WHERE trip % 7 <> 0 AND trip % 3 = 0 AND n > 1
+""")
+_part("hits_v", "driven versions st", """
+SELECT id, seq, ts, trip, valid_from, n, CASE WHEN dist < 250 THEN i END AS hit FROM (
+  SELECT *, row_number() OVER (PARTITION BY seq ORDER BY dist, i) AS rn FROM (
+    SELECT e.id, e.seq, e.ts, e.trip, v.valid_from, v.n, s.q - 1 AS i, 2 * 6378137.0 * atan2(sqrt(a), sqrt(1 - a)) AS dist
+    FROM driven e JOIN versions v ON v.trip = e.trip AND v.route_type = 401 AND v.valid_from <= e.ts
+      AND (v.valid_to IS NULL OR e.ts < v.valid_to)
+    JOIN st s ON s.trip = e.trip AND s.q <= v.n,
+    LATERAL (SELECT pow(sin((radians(s.lat) - radians(e.lat)) / 2), 2) + cos(radians(s.lat)) * cos(radians(e.lat))
+      * pow(sin((radians(s.lon) - radians(e.lng)) / 2), 2) AS a)
+  )
+) WHERE rn = 1
+""")
+_part("numbered_v", "hits_v", """
+SELECT *, CAST(sum(CASE WHEN trip <> prev OR valid_from <> since THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY seq) AS BIGINT)
+  AS run
+FROM (SELECT *, lag(trip) OVER (PARTITION BY id ORDER BY seq) AS prev,
+  lag(valid_from) OVER (PARTITION BY id ORDER BY seq) AS since FROM hits_v)
+""")
+_part("archived", "mixed", f"""
+SELECT *, row_number() OVER (ORDER BY seq) - 1 AS rank, seq < low + step AS in1, seq < low + 2 * step AS in2
+FROM (SELECT *, min(seq) OVER () AS low, (max(seq) OVER () - min(seq) OVER ()) // 3 + 1 AS step FROM mixed)
+WHERE trip IS NOT NULL
+""")
+# The first group closes with the first third of the events that makes it large enough; its first file ends at the limit
+# unless the group is shorter than two files.
+_part("first_file", "archived", f"""
+SELECT CASE WHEN held >= 2 * {ROLL_ROWS} THEN {ROLL_ROWS} ELSE held END AS n FROM (
+  SELECT CASE WHEN n1 >= {ROLL_ROWS} THEN n1 WHEN n2 >= {ROLL_ROWS} THEN n2 ELSE n3 END AS held
+  FROM (SELECT count(*) FILTER (in1) AS n1, count(*) FILTER (in2) AS n2, count(*) AS n3 FROM archived)
+)
+""")
+# Feed messages of the events of five ingest numbers; every ninth is cut off.
+_part("feed", "mixed", """
+SELECT *, (seq // 5) % 9 = 0 AS broken, seq % 11 = 0 OR seq % 13 = 0 OR seq % 17 = 0 AS incomplete FROM mixed
+""")
 
 
 def sql() -> dict[str, str]:
@@ -363,23 +420,23 @@ UNION ALL SELECT day0 + i, day, 'weekday' FROM layout, (VALUES (0, 'Monday'), (1
   (3, 'Thursday'), (4, 'Friday'), (5, 'Saturday'), (6, 'Sunday')) v(i, day)
 UNION ALL SELECT hour0 + i, 'h' || i, 'hour' FROM layout, (SELECT unnest(range(0, 24)) AS i)
 """),
-        "decode_delays": _with("decoded", """
-SELECT id, seq, first_predicted AS first_predicted_sequence, array_to_string(delay, ',') AS delay FROM decoded
+        "decode_delays": _with("predicted", """
+SELECT id, seq, first_predicted AS first_predicted_sequence, array_to_string(delay, ',') AS delay FROM predicted
 """),
-        "resend_predictions": _with("decoded runs_p", """
+        "resend_predictions": _with("predicted runs_p", """
 SELECT id, seq, first_predicted_sequence, array_to_string(d, ',') AS delay FROM (
   SELECT id, seq, kind, last_value(delay IGNORE NULLS) OVER w AS d,
     last_value(first_predicted IGNORE NULLS) OVER w AS first_predicted_sequence
-  FROM runs_p LEFT JOIN decoded USING (id, seq)
+  FROM runs_p LEFT JOIN predicted USING (id, seq)
   WINDOW w AS (PARTITION BY id ORDER BY seq ROWS UNBOUNDED PRECEDING)
 ) WHERE kind = 'resend' AND d IS NOT NULL
 """),
-        "timetable_view": _with("state decoded st", """
+        "timetable_view": _with("state predicted st", """
 SELECT v.id, CAST(v.trip AS VARCHAR) AS trip_id, s.q AS stop_sequence, s.stop_name, s.arrival_time,
   d.delay[s.q] AS delay, s.q >= coalesce(nullif(d.first_predicted, 0), 1000) AS predicted
 FROM state v JOIN st s ON s.trip = v.trip
 LEFT JOIN (SELECT id, arg_max(delay, seq) AS delay, arg_max(first_predicted, seq) AS first_predicted, max(seq) AS made
-  FROM decoded GROUP BY 1) d ON d.id = v.id AND d.made >= v.entered
+  FROM predicted GROUP BY 1) d ON d.id = v.id AND d.made >= v.entered
 WHERE v.entered IS NOT NULL
 """),
         "latest_vehicle_state": _with("state trips", """
@@ -486,26 +543,17 @@ SELECT count(*) AS targets, round(avg(-ln(p3)), 6) AS loss, round(avg(-ln(p0)),
   ) g LEFT JOIN count3 c3 USING (route, hour, before, prev, next) LEFT JOIN seen3 s3 USING (route, hour, before, prev)
 )
 """)
-    out["fill_predictions"] = _with("filling infer_list layout", """
-SELECT id, seq, first_predicted_sequence, string_agg(CAST(total AS INTEGER), ',' ORDER BY p) AS delay FROM (
-  SELECT id, seq, p, CASE WHEN f.asked THEN (list_position(i.tk, skip) - 1 - 3) // 2 - 1 ELSE 100 END
-    AS first_predicted_sequence,
-    sum(CASE WHEN x > 30 THEN 0 ELSE x - 15 END) OVER (PARTITION BY id, seq ORDER BY p) AS total
-  FROM (SELECT id, seq, f.asked, u.p, CASE WHEN u.p < len(f.tk) THEN f.tk[u.p + 1] ELSE 33 END AS x
-    FROM filling f, LATERAL (SELECT unnest(range(5, CASE WHEN f.asked THEN len(f.tk) ELSE 75 END, 2)) AS p) u) f
-  JOIN infer_list i USING (id, seq), layout
-) GROUP BY 1, 2, 3
-""")
+    out["fill_predictions"] = out["decode_delays"]
     out["stream_stop_arrivals"] = _with("arr_p", """
 SELECT id, run, CAST(trip AS VARCHAR) AS trip_id, hit AS stop_index, seq, ts AS timestamp FROM arr_p
 """)
-    out["prediction_messages"] = _with("decoded", """
+    out["prediction_messages"] = _with("predicted", """
 SELECT '{"id":"' || id || '","delay":[' || array_to_string(delay, ',') || '],"first_predicted_sequence":' ||
-  first_predicted || '}' AS value FROM decoded
+  first_predicted || '}' AS value FROM predicted
 """)
-    out["latest_predictions"] = _with("decoded", """
+    out["latest_predictions"] = _with("predicted", """
 SELECT id, max(seq) AS seq, arg_max(first_predicted, seq) AS first_predicted_sequence,
-  array_to_string(arg_max(delay, seq), ',') AS delay FROM decoded GROUP BY 1
+  array_to_string(arg_max(delay, seq), ',') AS delay FROM predicted GROUP BY 1
 """)
     out["stream_predictions"] = out["fill_predictions"]
     out["stream_feed_positions"] = _with("mixed", """
@@ -522,4 +570,50 @@ FROM mixed LEFT JOIN trips USING (trip) WHERE trip IS NOT NULL
 SELECT id, round(lng, 6) AS lng, round(lat, 6) AS lat, ts AS timestamp, CAST(trip AS VARCHAR) AS trip_id
 FROM mixed WHERE trip IS NOT NULL
 """)
+    out["versioned_arrivals"] = out["stream_versioned_arrivals"] = _with("numbered_v", """
+SELECT id, run, CAST(trip AS VARCHAR) AS trip_id, valid_from, hit AS stop_index, n AS n_stops, min(seq) AS seq,
+  arg_min(ts, seq) AS timestamp
+FROM numbered_v WHERE hit IS NOT NULL GROUP BY id, run, trip, valid_from, hit, n
+""")
+    out["stream_archive_roll"] = out["archive_roll"]
+    out["replay_order"] = _with("archived first_file", """
+SELECT rank - n + 1 AS seq, id, round(lat, 6) AS lat, round(lng, 6) AS lng, CAST(trip AS VARCHAR) AS trip_id, ts AS timestamp
+FROM archived, first_file WHERE rank >= n
+""")
+    out["replay_arrivals"] = _with("arr_m", """
+SELECT id, run, CAST(trip AS VARCHAR) AS trip_id, hit AS stop_index, ts AS timestamp FROM arr_m
+""")
+    out["stream_feature_table"] = out["wide_features"]
+    out["feed_quarantine"] = _with("feed", """
+SELECT 'position' AS kind, 1 AS n, id, round(lat, 6) AS lat, round(lng, 6) AS lng, CAST(trip AS VARCHAR) AS trip_id, ts AS timestamp
+FROM feed WHERE NOT broken AND NOT incomplete
+UNION ALL SELECT kind, n, NULL, NULL, NULL, NULL, NULL FROM (
+  SELECT 'messages' AS kind, count(DISTINCT seq // 5) AS n FROM feed
+  UNION ALL SELECT 'broken', count(DISTINCT seq // 5) FROM feed WHERE broken
+  UNION ALL SELECT 'kept broken', count(DISTINCT seq // 5) FROM feed WHERE broken
+  UNION ALL SELECT 'entities', count(*) FROM feed WHERE NOT broken
+  UNION ALL SELECT 'incomplete', count(*) FROM feed WHERE NOT broken AND incomplete
+  UNION ALL SELECT 'kept incomplete', count(*) FROM feed WHERE NOT broken AND incomplete
+  UNION ALL SELECT 'positions', count(*) FROM feed WHERE NOT broken AND NOT incomplete
+)
+""")
+    answer = """'{"id":"' || id || '","delay":[' || array_to_string(delay, ',') || '],"first_predicted_sequence":' || first_predicted || '}'"""
+    out["stream_prediction_messages"] = _with("predicted runs_p", f"""
+SELECT id, seq, 'fresh' AS kind, {answer} AS value FROM predicted
+UNION ALL
+SELECT id, seq, 'repeated', {answer} FROM (
+  SELECT id, seq, kind, last_value(p.delay IGNORE NULLS) OVER w AS delay, last_value(p.first_predicted IGNORE NULLS) OVER w AS first_predicted
+  FROM runs_p LEFT JOIN predicted p USING (id, seq) WINDOW w AS (PARTITION BY id ORDER BY seq ROWS UNBOUNDED PRECEDING)
+) WHERE kind = 'resend' AND delay IS NOT NULL
+""")
+    out["best_model"] = f"""
+WITH entropy AS ({out["next_token_loss"]})
+SELECT 1 AS version, unigram_loss AS loss, unigram_loss < loss AS best FROM entropy
+UNION ALL SELECT 2, loss, loss <= unigram_loss FROM entropy
+"""
+    out["stream_visit_stats"] = """
+SELECT start, count(*) AS visits FROM (
+  SELECT unnest([b, b - 900, b - 1800, b - 2700]) AS start FROM (SELECT epoch_us(ts) // 900000000 * 900 AS b FROM events)
+) GROUP BY 1
+"""
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +85,17 @@ def quarantined(feeds: DataFrame) -> DataFrame:
     )
 
 
+def incomplete_entities(feeds: DataFrame) -> DataFrame:
+    """Entities of decoded messages that lack a vehicle id, a position or a timestamp, as JSON text."""
+    if CORRUPT in feeds.columns:
+        feeds = feeds.filter(F.col(CORRUPT).isNull())
+    kept = [c for c in ("agency",) if c in feeds.columns]
+    v = "e.vehicle"
+    lacks = F.col(f"{v}.vehicle.id").isNull() | F.col(f"{v}.position").isNull() | F.col(f"{v}.timestamp").isNull()
+    entities = feeds.select(*kept, F.explode("entity").alias("e"))
+    return entities.filter(lacks).select(F.to_json("e").alias("payload"), *kept)
+
+
 def flatten_feed(feeds: DataFrame) -> DataFrame:
     """Position events of the entities that have a vehicle id, a position and a timestamp.
 
@@ -147,45 +158,82 @@ def union_feeds(*feeds: DataFrame) -> DataFrame:
 
 
 FILE_STRIDE = 1 << 32  # more rows than any one archive file holds
+FILE_RANGES, FILES_IN_GROUP = 64, 4096
 
 
 def archive_files(spark: SparkSession, folder: str, start: int = 0) -> DataFrame:
-    """Archive files ``(path, uri, file_ix)`` in name order from a start index; contents are not read."""
-    listing = (
+    """Archive files ``(path, uri, file_ix)`` in name order from a start index; contents are not read.
+
+    Names are ranked inside ranges of names; only one row per range meets in a window.
+    """
+    named = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.csv.gz")
         .option("recursiveFileLookup", True)
         .load(folder)
         .select("path", F.col("_metadata.file_path").alias("uri"))
-        .orderBy("path")
+        .repartitionByRange(FILE_RANGES, "uri")
+        .withColumn("_range", F.spark_partition_id())
     )
-    named = [(r.path, r.uri, i) for i, r in enumerate(listing.toLocalIterator()) if i >= start]
-    return spark.createDataFrame(named, "path string, uri string, file_ix bigint")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = named.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy("uri")) - 1
+    ranked = named.withColumn("_inside", inside).join(offsets, "_range")
+    return ranked.select("path", "uri", (F.col("_offset") + F.col("_inside")).alias("file_ix")).filter(F.col("file_ix") >= start)
 
 
-def replay_archive(spark: SparkSession, folder: str, start: int = 0) -> DataFrame:
-    """Archived events of the files from ``start`` on, in name order; a bad row fails the read.
+def _archive_rows(spark: SparkSession, folder: str, start: int) -> tuple[DataFrame, DataFrame]:
+    """The files from ``start`` on, and their rows with the file's ``uri`` and the place ``row`` in it, from 1.
 
-    ``seq`` follows file order and row order inside a file. A gzip file is never split, so the rows of a file
-    stay together and in order; they are numbered per file, which the archive sink keeps small.
+    A gzip file is never split, so the rows of a file stay together and in order; they are numbered per file, which the
+    archive sinks keep small. Of the driver's listing only the name of the first file is fetched; the scan leaves out
+    the files before it.
     """
     files = archive_files(spark, folder, start)
+    first = files.agg(F.min("uri")).first()[0]
     rows = (
         spark.read.schema(schemas.ARCHIVE)
         .option("header", True)
         .option("mode", "FAILFAST")
-        .csv([r.path for r in files.toLocalIterator()])
-        .select("id", "lat", "lng", "trip_id", "timestamp", F.col("_metadata.file_path").alias("uri"))
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv.gz")
+        .csv(folder)
+        .select("*", F.col("_metadata.file_path").alias("uri"))
+        .filter(F.col("_metadata.file_path") >= F.lit(first))
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    in_file = F.row_number().over(W.partitionBy("uri").orderBy("_at"))
-    return (
-        rows.withColumn("_row", in_file)
-        .join(files.select("uri", "file_ix"), "uri")
-        .select(
-            (F.col("file_ix") * FILE_STRIDE + F.col("_row")).alias("seq"), "id", "lat", "lng", "trip_id", "timestamp"
-        )
-    )
+    return files, rows.withColumn("row", F.row_number().over(W.partitionBy("uri").orderBy("_at"))).drop("_at")
+
+
+def replay_archive(spark: SparkSession, folder: str, start: int = 0) -> DataFrame:
+    """Archived events of the files from ``start`` on, in name order; a bad row fails the read.
+
+    ``seq`` follows file order and row order inside a file.
+    """
+    files, rows = _archive_rows(spark, folder, start)
+    seq = F.col("file_ix") * FILE_STRIDE + F.col("row")
+    return rows.join(files.select("uri", "file_ix"), "uri").select(seq.alias("seq"), "id", "lat", "lng", "trip_id", "timestamp")
+
+
+def replay_in_order(spark: SparkSession, folder: str, start: int = 0) -> DataFrame:
+    """As ``replay_archive``, with ``seq`` counting the replayed events from 1 without gaps.
+
+    Files take the rows before them from sums over groups of files, then over the files of a group.
+    """
+    files, rows = _archive_rows(spark, folder, start)
+    sizes = rows.groupBy("uri").agg(F.count(F.lit(1)).alias("size")).join(files.select("uri", "file_ix"), "uri")
+    sizes = sizes.withColumn("group", F.floor(F.col("file_ix") / FILES_IN_GROUP))
+    groups = sizes.groupBy("group").agg(F.sum("size").alias("held"))
+
+    def earlier(column: str, window) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    groups = groups.select("group", earlier("held", W.orderBy("group")).alias("before"))
+    within = earlier("size", W.partitionBy("group").orderBy("file_ix"))
+    offsets = sizes.withColumn("inside", within).join(groups, "group").select("uri", (F.col("before") + F.col("inside")).alias("offset"))
+    seq = F.col("offset") + F.col("row")
+    return rows.join(offsets, "uri").select(seq.alias("seq"), "id", "lat", "lng", "trip_id", "timestamp")
 
 
 def stream_archive(spark: SparkSession, folder: str, max_files: int = 1) -> DataFrame:

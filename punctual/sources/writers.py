@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.features import wide_features
-from ..operators.timetable import to_pipe_lists
+from ..operators.timetable import one_row_per_trip, to_pipe_lists
 from ..schemas import ARCHIVE
 
 ARCHIVE_ROWS_PER_FILE = 1_000_000
@@ -38,9 +39,37 @@ def write_archive(enriched: DataFrame, folder: str, mode: str = "append") -> Non
     )
 
 
+def write_rolled(rows: DataFrame, folder: str, group: int, n_rows: int, rows_per_file: int = ARCHIVE_ROWS_PER_FILE) -> None:
+    """One group of archive rows (with ``seq``) as gzip CSV in ``seq`` order: ``n_rows`` rows in files of ``rows_per_file``.
+
+    What is left over goes to the last file, so none is smaller unless the whole group is. A row's file follows from
+    its rank, which is counted inside ranges of ``seq`` and over the ranges; a file is one task's work.
+    """
+    ranged = rows.repartitionByRange("seq").withColumn("_range", F.spark_partition_id())
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    rank = F.col("_offset") + F.row_number().over(W.partitionBy("_range").orderBy("seq")) - 1
+    last = max(1, n_rows // rows_per_file) - 1
+    file = F.least(F.floor(rank / rows_per_file), F.lit(last))
+    (
+        ranged.join(offsets, "_range")
+        .withColumn("file", F.format_string("%06d", file))
+        .repartition("file")
+        .sortWithinPartitions("file", "seq")
+        .select(*ARCHIVE.fieldNames(), "file")
+        .write.mode("overwrite")
+        .partitionBy("file")
+        .option("header", True)
+        .option("compression", "gzip")
+        .csv(f"{folder}/group={group:09d}")
+    )
+
+
 def write_trip_table(trips_nested: DataFrame, folder: str) -> None:
-    """The daily trip table as nested Parquet; the form every job reads."""
-    trips_nested.write.mode("overwrite").parquet(folder)
+    """The daily trip table as nested Parquet; the form every job reads. A repeated trip is kept once, so that no event is
+    doubled by the join with it."""
+    one_row_per_trip(trips_nested).write.mode("overwrite").parquet(folder)
 
 
 def write_trip_lists(trips_nested: DataFrame, folder: str) -> None:

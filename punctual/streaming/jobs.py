@@ -10,17 +10,21 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import schemas
 from ..functions.vocabulary import Layout
 from ..operators import decode
 from ..operators import features as feat
 from ..operators.model import fill_sequences
 from ..operators.runs import detect_hits, enrich
 from ..operators.serving import latest_row, live_json, resend_predictions
-from ..sources.writers import archive_rows
+from ..sources import readers
+from ..sources.writers import ARCHIVE_ROWS_PER_FILE, archive_rows, write_rolled
+from .keyed import Pool
 from .steps import gate_open, once_per_trip_and_day, stream_arrivals, track_stream
 
 FEED_INTERVAL = "3 seconds"
@@ -179,6 +183,85 @@ def start_predictions(
     return start_batches(messages, write, checkpoint, available_now)
 
 
+def rolling_archive(
+    spark: SparkSession, folder: str, rows_per_file: int = ARCHIVE_ROWS_PER_FILE, idle_s: float = 60.0, clock=time.time
+) -> Pool:
+    """The archive of enriched positions that rolls by rows and by idle time: ``folder``/closed holds whole groups."""
+    schema = T.StructType([T.StructField("seq", T.LongType()), *schemas.ARCHIVE.fields])
+
+    def give(rows: DataFrame, group: int, n: int) -> None:
+        write_rolled(rows, f"{folder}/closed", group, n, rows_per_file)
+
+    return Pool(spark, folder, schema, rows_per_file, idle_s, give, clock)
+
+
+def start_rolling_archive(
+    positions: DataFrame, trips: DailyTable, archive: Pool, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Enrich positions and archive them in files of enough rows; ``archive.close_idle`` closes what is left when idle."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = enrich(batch, trips.get(), drop_stops=True)
+        archive.add(known.select("seq", *archive_rows(known).columns), batch_id)
+
+    return start_batches(positions, write, checkpoint, available_now)
+
+
+FEATURE_GROUP = 10
+
+
+def feature_groups(spark: SparkSession, folder: str, idle_s: float = 60.0, clock=time.time, least: int = FEATURE_GROUP) -> Pool:
+    """Sequences that wait for company: ``folder``/features holds wide rows with keys, in groups of ten or more."""
+
+    def give(rows: DataFrame, group: int, n: int) -> None:
+        feat.wide_features(rows).write.mode("overwrite").parquet(f"{folder}/features/group={group}")
+
+    return Pool(spark, folder, "tokens array<int>", least, idle_s, give, clock)
+
+
+def start_feature_groups(sequences: DataFrame, groups: Pool, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Training sequences to the feature table in groups; ``groups.close_idle`` closes the last one when idle."""
+    return start_batches(sequences.select("tokens"), groups.add, checkpoint, available_now)
+
+
+def start_feed_sinks(feeds: DataFrame, folder: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Feed messages in one read to positions, to a quarantine of what is broken or incomplete, and to counts.
+
+    ``folder``/positions, /broken (messages that do not decode), /incomplete (entities without id, position or time) and
+    /counts. Messages and entities are counted where they are read, and a batch fails unless its parts add up to them.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        def put(df: DataFrame, name: str) -> int:
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+            return seen.get["n"]
+
+        whole = F.col(readers.CORRUPT).isNull()
+        read = Observation()
+        counted = batch.observe(
+            read,
+            F.count(F.lit(1)).alias("messages"),
+            F.count(F.when(whole, 1)).alias("decoded"),
+            F.coalesce(F.sum(F.when(whole, F.greatest(F.size("entity"), F.lit(0)))), F.lit(0)).alias("entities"),
+        )
+        kept = counted.persist()
+        try:
+            positions = put(readers.flatten_feed(kept), "positions")
+            broken = put(readers.quarantined(kept), "broken")
+            incomplete = put(readers.incomplete_entities(kept), "incomplete")
+        finally:
+            kept.unpersist()
+        n = read.get
+        if n["messages"] != n["decoded"] + broken or n["entities"] != positions + incomplete:
+            raise ValueError(f"batch {batch_id} does not add up: {n}, {positions}, {broken}, {incomplete}")
+        line = [(n["messages"], broken, n["entities"], incomplete, positions)]
+        counts = "messages bigint, broken bigint, entities bigint, incomplete bigint, positions bigint"
+        batch.sparkSession.createDataFrame(line, counts).write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
+
+    return start_batches(feeds, write, checkpoint, available_now)
+
+
 def start_feature_table(
     sequences: DataFrame, folder: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
