@@ -33,6 +33,10 @@ from punctual.llm import flat
 
 # How the byte-level vocabularies cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII alone.
+ASCII_WORDS = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+)
 
 # Letters and numbers that Unicode has added since the version by which the vocabularies' library cuts.
 SINCE = (
@@ -46,10 +50,10 @@ SINCE = (
     "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
 
-#: Words up to so many characters are remembered, so many of them; and so many pairs of tokens.
-SHORT, REMEMBERED, PAIRS = 32, 1 << 19, 1 << 19
-#: Characters of a text, and ids, that are worked on at a time.
-PIECE, IDS = 1 << 16, 1 << 16
+#: So many words are remembered, and so many pairs of tokens.
+REMEMBERED, PAIRS = 1 << 19, 1 << 20
+#: Characters of a text, characters of all texts, and ids that are worked on at a time.
+PIECE, TOGETHER, IDS = 1 << 16, 1 << 21, 1 << 16
 
 
 class Vocabulary(NamedTuple):
@@ -166,28 +170,34 @@ def automaton(vocabulary: Vocabulary) -> Automaton:
 def tables(path: str) -> tuple:
     """What coding needs, as plain values to be broadcast."""
     vocabulary = read_vocabulary(path)
-    return tuple(vocabulary), tuple(automaton(vocabulary))
+    return tuple(vocabulary), tuple(automaton(vocabulary)), {}
+
+
+def coder(plain: tuple) -> Coder:
+    """The coder of broadcast tables: one a worker, which keeps what it has learned from task to task."""
+    if not plain[2]:
+        plain[2]["coder"] = Coder(plain)
+    return plain[2]["coder"]
 
 
 class Coder:
-    """Encodes and decodes single texts with the :func:`tables` of a vocabulary."""
+    """Encodes and decodes texts with the :func:`tables` of a vocabulary."""
 
     def __init__(self, plain: tuple):
         import regex
 
         self.vocabulary, self.automaton = Vocabulary(*plain[0]), Automaton(*plain[1])
         self.merged = {pair: k for k, pair in enumerate(self.vocabulary.halves) if pair[0] >= 0}
-        single = {t[0]: k for k, t in enumerate(self.vocabulary.tokens) if len(t) == 1 and self.vocabulary.halves[k][0] < 0}
-        self.single = {bytes([b]): (k,) for b, k in single.items()}
         self.since = re.compile(f"[{SINCE}]")
-        self.usual = regex.compile(WORDS)
         odd = rf" ?(?:[^\s\p{{L}}\p{{N}}]|[{SINCE}])+"
         letters, numbers = (rf" ?(?:(?![{SINCE}])\p{{{c}}})+" for c in "LN")
         self.exact = regex.compile("|".join([r"'s|'t|'re|'ve|'m|'ll|'d", letters, numbers, odd, r"\s+(?!\S)|\s+"]))
+        self.usual, self.ascii = regex.compile(WORDS), re.compile(ASCII_WORDS)
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known = _Remembered(self)
+        self.ends: dict[int, tuple[tuple[int, int], ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def beside(self, left: int, right: int) -> bool:
         """Whether encoding the bytes of the two tokens gives the two."""
@@ -211,44 +221,64 @@ class Coder:
             else:
                 j -= 1
 
-    def word(self, data: bytes) -> tuple[int, ...]:
-        """The ids of one word."""
-        if len(data) < 2:
-            return self.single.get(data, ())
-        step, link, length, near, held = self.automaton
-        pairs, beside = self.pairs, self.beside
-        last = [-1] * (len(data) + 1)
-        state = matched = 0
-        for end, byte in enumerate(data, 1):
-            to = step.get(state << 8 | byte)
-            while to is None:  # every byte is a token, so the empty string has a step
-                state = link[state]
-                matched = length[state]
-                to = step.get(state << 8 | byte)
-            state, matched = to, matched + 1
-            at = near[state]
-            while last[end] < 0:
-                for size, token in held[at]:
+    def _ending(self, state: int) -> tuple[tuple[int, int], ...]:
+        """(length, token) of the tokens that are suffixes of the state's strings, longest first."""
+        link, near, held = self.automaton.link, self.automaton.near, self.automaton.held
+        out, at = [], near[state]
+        while at:
+            out += held[at]
+            at = near[link[at]]
+        self.ends[state] = tuple(out)
+        return self.ends[state]
+
+    def words(self, ordered: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of words in byte order: what two neighbours share at their front is worked out once.
+
+        ``last`` holds for every prefix of the word at hand the token that comes last in its encoding, ``states`` and
+        ``lengths`` where the automaton stands there and how many bytes it has matched.
+        """
+        step, link, length = self.automaton.step.get, self.automaton.link, self.automaton.length
+        pairs, ends, tokens = self.pairs, self.ends, self.vocabulary.tokens
+        last, states, lengths = [-1], [0], [0]
+        out, before = [], b""
+        for word in ordered:
+            same, most = 0, min(len(word), len(before))
+            while same < most and word[same] == before[same]:
+                same += 1
+            del last[same + 1 :], states[same + 1 :], lengths[same + 1 :]
+            state, matched, end, before = states[-1], lengths[-1], same, word
+            for byte in word[same:]:
+                end += 1
+                to = step(state << 8 | byte)
+                while to is None:  # every byte is a token, so the empty string has a step
+                    state = link[state]
+                    matched = length[state]
+                    to = step(state << 8 | byte)
+                state = to
+                matched += 1
+                for size, token in ends.get(state) or self._ending(state):
                     if size > matched:
                         continue
                     if size == end:
-                        last[end] = token
                         break
-                    pair = (last[end - size], token)
+                    pair = last[end - size] << 32 | token
                     fits = pairs.get(pair)
                     if fits is None:
                         if len(pairs) >= PAIRS:
                             pairs.clear()
-                        fits = pairs[pair] = beside(*pair)
+                        fits = pairs[pair] = self.beside(pair >> 32, token)
                     if fits:
-                        last[end] = token
                         break
-                at = near[link[at]]
-        ids, end, tokens = [], len(data), self.vocabulary.tokens
-        while end:
-            ids.append(last[end])
-            end -= len(tokens[last[end]])
-        return tuple(reversed(ids))
+                last.append(token)
+                states.append(state)
+                lengths.append(matched)
+            ids = []
+            while end:
+                token = last[end]
+                ids.append(token)
+                end -= len(tokens[token])
+            out.append(tuple(reversed(ids)))
+        return out
 
     def _pieces(self, text: str):
         """The text in pieces that no word crosses: they end before a blank that follows no white space."""
@@ -261,17 +291,50 @@ class Coder:
             yield text[at:to]
             at = to
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text."""
-        parts = []
-        for k, part in enumerate(self.special.split(text or "") if self.special else [text or ""]):
+    def _cut(self, text: str):
+        """The words of a text, some at a time, and the ids of special tokens; each with its number of characters."""
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
-                parts.append(np.array([self.vocabulary.special[part]], np.int32))
+                yield len(part), self.vocabulary.special[part]
                 continue
             for piece in self._pieces(part):
-                words = self.exact if not piece.isascii() and self.since.search(piece) else self.usual
-                parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, words.findall(piece))), np.int32))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+                words = self.ascii if piece.isascii() else self.exact if self.since.search(piece) else self.usual
+                yield len(piece), words.findall(piece)
+
+    def _learn(self, parts: list) -> None:
+        """Work out the words of ``parts`` that are not known."""
+        fresh = set()
+        for words in parts:
+            if not isinstance(words, int):
+                fresh.update(words)
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+        ordered = sorted(fresh.difference(self.known))
+        self.known.update(zip(ordered, self.words([w.encode() for w in ordered])))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of every text. Words are gathered over the texts, up to so many characters at a time."""
+        out: list[list] = [[] for _ in texts]
+        waiting: list[tuple[int, list]] = []
+        size = 0
+
+        def flush() -> None:
+            self._learn([words for _, words in waiting])
+            known = self.known.__getitem__
+            for k, words in waiting:
+                ids = [words] if isinstance(words, int) else chain.from_iterable(map(known, words))
+                out[k].append(np.fromiter(ids, np.int32))
+            waiting.clear()
+
+        for k, text in enumerate(texts):
+            for chars, words in self._cut(text or ""):
+                waiting.append((k, words))
+                size += chars
+                if size >= TOGETHER:
+                    flush()
+                    size = 0
+        flush()
+        return [np.concatenate(parts) if parts else np.zeros(0, np.int32) for parts in out]
 
     def pieces(self, ids: np.ndarray):
         """The bytes of the ids, some at a time."""
@@ -284,22 +347,6 @@ class Coder:
         return b"".join(self.pieces(ids)).decode("utf-8", "replace")
 
 
-class _Remembered(dict):
-    """Ids by word, for the short ones."""
-
-    def __init__(self, coder: Coder):
-        super().__init__()
-        self.coder = coder
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.coder.word(word.encode())
-        if len(word) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
@@ -309,7 +356,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _encoded(coder: Coder, batches):
     for batch in batches:
         for part in flat.blocks([batch], "text"):
-            ids = [coder.encode(t.as_py()) for t in part.column("text")]
+            ids = coder.encode(part.column("text").to_pylist())
             n = pa.array([len(x) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, _lists(ids)], ["doc_id", "n_tokens", "ids"])
 
@@ -340,7 +387,7 @@ def _mapped(df: DataFrame, work, path: str, columns: str) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(tables(path))
 
     def run(batches):
-        return work(Coder(sent.value), batches)
+        return work(coder(sent.value), batches)
 
     return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, {columns}")
 

@@ -57,7 +57,7 @@ def test_every_code_point(coder, library):
     for low in range(0, 0x110000, 128):
         letters = [chr(x) for x in range(low, low + 128) if not 0xD800 <= x < 0xE000]
         text = "".join(rng.choice(["", " ", "  ", "\n", "1", "x", "'s", "!"]) + c for c in letters)
-        assert list(coder.encode(text)) == ids(library, text), hex(low)
+        assert list(coder.encode([text])[0]) == ids(library, text), hex(low)
 
 
 def test_random_words(coder, library):
@@ -65,17 +65,18 @@ def test_random_words(coder, library):
     for k in range(4000):
         letters = rng.choice(["ab", "aab ", "abc \n", "theinr ", "0123 ", "é漢字a ", "'stredvm l", " \t\n "])
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) + ("<|endoftext|>" if k % 7 == 0 else "")
-        assert list(coder.encode(text)) == ids(library, text)
+        assert list(coder.encode([text])[0]) == ids(library, text)
 
 
 def test_long_words_and_small_pieces(coder, library, monkeypatch):
     for text in ("x" * 200_000, "ab" * 50_000, "né" * 30_000 + " b" * 70_000):
-        assert list(coder.encode(text)) == ids(library, text)
+        assert list(coder.encode([text])[0]) == ids(library, text)
     monkeypatch.setattr(bpe, "PIECE", 7)
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "TOGETHER", 50)
     monkeypatch.setattr(bpe, "PAIRS", 5)
     for row in documents(1):
-        assert list(coder.encode((row[1] or "")[:2000])) == ids(library, (row[1] or "")[:2000])
+        assert list(coder.encode([(row[1] or "")[:2000]])[0]) == ids(library, (row[1] or "")[:2000])
 
 
 def test_two_tokens_side_by_side(coder, library):
@@ -93,7 +94,7 @@ def test_ids_that_are_none(coder):
     for odd in (-1, 50257, 10**9):
         with pytest.raises(IndexError):
             coder.decode(np.array([5, odd]))
-    assert coder.decode(coder.encode("é")[:0]) == ""
+    assert coder.decode(np.zeros(0, np.int32)) == ""
     assert "�" in coder.decode(np.array([[k for k, t in enumerate(coder.vocabulary.tokens) if t == b"\xff"][0]]))
 
 
