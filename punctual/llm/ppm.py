@@ -37,6 +37,16 @@ _U = np.uint64
 _PACKED = "block long, kind int, bucket long, keys binary, counts binary"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers as bytes, all first bytes before all second ones: sorted and small numbers then compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(planes: bytes, kind) -> np.ndarray:
+    bytes_ = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(bytes_.T).reshape(-1).view(kind)
+
+
 def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The spans one after the other, and where each begins, with the end last."""
     size = end - start
@@ -117,7 +127,7 @@ def _asks(order: int, buckets: int, by_word: bool, block_bytes: int):
         for k, batch in enumerate(flat.blocks(batches, "text", block_bytes)):
             got = _block(batch, order)
             block = int(flat.mix(np.array([task + k], _U)).view(np.int64)[0])
-            whole = {c: pa.array([got[c].tobytes()], pa.binary()) for c in ("data", "offsets", "tokens", "sizes")}
+            whole = {c: pa.array([_planes(got[c])], pa.binary()) for c in ("data", "offsets", "tokens", "sizes")}
             none = pa.array([None], pa.binary())
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id"))
             held = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.compute.invert(batch.column("learn")))
@@ -130,7 +140,7 @@ def _asks(order: int, buckets: int, by_word: bool, block_bytes: int):
                 bucket, rank = _order(keys, buckets)
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[rank][1:] != bucket[rank][:-1]]))
                 ends, m = np.append(cuts[1:], len(rank)), len(cuts)
-                cut = lambda x: pa.array([x[rank[a:b]].tobytes() for a, b in zip(cuts, ends)], pa.binary())
+                cut = lambda x: pa.array([_planes(x[rank[a:b]]) for a, b in zip(cuts, ends)], pa.binary())
                 empty = {c: pa.nulls(m, schema.field(c).type) for c in ("ids", "held_out", "data", "offsets", "tokens", "sizes")}
                 yield flat.rows(
                     schema, block=np.full(m, block), kind=np.full(m, kind), bucket=bucket[rank[cuts]], keys=cut(keys), counts=cut(counts), **empty
@@ -140,7 +150,7 @@ def _asks(order: int, buckets: int, by_word: bool, block_bytes: int):
 
 
 def _joined(table, column: str, kind) -> np.ndarray:
-    parts = [np.frombuffer(b, kind) for b in table.column(column).to_pylist()]
+    parts = [_numbers(b, kind) for b in table.column(column).to_pylist()]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
@@ -157,7 +167,7 @@ def _counted(key, table):
 
 def _answers(table, keys: np.ndarray, values: np.ndarray, known: int):
     """block, kind, bucket, values: to every request the values of its keys, in its order."""
-    told = [values[np.searchsorted(keys, np.frombuffer(blob, _U))].tobytes() for blob in table.column("keys").to_pylist()]
+    told = [_planes(values[np.searchsorted(keys, _numbers(blob, _U))]) for blob in table.column("keys").to_pylist()]
     first = [known] + [0] * (len(told) - 1)
     same = {c: table.column(c) for c in ("block", "kind", "bucket")}
     return pa.table({**same, "values": pa.array(told, pa.binary()), "known": pa.array(first[: len(told)], pa.int64())})
@@ -216,7 +226,7 @@ def _scored(order: int, buckets: int, by_word: bool):
     def run(key, table):
         kinds = table.column("kind").to_numpy()
         own = table.filter(pa.array(kinds == 0)).to_pylist()[0]
-        data, offsets, tokens, sizes = (np.frombuffer(own[c], t) for c, t in (("data", np.uint8), ("offsets", np.int64), ("tokens", np.int32), ("sizes", np.int64)))
+        data, offsets, tokens, sizes = (_numbers(own[c], t) for c, t in (("data", np.uint8), ("offsets", np.int64), ("tokens", np.int32), ("sizes", np.int64)))
 
         def told(kind: int, keys: np.ndarray, number) -> np.ndarray:
             part = table.filter(pa.array(kinds == kind)).sort_by("bucket")
@@ -298,7 +308,7 @@ def _packed(buckets: int):
             rank = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.concatenate([[True], bucket[rank][1:] != bucket[rank][:-1]]))
             ends, m = np.append(cuts[1:], len(rank)), len(cuts)
-            cut = lambda x: pa.array([x[rank[a:b]].tobytes() for a, b in zip(cuts, ends)], pa.binary())
+            cut = lambda x: pa.array([_planes(x[rank[a:b]]) for a, b in zip(cuts, ends)], pa.binary())
             yield flat.rows(schema, block=np.zeros(m, np.int64), kind=np.full(m, 3), bucket=bucket[rank[cuts]], keys=cut(keys), counts=cut(costs))
 
     return run
