@@ -278,12 +278,12 @@ SELECT id, seq, first_predicted, list(CAST(total AS INTEGER) ORDER BY p) AS dela
 
 # ---- timetables that change, archives that roll ---------------------------------------------------------------------
 
-_part("turn", "driven", "SELECT (min(ts) + max(ts)) // 2 AS at FROM driven")
+_part("turn", "driven", "SELECT (min(ts) + max(ts)) // 2 AS turned FROM driven")
 _part("versions", "trips turn", """
-SELECT trip, route_type, 0 AS valid_from, CASE WHEN trip % 7 = 0 OR (trip % 3 = 0 AND n > 1) THEN at END AS valid_to, n
+SELECT trip, route_type, 0 AS valid_from, CASE WHEN trip % 7 = 0 OR (trip % 3 = 0 AND n > 1) THEN turned END AS valid_to, n
 FROM trips, turn WHERE n IS NOT NULL
 UNION ALL
-SELECT trip, route_type, at, NULL, n - 1 FROM trips, turn WHERE trip % 7 <> 0 AND trip % 3 = 0 AND n > 1
+SELECT trip, route_type, turned, NULL, n - 1 FROM trips, turn WHERE trip % 7 <> 0 AND trip % 3 = 0 AND n > 1
 """)
 _part("hits_v", "driven versions st", """
 SELECT id, seq, ts, trip, valid_from, n, CASE WHEN dist < 250 THEN i END AS hit FROM (
