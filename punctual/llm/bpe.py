@@ -77,7 +77,7 @@ def read_vocabulary(path: str) -> Vocabulary:
         told = json.load(lines)
     model, cut = told["model"], told["pre_tokenizer"] or {}
     odd = [told["normalizer"], told["post_processor"], cut.get("type") != "ByteLevel", cut.get("add_prefix_space"), not cut.get("use_regex", True)]
-    odd += [told["decoder"]["type"] != "ByteLevel", model["type"] != "BPE"]
+    odd += [(told["decoder"] or {}).get("type") != "ByteLevel", model["type"] != "BPE"]
     odd += [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
     odd += [t[k] for t in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")]
     if any(odd):

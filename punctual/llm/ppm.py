@@ -60,15 +60,31 @@ def _spellings(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.nd
     wide = size + order + 1  # separators before, one after
     begin = np.concatenate([[0], np.cumsum(wide)])
     text = np.full(begin[-1], SEPARATOR, np.uint8)
-    word = np.repeat(np.arange(n), size)
-    text[np.arange(len(data)) + (word + 1) * order + word] = data
-    at = np.arange(len(text))
-    owner = np.repeat(np.arange(n), wide)
-    use = at - begin[owner] >= order
+    inside = np.zeros(len(text) + 1, np.int8)  # where the spans' own bytes lie
+    np.add.at(inside, begin[:-1] + order, 1)
+    np.add.at(inside, begin[:-1] + order + size, -1)
+    np.cumsum(inside, out=inside)
+    text[inside[:-1].astype(bool)] = data
+    del inside
     key = np.zeros(len(text), _U)
     for k in range(order + 1):
         key[order:] |= text[order - k : len(text) - k].astype(_U) << _U(8 * k)
-    return key[use], owner[use]
+    use = np.ones(len(text), bool)
+    for k in range(order):
+        use[begin[:-1] + k] = False
+    return key[use], np.repeat(np.arange(n, dtype=np.int32), size + 1)
+
+
+def _different(spelt: np.ndarray, learn: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in ``spelt``, and how often each is to be learnt; 0 and 1 in ``learn``, one for each of ``spelt``."""
+    if order > 6:  # no bit is left in the number
+        different, number = np.unique(spelt, return_inverse=True)
+        return different, np.bincount(number, learn, len(different)).astype(np.int64)
+    packed = (spelt << _U(1)) | learn.astype(_U)
+    packed.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(packed)), bool), (packed[1:] ^ packed[:-1]) > 1]))
+    learnt = np.add.reduceat((packed & _U(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    return packed[first] >> _U(1), learnt
 
 
 def _running(data: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +150,12 @@ def _asks(order: int, buckets: int, by_word: bool, block_bytes: int):
             yield flat.rows(schema, block=[block], kind=[0], bucket=[0], keys=none, counts=none, ids=ids, held_out=held, **whole)
             parts = (got["data"], got["offsets"])
             spelt, owner = _spellings(*(parts if by_word else _running(*parts, got["tokens"], got["sizes"])), order)
-            different, number = np.unique(spelt, return_inverse=True)
-            times = np.bincount(number, got["counts" if by_word else "learn"][owner], len(different)).astype(np.int64)
+            if by_word:
+                different, number = np.unique(spelt, return_inverse=True)
+                times = np.bincount(number, got["counts"][owner], len(different)).astype(np.int64)
+            else:
+                different, times = _different(spelt, got["learn"].astype(bool)[owner], order)
+            del spelt, owner
             for kind, keys, counts in ((1, _word_keys(got["data"], got["offsets"]), got["counts"]), (2, different, times)):
                 bucket, rank = _order(keys, buckets)
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[rank][1:] != bucket[rank][:-1]]))
