@@ -32,10 +32,14 @@ def delta_steps(tokens: Column) -> Column:
 
 
 def running_total(values: Column) -> Column:
-    return F.transform(
-        values,
-        lambda x, i: F.aggregate(F.slice(values, F.lit(1), i + 1), F.lit(0), lambda acc, v: (acc + v).cast("int")),
-    )
+    """Sums up to each place, by one pass over the array."""
+    start = F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("total"))
+
+    def step(done: Column, value: Column) -> Column:
+        total = (done["total"] + value).cast("int")
+        return F.struct(F.concat(done["sums"], F.array(total)).alias("sums"), total.alias("total"))
+
+    return F.aggregate(values, start, step, lambda done: done["sums"])
 
 
 def until_padding(tokens: Column) -> Column:

@@ -73,14 +73,15 @@ def delays(times: Column, scheduled: Column) -> Column:
 
 
 def delay_steps(delay: Column) -> Column:
-    """Change of delay against the last known delay (0 before the first); 0 for unknown stops."""
+    """Change of delay against the last known delay (0 before the first); 0 for unknown stops. One pass over the array."""
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(F.array().cast("array<bigint>").alias("steps"), zero.alias("last"))
 
-    def step(x: Column, i: Column) -> Column:
-        known = F.filter(F.slice(delay, F.lit(1), i), lambda y: y.isNotNull())
-        last = F.coalesce(F.get(known, F.size(known) - 1), F.lit(0))
-        return F.coalesce(x - last, F.lit(0))
+    def step(done: Column, x: Column) -> Column:
+        change = F.coalesce(x - done["last"], zero)
+        return F.struct(F.concat(done["steps"], F.array(change)).alias("steps"), F.coalesce(x, done["last"]).alias("last"))
 
-    return F.transform(delay, step)
+    return F.aggregate(delay, start, step, lambda done: done["steps"])
 
 
 def _pairs(stop_tokens: Column, delta_tokens: Column) -> Column:

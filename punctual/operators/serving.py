@@ -17,6 +17,8 @@ DIRECTION_WORD = "mot "
 NO_INFORMATION = "Ingen information"
 NEVER_PREDICTED = 1000
 
+STEPS = 4096  # positions of a resampled gap that one array holds
+
 
 # ---- rows -----------------------------------------------------------------------------------------------------------
 
@@ -193,13 +195,23 @@ def viewport_vehicles(
     )
 
 
-def nearest_vehicle(points: DataFrame, vehicles: DataFrame, cutoff_m: float, max_abs_lat: float = 75.0) -> DataFrame:
+#: Vehicles in one cell beyond which it is divided, and how often a cell is halved at most.
+CELL_ROWS, CELL_LEVELS = 256, 24
+
+
+def nearest_vehicle(
+    points: DataFrame, vehicles: DataFrame, cutoff_m: float, max_abs_lat: float = 75.0, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """For every point ``(point_id, lat, lng)`` the closest vehicle nearer than the cut-off, if any.
 
     An equi-join on grid cells at least as wide as the cut-off. Stacked vehicles and repeated points are folded
     first, so the join meets distinct coordinates only. Distances count in millimetres and the lowest id wins
-    ties. Beyond ``max_abs_lat`` the
-    cells are one row of latitude bands, since degrees of longitude shrink there.
+    ties. Beyond ``max_abs_lat`` the cells are one row of latitude bands, since degrees of longitude shrink there.
+
+    A cell of more than ``cell_rows`` vehicles is divided into quarters, and these again. A point goes down the
+    quarters with bounds: every cell that holds a vehicle says how far the nearest one is at most and at least, and
+    cells that are farther at least than another is at most are left. So a point meets a few cells of a bounded
+    number of vehicles, however dense they stand.
     """
     metres_per_degree = math.pi / 180 * EARTH_RADIUS_KM * 1000
     lat_step = cutoff_m / metres_per_degree * 1.01
@@ -240,9 +252,18 @@ def nearest_vehicle(points: DataFrame, vehicles: DataFrame, cutoff_m: float, max
             ),
         )
     )
+    cell = ["cell_row", "cell_col"]
+    dense = spots.filter("cell_col >= 0").groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows)
+    crowd = dense.agg(F.max("n")).first()[0]
+    if crowd is None:
+        met = probes.join(spots, cell)
+    else:
+        dense = dense.select(*cell)
+        met = probes.join(spots.join(dense, cell, "left_anti"), cell).select("lat", "lng", "id", "v_lat", "v_lng")
+        inside = spots.join(dense, cell, "left_semi")
+        met = met.unionByName(_met_in_quarters(probes.join(dense, cell, "left_semi"), inside, lat_step, lng_step, cell_rows))
     hits = (
-        probes.join(spots, ["cell_row", "cell_col"])
-        .withColumn("exact", distance_m(F.col("lat"), F.col("lng"), F.col("v_lat"), F.col("v_lng")))
+        met.withColumn("exact", distance_m(F.col("lat"), F.col("lng"), F.col("v_lat"), F.col("v_lng")))
         .filter(F.col("exact") < cutoff_m)
         .withColumn("dist", F.round("exact", 3))
         .groupBy("lat", "lng")
@@ -251,11 +272,66 @@ def nearest_vehicle(points: DataFrame, vehicles: DataFrame, cutoff_m: float, max
     return points.join(hits, ["lat", "lng"]).select("point_id", "best.id", "best.dist")
 
 
+def _met_in_quarters(probes: DataFrame, spots: DataFrame, lat_step: float, lng_step: float, cell_rows: int) -> DataFrame:
+    """Pairs of a point and the vehicles of the quarters that may hold its nearest one.
+
+    The quarters of one level are (row, column) of a grid whose steps are halved at each level. Levels go on while a
+    quarter holds more than ``cell_rows`` vehicles; each is one join of the points still on their way with the quarters
+    that hold vehicles, of which a parent has at most four.
+    """
+    done, out = probes.select("lat", "lng", *_of_level(0)), None
+    for level in range(1, CELL_LEVELS + 1):
+        steps = lat_step / 2**level, lng_step / 2**level
+        names, parents = _of_level(level), _of_level(level - 1)
+        spots = spots.withColumns(
+            {names[0]: F.floor(F.col("v_lat") / steps[0]), names[1]: F.floor((F.col("v_lng") + 180.0) / steps[1])}
+        )
+        # The box of the vehicles themselves bounds them closer than the quarter does.
+        sides = [f("v_" + c).alias(f"{c}_{n}") for c in ("lat", "lng") for f, n in ((F.min, "low"), (F.max, "high"))]
+        quarters = spots.groupBy(*parents, *names).agg(F.count(F.lit(1)).alias("n"), *sides)
+        quarters = quarters.withColumn("last", (F.col("n") <= cell_rows) | F.lit(level == CELL_LEVELS))
+        w = W.partitionBy("lat", "lng")
+        reached = (
+            done.join(quarters, parents)
+            .withColumn("least", _box_distance(F.least) * 0.99 - 0.01)
+            .withColumn("most", _box_distance(F.greatest) * 1.01 + 0.01)
+            .withColumn("bound", F.min("most").over(w))
+            .filter(F.col("least") <= F.col("bound"))
+            .select("lat", "lng", *names, "last")
+        )
+        ends = reached.filter("last").join(spots, names).select("lat", "lng", "id", "v_lat", "v_lng")
+        out = ends if out is None else out.unionByName(ends)
+        if quarters.filter("not last").isEmpty():
+            return out
+        spots = spots.join(quarters.filter("not last").select(*names), names, "left_semi").select("id", "v_lat", "v_lng", *names)
+        done = reached.filter("not last").drop("last")
+    return out
+
+
+def _of_level(level: int) -> list[str]:
+    return ["cell_row", "cell_col"] if level == 0 else [f"row{level}", f"col{level}"]
+
+
+def _box_distance(pick) -> Column:
+    """Distance of a point to the nearest (``F.least``) or farthest (``F.greatest``) place of a box of vehicles."""
+
+    def side(at: Column, low: Column, high: Column) -> Column:
+        if pick is F.least:
+            return F.least(F.greatest(at, low), high)
+        return F.when(F.abs(at - low) > F.abs(at - high), low).otherwise(high)
+
+    lat, lng = F.col("lat"), F.col("lng")
+    turned = lng - F.round((lng - F.col("lng_low")) / 360.0) * 360.0  # on the same side of the antimeridian as the box
+    near_lat = side(lat, F.col("lat_low"), F.col("lat_high"))
+    return distance_m(lat, lng, near_lat, side(turned, F.col("lng_low"), F.col("lng_high")))
+
+
 def resample_tracks(positions: DataFrame, step_s: int, stretch: float = 1.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Positions every ``step_s`` seconds between two fixes of a vehicle.
 
     The move from the previous fix to the new one starts when the new one arrives and takes ``stretch`` times
-    the gap between them; the fraction is elapsed / (duration + 1) in milliseconds.
+    the gap between them; the fraction is elapsed / (duration + 1) in milliseconds. A long gap is cut into ranges of
+    ``STEPS`` positions first, so no array grows with it.
     """
     pairs = with_previous(positions.select("id", "seq", "lat", "lng", "timestamp"), ["lat", "lng", "timestamp"],
                           block_rows=block_rows)
@@ -267,7 +343,9 @@ def resample_tracks(positions: DataFrame, step_s: int, stretch: float = 1.5, blo
     return (
         pairs.filter((gap_ms > 0) & moved)
         .withColumn("duration", duration)
-        .withColumn("elapsed", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(step_s).cast("bigint"))))
+        .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(step_s * STEPS).cast("bigint"))))
+        .withColumn("_to", F.least(last, F.col("_from") + step_s * (STEPS - 1)))
+        .withColumn("elapsed", F.explode(F.sequence(F.col("_from"), F.col("_to"), F.lit(step_s).cast("bigint"))))
         .select(
             "id",
             "seq",

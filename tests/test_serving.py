@@ -104,6 +104,48 @@ def test_nearest_vehicle_equals_brute_force(spark, centre):
     assert {r.point_id: r.id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("centre, spread", [((59.0, 18.0), 1e-4), ((59.0, 18.0), 1e-9), ((-33.0, 179.9999), 3e-4), ((0.0, 0.0), 2e-3)])
+def test_nearest_vehicle_in_a_crowd(spark, centre, spread):
+    """Most vehicles in one cell: the same answers, from a bounded number of pairs."""
+    rng = random.Random(11)
+
+    def somewhere(width):
+        return centre[0] + rng.uniform(-width, width), (centre[1] + rng.uniform(-width, width) + 180) % 360 - 180
+
+    vehicles = [(f"v{i}", *somewhere(spread)) for i in range(1500)] + [(f"w{i}", *somewhere(0.01)) for i in range(100)]
+    vehicles += [("a", *vehicles[0][1:]), ("b", *vehicles[1550][1:])]
+    points = [(i, *somewhere(spread if i % 2 else 0.005)) for i in range(60)] + [(100, *vehicles[7][1:]), (101, *vehicles[7][1:])]
+    frames = (
+        spark.createDataFrame(points, "point_id bigint, lat double, lng double"),
+        spark.createDataFrame(vehicles, "id string, lat double, lng double"),
+    )
+    got = {r.point_id: (r.id, r.dist) for r in serving.nearest_vehicle(*frames, 250.0, cell_rows=8).collect()}
+    plain = {r.point_id: (r.id, r.dist) for r in serving.nearest_vehicle(*frames, 250.0, cell_rows=10**9).collect()}
+    assert got == plain and len(got) > 30
+    cell = serving._met_in_quarters
+    seen = []
+
+    def counted(*args):
+        seen.append(cell(*args).count())
+        return cell(*args)
+
+    serving._met_in_quarters = counted
+    try:
+        serving.nearest_vehicle(*frames, 250.0, cell_rows=8).count()
+    finally:
+        serving._met_in_quarters = cell
+    if spread > 1e-8:
+        assert 0 < seen[0] < 62 * 40 * 8 / 4  # all pairs are more than sixty thousand
+
+
+def test_long_gaps_are_resampled_in_ranges(spark, monkeypatch):
+    rows = [at(1, "v", "A", 0, 1000), at(2, "v", "A", 1, 1000 + 997)]
+    whole = serving.resample_tracks(positions_frame(spark, rows), step_s=3).orderBy("timestamp").collect()
+    monkeypatch.setattr(serving, "STEPS", 10)
+    assert serving.resample_tracks(positions_frame(spark, rows), step_s=3).orderBy("timestamp").collect() == whole
+    assert [r.timestamp for r in whole] == list(range(1997, 1997 + 1496, 3))
+
+
 def test_resampled_tracks(spark):
     rows = [at(1, "v", "A", 0, 1000), at(2, "v", "A", 1, 1040), at(3, "v", "A", 1, 1100), at(4, "v", "A", 0, 1050)]
     got = serving.resample_tracks(positions_frame(spark, rows), step_s=20).orderBy("timestamp").collect()
