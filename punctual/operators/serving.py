@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_KM, distance_m, in_viewport
+from ..session import fresh_folder
 from .neighbours import with_previous
 from .runs import BLOCK_ROWS, block_of
 
@@ -195,8 +196,8 @@ def viewport_vehicles(
     )
 
 
-#: Vehicles in one cell beyond which it is divided, and how often a cell is halved at most.
-CELL_ROWS, CELL_LEVELS = 256, 24
+#: Vehicles in one cell beyond which it is divided, into how many rows and columns, and how often at most.
+CELL_ROWS, CELL_SPLIT, CELL_LEVELS = 256, 8, 8
 
 
 def nearest_vehicle(
@@ -208,8 +209,8 @@ def nearest_vehicle(
     first, so the join meets distinct coordinates only. Distances count in millimetres and the lowest id wins
     ties. Beyond ``max_abs_lat`` the cells are one row of latitude bands, since degrees of longitude shrink there.
 
-    A cell of more than ``cell_rows`` vehicles is divided into quarters, and these again. A point goes down the
-    quarters with bounds: every cell that holds a vehicle says how far the nearest one is at most and at least, and
+    A cell of more than ``cell_rows`` vehicles is divided into smaller ones, and these again. A point goes down the
+    cells with bounds: every cell that holds a vehicle says how far the nearest one is at most and at least, and
     cells that are farther at least than another is at most are left. So a point meets a few cells of a bounded
     number of vehicles, however dense they stand.
     """
@@ -273,25 +274,25 @@ def nearest_vehicle(
 
 
 def _met_in_quarters(probes: DataFrame, spots: DataFrame, lat_step: float, lng_step: float, cell_rows: int) -> DataFrame:
-    """Pairs of a point and the vehicles of the quarters that may hold its nearest one.
+    """Pairs of a point and the vehicles of the cells that may hold its nearest one.
 
-    The quarters of one level are (row, column) of a grid whose steps are halved at each level. Levels go on while a
-    quarter holds more than ``cell_rows`` vehicles; each is one join of the points still on their way with the quarters
-    that hold vehicles, of which a parent has at most four.
+    The cells of one level are (row, column) of a grid whose steps are an eighth of the level before. Levels go on while a
+    cell holds more than ``cell_rows`` vehicles; each is one join of the points still on their way with the cells that
+    hold vehicles, of which a parent has at most 64. What a level leaves to the next is a written table.
     """
     done, out = probes.select("lat", "lng", *_of_level(0)), None
     for level in range(1, CELL_LEVELS + 1):
-        steps = lat_step / 2**level, lng_step / 2**level
+        steps = lat_step / CELL_SPLIT**level, lng_step / CELL_SPLIT**level
         names, parents = _of_level(level), _of_level(level - 1)
-        spots = spots.withColumns(
-            {names[0]: F.floor(F.col("v_lat") / steps[0]), names[1]: F.floor((F.col("v_lng") + 180.0) / steps[1])}
+        spots = _written(
+            spots.withColumns({names[0]: F.floor(F.col("v_lat") / steps[0]), names[1]: F.floor((F.col("v_lng") + 180.0) / steps[1])})
         )
-        # The box of the vehicles themselves bounds them closer than the quarter does.
+        # The box of the vehicles themselves bounds them closer than the cell does.
         sides = [f("v_" + c).alias(f"{c}_{n}") for c in ("lat", "lng") for f, n in ((F.min, "low"), (F.max, "high"))]
         quarters = spots.groupBy(*parents, *names).agg(F.count(F.lit(1)).alias("n"), *sides)
-        quarters = quarters.withColumn("last", (F.col("n") <= cell_rows) | F.lit(level == CELL_LEVELS))
+        quarters = _written(quarters.withColumn("last", (F.col("n") <= cell_rows) | F.lit(level == CELL_LEVELS)))
         w = W.partitionBy("lat", "lng")
-        reached = (
+        reached = _written(
             done.join(quarters, parents)
             .withColumn("least", _box_distance(F.least) * 0.99 - 0.01)
             .withColumn("most", _box_distance(F.greatest) * 1.01 + 0.01)
@@ -308,6 +309,12 @@ def _met_in_quarters(probes: DataFrame, spots: DataFrame, lat_step: float, lng_s
     return out
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = fresh_folder(df.sparkSession, "cells")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _of_level(level: int) -> list[str]:
     return ["cell_row", "cell_col"] if level == 0 else [f"row{level}", f"col{level}"]
 

@@ -104,7 +104,7 @@ def test_nearest_vehicle_equals_brute_force(spark, centre):
     assert {r.point_id: r.id for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("centre, spread", [((59.0, 18.0), 1e-4), ((59.0, 18.0), 1e-9), ((-33.0, 179.9999), 3e-4), ((0.0, 0.0), 2e-3)])
+@pytest.mark.parametrize("centre, spread", [((59.0, 18.0), 1e-4), ((-33.0, 179.9999), 3e-4)])
 def test_nearest_vehicle_in_a_crowd(spark, centre, spread):
     """Most vehicles in one cell: the same answers, from a bounded number of pairs."""
     rng = random.Random(11)
