@@ -593,11 +593,11 @@ def best_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_prediction_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Fresh and repeated predictions on one topic as JSON, over several batches, by the best published model."""
+    """Fresh and repeated predictions on one topic as JSON, over several batches, by the model published last."""
     s, folder = fx.stage(spark, d), fresh_folder(spark, "stream")
     for landed in s.rounds(s.messages, f"landed-{uuid.uuid4().hex}"):
         stream = spark.readStream.schema(s.messages.schema).parquet(landed)
-        jobs.run_to_end(views.start_live_predictions(stream, s.models.get, s.layout, folder, f"{folder}/log", True))
+        jobs.run_to_end(views.start_live_predictions(stream, s.models.newest, s.layout, folder, f"{folder}/log", True))
     return spark.read.parquet(f"{folder}/topic").select("id", "seq", "kind", "value")
 
 

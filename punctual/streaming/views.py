@@ -37,7 +37,13 @@ class BestModel:
         self.spark, self.registry, self.metric = spark, Registry(spark, folder), metric
 
     def get(self) -> list[DataFrame]:
-        path = self.registry.best(self.metric)
+        return self._load(self.registry.best(self.metric))
+
+    def newest(self) -> list[DataFrame]:
+        """The model published last, whatever its loss."""
+        return self._load(self.registry.latest())
+
+    def _load(self, path: str | None) -> list[DataFrame]:
         if path is None:
             raise ValueError("no model is published")
         return load_counts(self.spark, path)
