@@ -72,9 +72,7 @@ def stop_arrivals(spark: SparkSession, d: str) -> DataFrame:
 # ---- timetable ------------------------------------------------------------------------------------------------------
 
 
-@query
-def trip_nested_stops(spark: SparkSession, d: str) -> DataFrame:
-    nested = fx.trips_nested(spark, d)
+def _calls(nested: DataFrame) -> DataFrame:
     call = F.transform(
         "stops", lambda s: F.concat_ws(":", s["stop_sequence"], s["stop_id"], s["arrival_time"], s["departure_time"])
     )
@@ -85,6 +83,21 @@ def trip_nested_stops(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def trip_nested_stops(spark: SparkSession, d: str) -> DataFrame:
+    return _calls(fx.trips_nested(spark, d))
+
+
+@query
+def timetable_files(spark: SparkSession, d: str) -> DataFrame:
+    """The five files of a feed, written as text and read back by their headers, nested to trips."""
+    folder = fresh_folder(spark, "timetable")
+    names = ("trips", "routes", "agency", "stop_times", "stops")
+    writers.write_timetable({name: getattr(fx, name)(spark, d) for name in names}, folder)
+    files = readers.read_timetable(spark, folder)
+    return _calls(timetable.nest_trips(*(files[name] for name in names)))
+
+
 @query
 def trip_pipe_lists(spark: SparkSession, d: str) -> DataFrame:
     return timetable.to_pipe_lists(fx.trips_nested(spark, d))
@@ -99,6 +112,21 @@ def pipe_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return good.select("trip_id", F.explode("stops").alias("s")).select("trip_id", "s.*")
 
 
+@query
+def trip_list_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Trip lists of which some are broken (a list too long, a number that is none): what parses and what does not."""
+    folder = fresh_folder(spark, "trip-lists")
+    key = F.col("trip_id").cast("long")
+    lists = timetable.to_pipe_lists(fx.stage(spark, d).trips_nested)
+    longer = F.when(key % 5 == 0, F.concat("stop_name", F.lit("|more"))).otherwise(F.col("stop_name"))
+    wordy = F.when(key % 7 == 0, F.concat(F.lit("x"), F.col("stop_lat"))).otherwise(F.col("stop_lat"))
+    broken = lists.withColumns({"stop_name": longer, "stop_lat": wordy})
+    broken.write.option("header", True).option("compression", "gzip").csv(folder)
+    good, bad = readers.read_trip_lists(spark, folder)
+    told = good.select("trip_id", F.lit(True).alias("parsed"), F.coalesce(F.size("stops"), F.lit(0)).alias("n_stops"))
+    return told.unionByName(bad.select("trip_id", F.lit(False).alias("parsed"), F.size(F.split("stop_id", r"\|")).alias("n_stops")))
+
+
 @query
 def compact_timetable(spark: SparkSession, d: str) -> DataFrame:
     compact = timetable.compact_stops(fx.stage(spark, d).trips_nested)
@@ -331,6 +359,25 @@ def wide_features(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(folder).drop("uuid")
 
 
+@query
+def stored_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features uploaded in two parts, the second after the first, and read as token arrays for a model."""
+    folder = fresh_folder(spark, "features")
+    sequences = features.assign_split(fx.stage(spark, d).features, "trip_id", {"a": 0.5, "b": 0.5})
+    for part in ("a", "b"):
+        writers.append_training_features(sequences.filter(F.col("split") == part), folder)
+    return readers.read_features(spark, folder).select(text("tokens").alias("tokens"))
+
+
+@query
+def token_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences as lines of tokens without a header, read back as examples of the tree model."""
+    folder = fresh_folder(spark, "tokens")
+    writers.write_token_csv(fx.stage(spark, d).features, folder)
+    examples = features.prefix_examples(readers.read_token_csv(spark, folder))
+    return examples.groupBy("place", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def split_counts(spark: SparkSession, d: str) -> DataFrame:
     shares = {"train": 0.70, "val": 0.15, "test": 0.15}
@@ -377,6 +424,25 @@ def tree_delay_model(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def tree_signal_model(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees on a label that the tokens do tell (how far the trip has come, from where they are masked): do they
+    find it in trips they were not fitted on? ``learned``: the held-out squared error is below a tenth of the labels'
+    variance."""
+    split = features.assign_split(fx.stage(spark, d).features, "trip_id", {"train": 0.7, "test": 0.3})
+    examples = features.prefix_examples(split)
+    examples = examples.withColumn("label", F.col("place").cast("double"))
+    fitted = model.fit_tree(examples.filter("split = 'train'"), rounds=3)
+    held_out = model.predict_tree(fitted, examples.filter("split = 'test'"))
+    error = F.col("label") - F.col("prediction")
+    return held_out.agg(
+        F.count(F.lit(1)).alias("tested"),
+        F.round(F.avg("label"), 6).alias("label_mean"),
+        F.round(F.var_pop("label"), 6).alias("label_variance"),
+        (10 * F.avg(error * error) < F.var_pop("label")).alias("learned"),
+    )
+
+
 @query
 def prediction_messages(spark: SparkSession, d: str) -> DataFrame:
     """Predictions as published: JSON text."""

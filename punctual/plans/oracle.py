@@ -616,4 +616,17 @@ SELECT start, count(*) AS visits FROM (
   SELECT unnest([b, b - 900, b - 1800, b - 2700]) AS start FROM (SELECT epoch_us(ts) // 900000000 * 900 AS b FROM events)
 ) GROUP BY 1
 """
+    out["timetable_files"] = out["trip_nested_stops"]
+    out["trip_list_rejects"] = _with("trips st", """
+SELECT CAST(t.trip AS VARCHAR) AS trip_id, n = 0 OR (t.trip % 5 <> 0 AND t.trip % 7 <> 0) AS parsed, n AS n_stops
+FROM (SELECT t.trip, count(st.trip) AS n FROM trips t LEFT JOIN st ON st.trip = t.trip GROUP BY 1) t
+""")
+    out["stored_features"] = _with("train_list", """
+SELECT array_to_string(list_resize(tk, greatest(75, (SELECT max(len(tk)) FROM train_list)), 33), ',') AS tokens FROM train_list
+""")
+    out["token_csv"] = _with("examples", "SELECT place, label, count(*) AS n FROM examples GROUP BY 1, 2")
+    out["tree_signal_model"] = _with("examples", """
+SELECT count(*) AS tested, round(avg(place), 6) AS label_mean, round(var_pop(place), 6) AS label_variance, true AS learned
+FROM examples WHERE ('0x' || substr(md5(CAST(trip AS VARCHAR) || '#0'), 1, 8))::BIGINT / 4294967296.0 >= 0.7
+""")
     return out

@@ -140,7 +140,6 @@ ARCHIVE = _columns(
 )
 
 SEQUENCE_LENGTH = 75
-TOKEN_ROWS = T.StructType([T.StructField(f"t{i:02d}", T.IntegerType()) for i in range(SEQUENCE_LENGTH)])
 
 
 def feature_column(i: int) -> str:

@@ -79,6 +79,17 @@ def write_trip_lists(trips_nested: DataFrame, folder: str) -> None:
     ).csv(folder)
 
 
+def write_timetable(tables: dict[str, DataFrame], folder: str) -> None:
+    """The five timetable files by name, as CSV with a header."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.txt")
+
+
+def write_token_csv(sequences: DataFrame, folder: str) -> None:
+    """Tokens as headerless CSV, one sequence per line; empty sequences have no line."""
+    sequences.filter(F.size("tokens") > 0).select(F.array_join("tokens", ",")).write.mode("append").text(folder)
+
+
 def append_training_features(sequences: DataFrame, folder: str) -> None:
     """Wide feature rows with a random key."""
     wide_features(sequences).write.mode("append").parquet(folder)

@@ -107,6 +107,16 @@ def test_token_csv_without_header(spark, tmp_path):
     assert sorted(r.tokens[0] for r in readers.read_token_csv(spark, str(tmp_path)).collect()) == [0, 1]
 
 
+def test_token_csv_of_any_length(spark, tmp_path):
+    rows = spark.createDataFrame([(list(range(n)),) for n in (1, 80, 200)] + [([],)], "tokens array<int>")
+    writers.write_token_csv(rows, str(tmp_path / "t"))
+    got = [r.tokens for r in readers.read_token_csv(spark, str(tmp_path / "t")).collect()]
+    assert sorted(got, key=len) == [list(range(n)) for n in (1, 80, 200)]
+    (tmp_path / "bad.csv").write_text("1,2,x")
+    with pytest.raises(Exception, match="not a line of tokens"):
+        readers.read_token_csv(spark, str(tmp_path / "bad.csv")).collect()
+
+
 def test_features_by_mode(spark, tmp_path):
     rows = spark.createDataFrame([("A", "train"), ("B", "infer")], "trip_id string, mode string")
     writers.write_features(rows, str(tmp_path / "f"))
