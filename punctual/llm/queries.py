@@ -152,6 +152,26 @@ WITH item AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op5_bbit_minhash": rf"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, len(s) AS n FROM sets
+), each AS MATERIALIZED (
+  SELECT doc_id, unnest(s) AS x FROM sets
+), meet AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM meet JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * same >= 85 * (p.n + q.n - same)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sizes JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) USING (doc_id)
 """,
     "op6_host_rules": rf"""
 WITH d AS (
@@ -199,6 +219,29 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (failures = 0 OR ln(r / (1 - r)) + 3 * failures < 0) AS kept
 FROM judged j JOIN rate ON j.source IS NOT DISTINCT FROM rate.source
+""",
+    "op10_difference_cover": """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents
+), strings AS MATERIALIZED (
+  SELECT doc_id, s, md5(b[s:s + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS s FROM d)
+), twice AS (
+  SELECT doc_id, s FROM strings WHERE h IN (SELECT h FROM strings GROUP BY h HAVING count(*) > 1)
+), numbered AS (
+  SELECT doc_id, s, sum(CASE WHEN s - p <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run
+  FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM twice)
+), runs AS (
+  SELECT doc_id, run, min(s) AS a, max(s) + 399 AS z FROM numbered GROUP BY ALL
+), cut AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs
+), kept AS (
+  SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS last,
+    string_agg(hex(b[before + 1:a - 1]), '' ORDER BY a) AS pieces
+  FROM cut JOIN d USING (doc_id) GROUP BY 1
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN last IS NULL THEN b ELSE unhex(pieces || hex(b[last + 1:n])) END) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op11_ball_kmeans": f"""
 WITH kept AS (

@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_ten_queries():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} and set(SQL) <= set(QUERIES)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} and set(SQL) <= set(QUERIES)
 
 
 def test_stages_one_by_one(spark, tmp_path):
