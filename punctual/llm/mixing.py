@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.llm.tables import WORD, pieces, saved
@@ -23,7 +23,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 #: Rows that one group of the flight holds, on average.
 BLOCK = 4096
-#: A mix names its sources one by one; their list passes through the driver and is refused beyond this.
+#: Up to so many sources their targets are worked out on the driver and sent to every task; beyond, in Spark.
 MOST_SOURCES = 100_000
 #: Open documents of a source that the landing decides at once, by trying all subsets.
 LANDING = 12
@@ -118,20 +118,60 @@ def _flight(last: bool):
     return step
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK) -> DataFrame:
+def ranked(per: DataFrame) -> DataFrame:
+    """``per`` with ``rank``, the place of the source by code point, null last: counted in ranges and over the ranges."""
+    ranges = saved(per.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "ranges")
+    last = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("size"))  # one row a partition
+    offsets = sizes.select("range", F.coalesce(F.sum("size").over(last), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranges.withColumn("inside", inside).join(offsets, "range").withColumn("rank", F.col("offset") + F.col("inside"))
+
+
+def planned(per: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
+    """source, n, rows and ``target`` as ``targets`` has it, for any number of sources.
+
+    Each round is one sum over the sources: those that a share would fill beyond their limit are full, the rest is shared
+    again. Shares only grow, so full sources stay full, and the rounds end when no more are.
+    """
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights)).cast("int"))
+    per = saved(ranked(per).select("source", "n", "rows", weight.alias("weight")), "planned")
+    limit = F.col("n") * float(most)
+    total = float(per.agg(F.sum("n")).first()[0] or 0)
+    share, known = 0.0, -1
+    while True:
+        full = F.lit(share) * F.col("weight") > limit
+        got = per.agg(
+            F.count_if(full).alias("full"), F.sum(F.when(full, limit)).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("free")
+        ).first()
+        if got.full == known or not got.free:
+            break
+        share, known = (total - (got.held or 0.0)) / got.free, got.full
+    return per.select("source", "n", "rows", F.least(F.lit(share) * F.col("weight"), limit).alias("target"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK, most_sources: int = MOST_SOURCES) -> DataFrame:
     """doc_id, source, size, source_size, target, and ``taken``: the words that the mix takes of the document."""
     narrow = saved(sizes(docs), "sizes")
     spark = docs.sparkSession
     per = narrow.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
-    per = per.limit(MOST_SOURCES + 1).collect()
-    if len(per) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources to mix")
-    goal = targets([(r.source, r.n) for r in per], weights, most)
-    plan = spark.createDataFrame(
-        [(r.source, r.n, goal[r.source], (goal[r.source] / r.n) if r.n else 0.0, pieces(r.rows, block)) for r in per],
-        "of_source string, source_size long, target double, times double, groups long",
-    )
-    known = narrow.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+    few = per.limit(most_sources + 1).collect()
+    if len(few) <= most_sources:
+        goal = targets([(r.source, r.n) for r in few], weights, most)
+        plan = spark.createDataFrame(
+            [(r.source, r.n, goal[r.source], (goal[r.source] / r.n) if r.n else 0.0, pieces(r.rows, block)) for r in few],
+            "of_source string, source_size long, target double, times double, groups long",
+        )
+        plan, groups = F.broadcast(plan), max((pieces(r.rows, block) for r in few), default=1)
+    else:
+        times = F.when(F.col("n") > 0, F.col("target") / F.col("n")).otherwise(0.0).alias("times")
+        parts = F.ceil(F.col("rows") / block).cast("long").alias("groups")
+        plan = planned(per, weights, most).select(
+            F.col("source").alias("of_source"), F.col("n").alias("source_size"), "target", times, parts
+        )
+        plan = saved(plan, "plan")
+        groups = plan.agg(F.max("groups")).first()[0]
+    known = narrow.join(plan, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     whole = F.floor(F.col("times") + EPS)
     known = known.withColumn("sure", whole.cast("long")).withColumn(
         "p", F.greatest(F.lit(0.0), F.col("times") - F.col("sure"))
@@ -139,7 +179,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, block: int =
     schema = "doc_id long, source string, size long, place long, source_size long, target double, groups long, sure long, p double"
     columns = [c.split()[0] for c in schema.split(", ")]
     open_ = known.select(columns)
-    groups, done = max((pieces(r.rows, block) for r in per), default=1), []
+    done = []
     while True:
         moved = saved(
             open_.groupBy("source", F.pmod(F.xxhash64("place", F.lit(groups)), "groups").alias("part"))

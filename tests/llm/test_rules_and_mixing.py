@@ -75,3 +75,32 @@ def test_flight_keeps_both_totals():
     mixing._move(size, p, iter([((k * 37) % 101) / 101 for k in range(600)]), 2)
     assert sum(1 for x in p if mixing.EPS < x < 1 - mixing.EPS) <= 2
     assert sum(a * b for a, b in zip(size, p)) == pytest.approx(words) and sum(p) == pytest.approx(number)
+
+
+def test_a_plan_made_in_spark_is_the_same(spark):
+    rows = documents() + [(7000 + k, "w " * (1 + k % 9), "en", f"source {k % 40}", 1, None, None, None) for k in range(400)]
+    frame = spark.createDataFrame(rows, DOC_SCHEMA)
+    plain = lambda most: sorted(map(str, mixing.mix(frame, block=64, most_sources=most).collect()))
+    assert plain(3) == plain(1000)
+
+
+def test_targets_of_many_sources(spark):
+    """200,000 sources of very different sizes, null and empty ones among them; sources of few words fill up in several rounds."""
+    sizes = [(None if k == 7 else "" if k == 9 else f"{k * 2654435761 % (1 << 32):x}", 0 if k % 11 == 0 else (k % 1000) ** 3 + 1) for k in range(200_000)]
+    want = mixing.targets(sizes)
+    per = spark.createDataFrame([(s, n, 1) for s, n in sizes], "source string, n long, rows long")
+    got = {r.source: r.target for r in mixing.planned(per).collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-9) for s in want)
+    assert sum(1 for s, n in sizes if n and want[s] == 3 * n) > 1000
+
+
+def test_every_flight_against_a_literal_loop(spark):
+    """Documents and words that the mix draws of a source, beside what their inclusion probabilities add up to."""
+    rows = [(k, "w " * (1 + (k * 7919) % 60), "en", ("a", "b", "c")[k % 7 % 3], 1, None, None, None) for k in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOC_SCHEMA), block=128).collect()
+    for source in ("a", "b", "c"):
+        mine = [r for r in got if r.source == source]
+        times = mine[0].target / mine[0].source_size
+        assert abs(sum(r.taken // r.size for r in mine) - times * len(mine)) <= 2
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 60
+        assert all(r.taken // r.size in (int(times), int(times) + 1) for r in mine)
