@@ -49,6 +49,27 @@ def test_archive_rolls_by_rows_and_by_idle_time(spark, tmp_path):
     assert [(r.id, r.timestamp) for r in back] == [stamp[k] for k in known]
 
 
+def test_rolled_group_keeps_every_row_when_its_ranges_are_many_tasks(spark, tmp_path, monkeypatch):
+    """Narrow sizes and wide rows coalesce to different partitions: ranks taken from both lost most of the rows."""
+    monkeypatch.setattr(writers, "RANGE_ROWS", 7_000, raising=False)
+    n = 40_000
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in readers.schemas.ARCHIVE.fields if f.name not in ("id", "timestamp")]
+    mixed = F.when(F.col("id") > 0, F.col("id") * 7919 % n).alias("seq")  # the one without a number comes first
+    rows = spark.range(0, n, 1, 8).select(mixed, F.sha2(F.col("id").cast("string"), 512).alias("id"), F.col("id").alias("timestamp"), *empty)
+    small = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "300k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "300k"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        writers.write_rolled(rows, str(tmp_path), 0, n, 5_000)
+        back = readers.replay_in_order(spark, str(tmp_path)).orderBy("seq").collect()
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert list(sizes(tmp_path).values()) == [5_000] * 8
+    assert [r.seq for r in back] == list(range(1, n + 1))
+    assert [r.timestamp for r in back] == sorted(range(n), key=lambda i: i * 7919 % n if i else -1)
+
+
 def test_replay_from_a_later_file_reads_only_from_there(spark, tmp_path):
     nested = trips_frame(spark, [make_trip("A", ["08:00:00"] * 3)])
     rows = [at(i, f"v{i % 3}", "A" if i % 2 else "nope", 0, 1_700_000_000 + i) for i in range(130)]
