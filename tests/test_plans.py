@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from world import at, make_trip, positions_frame, trips_frame
 
 from punctual.operators import runs, serving, timetable
@@ -85,3 +86,8 @@ def test_a_vehicle_with_a_third_of_the_events_is_spread(spark):
     whole = runs.track_runs(hits)
     key = ["id", "seq", "run", "highest", "kind"]
     assert blocked.select(*key).exceptAll(whole.select(*key)).count() == 0
+
+
+def test_broken_trip_lists_are_told_in_one_read_of_the_files(spark, stage):
+    text = plan(QUERIES["trip_list_rejects"](spark, SF)).split("Initial Plan")[-1]
+    assert text.count("FileScan csv") == 1
