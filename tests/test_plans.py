@@ -91,3 +91,18 @@ def test_a_vehicle_with_a_third_of_the_events_is_spread(spark):
 def test_broken_trip_lists_are_told_in_one_read_of_the_files(spark, stage):
     text = plan(QUERIES["trip_list_rejects"](spark, SF)).split("Initial Plan")[-1]
     assert text.count("FileScan csv") == 1
+
+
+def test_contents_of_a_timetable_are_shuffled_once_and_stored_once(spark, stage, tmp_path):
+    from punctual.operators.versions import fold_versions
+    from punctual.streaming.engine import VersionedTimetable
+
+    trips = stage.trips_nested.limit(50).localCheckpoint()
+    table = VersionedTimetable(spark, str(tmp_path))
+    for valid_from in (0, 100):
+        table.publish(trips.withColumn("shape_id", F.lit(valid_from).cast("bigint")), valid_from)
+    kept = [spark.read.parquet(f"{row['path']}/snapshots").count() for row in table.registry.pointers().collect()]
+    assert kept == [50, 50]  # the second does not repeat the first
+    assert table.get()[0].groupBy("valid_from", "valid_to").count().orderBy("valid_from").collect() == [(0, 100, 50), (100, None, 50)]
+    snapshots = spark.read.parquet(*[f"{row['path']}/snapshots" for row in table.registry.pointers().collect()])
+    assert plan(fold_versions(snapshots)).split("Initial Plan")[-1].count("Exchange") == 1
