@@ -106,3 +106,29 @@ def test_contents_of_a_timetable_are_shuffled_once_and_stored_once(spark, stage,
     assert table.get()[0].groupBy("valid_from", "valid_to").count().orderBy("valid_from").collect() == [(0, 100, 50), (100, None, 50)]
     snapshots = spark.read.parquet(*[f"{row['path']}/snapshots" for row in table.registry.pointers().collect()])
     assert plan(fold_versions(snapshots)).split("Initial Plan")[-1].count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["features", "messages", "answers"])
+def test_small_staged_tables_are_read_by_several_tasks(stage, name):
+    assert len(getattr(stage, name).inputFiles()) > 1
+
+
+@pytest.mark.parametrize("name", ["training_gate", "delay_tokens", "train_sequences", "infer_sequences", "infer_messages"])
+def test_sequences_measure_no_stop_anew(spark, stage, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert "RADIANS" not in text and "lag(" not in text
+
+
+def test_the_first_padding_is_looked_for_once_a_sequence(spark):
+    """Inside the lambda over the places it was looked for at every place."""
+    from punctual.functions.vocabulary import PAD
+    from punctual.operators.features import prefix_examples
+
+    rows = [("a", list(range(9, 14)) + [PAD] * 5), ("b", list(range(40, 50))), ("c", [7] * 9), ("d", [1] * 7), ("e", [1] * 7 + [PAD] * 3), ("f", [])]
+    frame = spark.createDataFrame(rows, "trip_id string, tokens array<int>")
+    made = prefix_examples(frame)
+    got = {(r.trip_id, r.place): (r.tokens, r.label) for r in made.collect()}
+    assert got == {
+        ("b", 7): ([*range(40, 47), PAD, PAD, PAD], 32.0), ("b", 9): ([*range(40, 49), PAD], 34.0), ("c", 7): ([7] * 7 + [PAD] * 2, -8.0)
+    }
+    assert "< coalesce(array_min" not in plan(made)
