@@ -132,3 +132,8 @@ def test_the_first_padding_is_looked_for_once_a_sequence(spark):
         ("b", 7): ([*range(40, 47), PAD, PAD, PAD], 32.0), ("b", 9): ([*range(40, 49), PAD], 34.0), ("c", 7): ([7] * 7 + [PAD] * 2, -8.0)
     }
     assert "< coalesce(array_min" not in plan(made)
+
+
+def test_the_loss_holds_the_joins_of_one_level_in_a_task(spark, stage):
+    loss = QUERIES["next_token_loss"](spark, SF)
+    assert plan(loss).split("Initial Plan")[-1].count("Join") == 0  # what is left after the last level is a sum
