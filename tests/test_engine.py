@@ -116,6 +116,24 @@ def test_a_trip_is_emitted_once_for_ever_at_a_flat_cost(spark, tmp_path):
     assert all(r.id == f"v{r.trip_id[1:]}" for r in got)  # the lowest seq of the first batch
 
 
+def test_first_gates_need_no_python(spark, tmp_path):
+    """A trip's mark is kept by Spark's own state: Python was called once a trip."""
+    ddl = "id string, run bigint, trip_id string, n_stops int, seq bigint, timestamp bigint, times array<bigint>"
+    rows = [("v", 0, "a", 3, 9, 9, [1, 2, 3]), ("w", 1, "a", 3, 4, 4, [4, None, 6]), ("w", 2, "b", 3, 5, 5, [7, 8, 9])]
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "in"))
+    stream = engine.first_of_each_trip(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")))
+    got = []
+
+    def write(batch, batch_id):
+        got.extend(tuple(r) for r in batch.collect())
+
+    query = jobs.start_batches(stream, write, str(tmp_path / "log"), True, "update")
+    jobs.run_to_end(query)
+    plan = query._jsq.explainInternal(True)
+    assert sorted(got) == [("w", 1, "a", 3, 4, 4, [4, None, 6]), ("w", 2, "b", 3, 5, 5, [7, 8, 9])]
+    assert "StateStoreSave" in plan and not any(name in plan for name in ("Python", "Pandas", "PySpark"))
+
+
 # ---- keyed rows, pools, versions of files ---------------------------------------------------------------------------
 
 
