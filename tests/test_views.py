@@ -58,3 +58,23 @@ def test_visits_in_sliding_windows_and_late_ones(spark, tmp_path):
         for k in range(4):
             want[s // 900 * 900 - 900 * k] = want.get(s // 900 * 900 - 900 * k, 0) + 1
     assert got == want
+
+
+def test_the_loss_is_that_of_the_stored_tables(spark, tmp_path, monkeypatch):
+    """The tables were folded from the sequences anew wherever the loss reads them, and once more to be stored."""
+    read, loss = [], views.cross_entropy
+
+    def spied(model, *rest):
+        read.extend(path for t in model for path in t.inputFiles())
+        return loss(model, *rest)
+
+    monkeypatch.setattr(views, "cross_entropy", spied)
+    models = views.BestModel(spark, str(tmp_path / "models"))
+    train, test = sequences(spark, 17, 3), sequences(spark, 18, 2)
+    for level in (0, 3):
+        model = views.levels_up_to(count_tokens(train), level)
+        views.publish_counts(models.registry, model, train.withColumn("split", F.lit("train")), test, LAYOUT)
+        want = loss(model, test, LAYOUT).first()
+        got = models.registry.pointers().orderBy(F.desc("version")).first()
+        assert read and all(f"{tmp_path}/models/version=" in path for path in read)
+        assert got["metrics"]["loss"] == pytest.approx(want["loss"]) and got["metrics"]["targets"] == want["targets"]
