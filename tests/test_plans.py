@@ -88,6 +88,24 @@ def test_a_vehicle_with_a_third_of_the_events_is_spread(spark):
     assert blocked.select(*key).exceptAll(whole.select(*key)).count() == 0
 
 
+def test_the_trip_table_deals_the_stop_times_once_and_copies_no_list(spark):
+    """The stop times were shuffled twice, and the fold of repeated trips was an aggregate over whole lists of stops."""
+    nested = fx.trips_nested(spark, SF)
+    written = timetable.one_row_per_trip(nested)
+    text = plan(written).split("Initial Plan")[-1]
+    assert "SortAggregate" not in text and "format_string" not in text
+    lines = [x for x in plan(fx.stop_times(spark, SF)).splitlines() if "Exchange hashpartitioning" in x]
+    assert len([x for x in lines if "REPARTITION_BY_COL" in x]) == 1 and not any("l_linenumber" in x for x in lines)
+    twice = timetable.one_row_per_trip(nested.unionByName(nested)).select("trip_id", "stops")
+    assert twice.exceptAll(nested.select("trip_id", "stops")).count() == 0 and twice.count() == nested.count()
+
+
+def test_the_text_of_a_time_has_two_digits_at_least(spark):
+    times = {0: "00:00:00", 59: "00:00:59", 60: "00:01:00", 36_000: "10:00:00", 86_399: "23:59:59", 90_061: "25:01:01", 360_000: "100:00:00"}
+    frame = spark.createDataFrame([(k,) for k in times], "s bigint")
+    assert {r.s: r.t for r in frame.select("s", fx.clock(F.col("s")).alias("t")).collect()} == times
+
+
 def test_broken_trip_lists_are_told_in_one_read_of_the_files(spark, stage):
     text = plan(QUERIES["trip_list_rejects"](spark, SF)).split("Initial Plan")[-1]
     assert text.count("FileScan csv") == 1
