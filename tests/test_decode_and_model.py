@@ -163,3 +163,12 @@ def test_dataset_counts(spark):
     rows = frame(spark, random_sequences(5, 3)).withColumn("split", F.lit("train"))
     row = model.dataset_counts(rows).first()
     assert row.samples == 3 and row.longest <= 19
+
+
+def test_messages_are_told_apart_without_parsing_them(spark):
+    rows = [(None,), ("",), ("v",), ("v:",), ("v:1,2",), (":",), ("a:b:c",), ("v,1",)]
+    messages = spark.createDataFrame(rows, "message string")
+    parsed = decode.parse_messages(messages)
+    for some, kind in ((decode.repeat_requests(messages), "tokens is null"), (decode.asked_sequences(messages), "tokens is not null")):
+        want = parsed.filter(kind).collect()
+        assert some.columns == parsed.columns and sorted(map(str, some.collect())) == sorted(map(str, want)) and len(want) == 4

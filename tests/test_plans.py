@@ -155,3 +155,9 @@ def test_the_first_padding_is_looked_for_once_a_sequence(spark):
 def test_the_loss_holds_the_joins_of_one_level_in_a_task(spark, stage):
     loss = QUERIES["next_token_loss"](spark, SF)
     assert plan(loss).split("Initial Plan")[-1].count("Join") == 0  # what is left after the last level is a sum
+
+
+def test_the_repeated_predictions_are_decoded_once_and_bare_ids_split_no_list(spark, stage):
+    """The blocks' last answers were folded from a second scan, and every list of tokens was split to find the bare ids."""
+    text = final_plan(QUERIES["resend_predictions"](spark, SF))
+    assert "ReusedExchange" in text and text.count("FileScan parquet [id") == 1 and "split(" not in text

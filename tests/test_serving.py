@@ -185,3 +185,12 @@ def test_resend_repeats_the_last_prediction(spark):
         assert sorted((r.id, r.seq, r.delay, r.first_predicted_sequence) for r in got) == [
             ("v", 3, [1], 4), ("v", 5, [2], 5),
         ]
+
+
+def test_resend_takes_any_form_of_a_delay_and_drops_rows_without_key(spark):
+    messages = spark.createDataFrame([("v", 3), ("v", None), (None, 4), ("w", 9)], "id string, seq bigint")
+    made = [("v", 2, "1,-", 4), (None, 1, "7", 1), ("v", None, "8", 2), ("w", 1, None, None)]
+    predictions = spark.createDataFrame(made, "id string, seq bigint, delay string, first_predicted_sequence int")
+    for block_rows in (1 << 20, 2):
+        got = serving.resend_predictions(messages, predictions, block_rows).collect()
+        assert sorted(map(tuple, got)) == [("v", 3, "1,-", 4), ("w", 9, None, None)]
