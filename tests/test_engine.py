@@ -240,3 +240,17 @@ def test_a_timetable_published_meanwhile_takes_effect_with_the_next_batch(spark,
     batch = versions.in_force(positions_frame(spark, rows), table.get()[0])
     whole = runs.first_arrivals(runs.detect_hits(batch, table.get()[1])).collect()
     assert sorted((r.seq, r.run, r.trip_id, r.hit) for r in whole) == got
+
+
+def test_streamed_arrivals_make_nothing_that_they_do_not_need(spark):
+    """The query of the arrivals staged trip codes and had messages and gates written, which it does not read."""
+    from punctual.plans import fixtures as fx
+
+    stage = fx.Stage(spark, "/root/testdata/sf0.001")
+    columns = ["id", "run", "trip_id", "n_stops", "hit", "seq", "timestamp"]
+    alone = spark.read.parquet(f"{stage.streamed_arrivals}/arrivals").select(*columns)
+    assert not {"trip_codes", "layout", "streamed"} & set(stage.__dict__)
+    want = stage.arrivals.select(*columns)
+    assert sorted(alone.collect()) == sorted(want.collect()) and alone.count() > 20
+    other = fx.Stage(spark, "/root/testdata/sf0.001")
+    assert other.streamed == other.streamed_arrivals  # a pass that makes all is not repeated
