@@ -161,3 +161,58 @@ def test_the_repeated_predictions_are_decoded_once_and_bare_ids_split_no_list(sp
     """The blocks' last answers were folded from a second scan, and every list of tokens was split to find the bare ids."""
     text = final_plan(QUERIES["resend_predictions"](spark, SF))
     assert "ReusedExchange" in text and text.count("FileScan parquet [id") == 1 and "split(" not in text
+
+
+def test_metro_trips_made_alone_are_those_of_the_trip_table(spark, stage, tmp_path):
+    """Stop detection and sequences had all trips nested, with all their fields, to read the metro trips."""
+    alone = fx.Stage(spark, SF)
+    got = alone.metro_trips
+    assert "trips_nested" not in alone.__dict__ and alone.metro.count() == stage.metro.count()
+    fields = ("stop_sequence", "stop_name", "arrival_time", "stop_lat", "stop_lon")
+    stops = F.transform("stops", lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias("stops")
+    want = stage.trips_nested.filter("route_type = 401 and stops is not null").select(*got.columns[:-1], stops)
+    assert got.dtypes == want.dtypes and got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    text = plan(fx.metro_trips(spark, SF))
+    lists = [x for x in text.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(lists) == 3 and "o_orderpriority" not in text  # lines, and the trips for the choice and for the result
+    for name in ("orders", "customer", "lineitem", "supplier", "nation"):  # every trip and line twice, and a trip without lines
+        frame = fx.table(spark, SF, name)
+        twice = frame.unionByName(frame) if name in ("orders", "lineitem") else frame
+        if name == "lineitem":
+            twice = twice.filter("l_orderkey % 10 != 3")
+        twice.write.parquet(f"{tmp_path}/{name}.parquet")
+    want = want.filter("trip_id % 10 != 3")
+    got = fx.metro_trips(spark, str(tmp_path))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+@pytest.mark.parametrize("name", ["stop_arrivals", "enriched_positions"])
+def test_what_needs_all_trips_makes_no_metro_trips_apart(spark, monkeypatch, name):
+    own = fx.Stage(spark, SF)
+    monkeypatch.setattr(fx, "stage", lambda spark, d: own)
+    QUERIES[name](spark, SF)
+    assert "trips_nested" in own.__dict__ and "_metro_trips" not in own.__dict__
+
+
+def test_coarser_counts_are_folded_once_from_stored_ones(spark, stage):
+    """Every reader of a coarser table folded it anew from the most specific one."""
+    texts = [plan(t) for t in stage.counts]
+    assert len(texts) == 4 and all("Aggregate" not in text and "FileScan parquet" in text for text in texts)
+    sums = [t.agg(F.sum("n")).first()[0] for t in stage.counts]
+    assert len(set(sums)) == 1 and sums[0] > 0
+
+
+def test_the_newest_model_is_published_without_its_loss(spark, monkeypatch):
+    """The loss on held-out sequences was measured for both models, though the job takes the newest one whatever its loss."""
+    from punctual.streaming import views
+
+    own = fx.Stage(spark, SF)
+    monkeypatch.setattr(views, "cross_entropy", lambda *rest: pytest.fail("the loss was measured"))
+    newest = own.unmeasured_models.newest()
+    assert own.unmeasured_models.registry.pointers().count() == 2 and own.unmeasured_models.registry.best("loss") is None
+    assert "trips_nested" not in own.__dict__
+    for stored, table in zip(newest, own.counts):
+        assert stored.exceptAll(table).count() == 0 and stored.count() == table.count()
+    own.__dict__["models"] = published = object()
+    del own.__dict__["unmeasured_models"]
+    assert own.unmeasured_models is published  # what has been published with losses is not published again
